@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from thalweg.plans import data_queries
+from thalweg.plans import data_queries, survey_queries, survey_sql
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "watershed_summary"
 
 
 def queries() -> dict[str, Callable]:
-    return {**data_queries.QUERIES}
+    return {**survey_queries.QUERIES, **data_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**data_queries.SQL}
+    return {**survey_sql.SQL, **data_queries.SQL}
