@@ -29,22 +29,43 @@ def _fan(pts: np.ndarray) -> list[tuple]:
     return [(*pts[0], *pts[i], *pts[i + 1], FAN) for i in range(1, len(pts) - 1)]
 
 
-def triangulate(x, y) -> list[tuple]:
-    """Triangles (x1, y1, x2, y2, x3, y3, kind) of a simple ring, by clipping ears.
+def _clip_small(ring: list[tuple[float, float]]) -> list[tuple] | None:
+    """Ears of a counter-clockwise ring of few corners, in plain numbers; None if it gets stuck."""
+    left, out, at, tried = list(ring), [], 0, 0
+    while len(left) > 3:
+        n = len(left)
+        at %= n
+        (ax, ay), (bx, by), (cx, cy) = left[at - 1], left[at], left[(at + 1) % n]
+        turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        ear = turn > 0
+        if ear:
+            for px, py in left:
+                if (
+                    (bx - ax) * (py - ay) - (by - ay) * (px - ax) >= 0
+                    and (cx - bx) * (py - by) - (cy - by) * (px - bx) >= 0
+                    and (ax - cx) * (py - cy) - (ay - cy) * (px - cx) >= 0
+                    and (px, py) not in ((ax, ay), (bx, by), (cx, cy))
+                ):
+                    ear = False
+                    break
+        if ear or turn == 0:  # a flat corner goes without leaving a triangle
+            if ear:
+                out.append((ax, ay, bx, by, cx, cy, EAR))
+            del left[at]
+            at, tried = at - 1, 0
+        else:
+            at, tried = at + 1, tried + 1
+            if tried > n:
+                return None
+    (ax, ay), (bx, by), (cx, cy) = left
+    if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
+        out.append((ax, ay, bx, by, cx, cy, EAR))
+    return out
 
-    A ring with fewer than three corners or without area has none. Where no ear can be found (the ring crosses
-    itself) all of it is returned as a fan: a point is inside if an odd number of the fan's triangles hold it.
-    """
-    pts = clean_ring(np.asarray(x, float), np.asarray(y, float))
-    if len(pts) < 3:
-        return []
-    nxt = np.roll(pts, -1, axis=0)
-    area2 = float((pts[:, 0] * nxt[:, 1] - nxt[:, 0] * pts[:, 1]).sum())
-    if area2 == 0.0:
-        return _fan(pts)
-    ring = pts if area2 > 0 else pts[::-1]
-    left, out = list(range(len(ring))), []
-    at, tried = 0, 0
+
+def _clip_large(ring: np.ndarray) -> list[tuple] | None:
+    """The same with the corners tested all at once."""
+    left, out, at, tried = list(range(len(ring))), [], 0, 0
     while len(left) > 3:
         n = len(left)
         i, j, k = left[(at - 1) % n], left[at % n], left[(at + 1) % n]
@@ -52,11 +73,11 @@ def triangulate(x, y) -> list[tuple]:
         turn = _cross(a, b, c)
         ear = turn > 0
         if ear:
-            others = ring[[v for v in left if v not in (i, j, k)]]
+            others = ring[left]
             hit = (_cross(a, b, others) >= 0) & (_cross(b, c, others) >= 0) & (_cross(c, a, others) >= 0)
             corner = (others == a).all(1) | (others == b).all(1) | (others == c).all(1)
             ear = not (hit & ~corner).any()
-        if ear or turn == 0:  # a flat corner goes without leaving a triangle
+        if ear or turn == 0:
             if ear:
                 out.append((*a, *b, *c, EAR))
             left.pop(at % n)
@@ -64,9 +85,33 @@ def triangulate(x, y) -> list[tuple]:
         else:
             at, tried = (at + 1) % n, tried + 1
             if tried > n:
-                return _fan(pts)
+                return None
     a, b, c = ring[left]
     if _cross(a, b, c) > 0:
         out.append((*a, *b, *c, EAR))
+    return out
+
+
+#: Corners up to which plain numbers are faster than arrays.
+_SMALL = 48
+
+
+def triangulate(x, y) -> list[tuple]:
+    """Triangles (x1, y1, x2, y2, x3, y3, kind) of a simple ring, by clipping ears.
+
+    A ring with fewer than three corners or without area has none. Where no ear can be found (the ring crosses
+    itself) all of it is returned as a fan: a point is inside if an odd number of the fan's triangles hold it.
+    """
+    pts = clean_ring(np.asarray(x, float), np.asarray(y, float))
+    if len(pts) < 3:
+        return []
+    nxt = np.roll(pts, -1, axis=0)
+    area2 = float((pts[:, 0] * nxt[:, 1] - nxt[:, 0] * pts[:, 1]).sum())
+    if area2 == 0.0:
+        return _fan(pts)
+    ring = pts if area2 > 0 else pts[::-1]
+    out = _clip_small([tuple(p) for p in ring.tolist()]) if len(ring) <= _SMALL else _clip_large(ring)
+    if out is None:
+        return _fan(pts)
     got = sum((t[2] - t[0]) * (t[5] - t[1]) - (t[3] - t[1]) * (t[4] - t[0]) for t in out)
-    return out if abs(got - abs(area2)) <= 1e-9 * max(abs(area2), 1e-300) + 1e-15 else _fan(pts)
+    return out if abs(got - abs(area2)) <= 1e-9 * abs(area2) + 1e-15 else _fan(pts)

@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.triangles import FAN, triangulate
+from thalweg.session import materialise
 
 #: Edge of the root node in degrees, and the deepest level (edge 512 / 2**26, about a metre).
 ROOT_DEGREES = 512.0
@@ -73,7 +73,7 @@ def containing_regions(points: DataFrame, point_key: str, x: str, y: str, region
     gives the smallest region key. Repeated regions (same key and ring) and repeated points count once. Points with
     a null key or coordinate, or no finite one, are left out. Other columns are ignored, whatever their names.
     """
-    triangles = triangle_nodes(regions.select(key, xs, ys).dropDuplicates(), key, xs, ys)
+    triangles = materialise(triangle_nodes(regions.select(key, xs, ys).dropDuplicates(), key, xs, ys), "triangles")
     # the levels in use: at most MAX_LEVEL + 1 numbers
     levels = triangles.select("level").distinct().agg(F.collect_set("level").alias("_levels"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
