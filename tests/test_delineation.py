@@ -1,0 +1,176 @@
+import json
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from thalweg.config import Settings
+from thalweg.functions import geometry as G
+from thalweg.functions import numeric as N
+from thalweg.operators import dissolve, network, raster, relocate, validate
+from thalweg.plans import pipeline
+from thalweg.sources import sinks, viewer
+
+from pyspark.sql import functions as F
+
+RIVER = "comid long, up1 long, up2 long, up3 long, up4 long"
+
+
+def cells_of(pairs, o=1):
+    return [(o, r, c) for r, c in pairs]
+
+
+def rings_of(spark, pairs):
+    df = spark.createDataFrame(cells_of(pairs), "o long, r long, c long")
+    return dissolve.stitch_rings(dissolve.border_edges(raster.cell_edges(df, ["o"]), ["o"]), "o")
+
+
+def test_settings():
+    assert Settings().search_ladder()[-1] > 0.075 and len(Settings().search_ladder()) == 8
+    for bad in (-0.1, 0.3):
+        with pytest.raises(ValueError):
+            Settings(search_dist=bad)
+    with pytest.raises(TypeError):
+        Settings(search_dist="0")
+
+
+def test_closure_of_tree_diamond_and_cycle(spark):
+    rivers = spark.createDataFrame([(1, 2, 3, 0, 0), (2, 4, 0, 0, 0), (3, 4, 9, 0, 0), (4, 0, 0, 0, 0), (5, 6, 0, 0, 0), (6, 5, 0, 0, 0), (7, 0, 0, None, 0)], RIVER)
+    tables = network.jump_tables(network.drains(rivers))
+    starts = spark.createDataFrame([("a", 1), ("b", 4), ("c", 5), ("d", 7), ("e", None)], "o string, comid long")
+    got = sorted(tuple(r) for r in network.upstream(starts, "o", "comid", tables).collect())
+    assert got == [("a", 1, 0), ("a", 2, 1), ("a", 3, 1), ("a", 4, 2), ("b", 4, 0), ("c", 5, 0), ("c", 6, 1), ("d", 7, 0)]
+    assert sorted(tuple(r) for r in network.network_faults(rivers).collect()) == [(4, "several ways down"), (9, "missing")]
+    none = network.upstream(starts, "o", "comid", network.jump_tables(network.drains(rivers.where("false"))))
+    assert none.count() == 4
+
+
+@given(st.integers(2, 60), st.integers(0, 10_000))
+@settings(max_examples=5, deadline=None)
+def test_closure_of_random_forests(spark, n, seed):
+    rng = random.Random(seed)
+    below = {i: rng.randrange(1, i) for i in range(2, n + 1)}
+    ups = {i: [k for k, v in below.items() if v == i] for i in range(1, n + 1)}
+    if max(map(len, ups.values())) > 4:
+        ups = {i: u[:4] for i, u in ups.items()}
+    rivers = spark.createDataFrame([(i, *(u + [0] * 4)[:4]) for i, u in ups.items()], RIVER)
+
+    def walk(i, d=0):
+        return [(i, d)] + [x for u in ups[i] for x in walk(u, d + 1)]
+
+    got = network.upstream(spark.createDataFrame([(1, 1)], "o long, comid long"), "o", "comid", network.jump_tables(network.drains(rivers)))
+    assert sorted((r["comid"], r["depth"]) for r in got.collect()) == sorted(walk(1))
+
+
+def test_dissolve_shell_hole_and_corner(spark):
+    ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
+    got = {(r["part"], r["ring"]): abs(sum(a * d - b * c for a, b, c, d in zip(r["xs"], r["xs"][1:], r["ys"], r["ys"][1:]))) / 2 for r in rings_of(spark, ring).collect()}
+    assert got == {(0, 0): 9.0, (0, 1): 1.0}
+    corner = rings_of(spark, {(0, 0), (1, 1)}).collect()
+    assert sorted((r["part"], r["ring"]) for r in corner) == [(0, 0), (1, 0)]
+    blob = {(r, c) for r in range(12) for c in range(12) if random.Random(r * 31 + c).random() < 0.6}
+    rows = rings_of(spark, blob).withColumn("a", G.shoelace(F.col("xs"), F.col("ys"))).collect()
+    assert round(sum(r["a"] for r in rows)) == len(blob)
+    assert all((r["a"] > 0) == (r["ring"] == 0) for r in rows)
+
+
+def test_holes_and_largest_part(spark):
+    r = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.5), (1, 2, 0.2), (2, 0, 1.0), (2, 1, 1.0)], "p long, ring long, a double")
+    keep = lambda t: sorted((x["p"], x["ring"]) for x in dissolve.fill_holes(r, F.col("a"), t).collect())
+    assert keep(0.5) == [(1, 0), (2, 0), (2, 1)] and keep(0.0) == [(1, 0), (2, 0)] and keep(0.1) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    best = dissolve.largest_part(r.where("p = 2"), "p", F.col("a"), "ring").collect()
+    assert [x["ring"] for x in best] == [0]
+
+
+def test_simplify_never_below_a_triangle():
+    a = np.linspace(0, 2 * np.pi, 200)
+    x, y = dissolve.douglas_peucker(np.cos(a), np.sin(a), 0.01)
+    assert 8 < len(x) < 60 and (x[0], y[0]) == (1, 0)
+    x, y = dissolve.douglas_peucker(np.cos(a), np.sin(a), 5)
+    assert len(x) == 4
+
+
+def test_areas_and_distances(spark):
+    n = 361
+    top = [(-180.0 + i, 90.0) for i in range(n)]
+    ring = [(-180.0, -90.0), (180.0, -90.0), *top[::-1], (-180.0, -90.0)]
+    rows = [([p[0] for p in ring], [p[1] for p in ring]), ([0.0, 1.0, 1.0, 0.0, 0.0], [64.0, 64.0, 65.0, 65.0, 64.0]), ([], []), (None, None)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+    globe, degree, empty, null = [r[0] for r in df.select(G.equal_area_km2(F.col("x"), F.col("y"))).collect()]
+    assert abs(globe - 510_065_621.7) < 1 and abs(degree - 5357.4) < 0.1 and empty == 0 and not null
+    assert abs(G.vincenty_m([50.0663], [-5.7148], [58.6440], [-3.0701])[0] - 969_954.1) < 1
+    assert G.vincenty_m([1.0], [2.0], [1.0], [2.0])[0] == 0 and math.isnan(G.vincenty_m([float("nan")], [0], [0], [0])[0])
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(0.0, 2.0), (0.00123, None), (98765.0, 0.0), (-1234.0, 4.0)], "x double, y double")
+    got = df.select(N.significant(F.col("x"), 2), N.relative_difference(F.col("x"), F.col("y")), N.display(F.col("x"), 0)).collect()
+    assert [r[0] for r in got] == pytest.approx([0.0, 0.0012, 99000.0, -1200.0])
+    assert [r[1] for r in got] == [1.0, None, None, 309.5] and got[2][2] == "98,765"
+
+
+def test_validation(spark):
+    good = spark.createDataFrame([("a", 1.0, 2.0)], "id string, lat double, lng double")
+    validate.validate(good)
+    for rows, word in ((good.union(good), "unique"), (spark.createDataFrame([("a", None, 2.0)], good.schema), "numbers"), (spark.createDataFrame([("a", 85.0, 2.0)], good.schema), "lat"), (spark.createDataFrame([("a", 1.0, 180.0)], good.schema), "lng"), (spark.createDataFrame([(" ", 1.0, 2.0)], good.schema), "empty")):
+        with pytest.raises(validate.InvalidOutlets, match=word):
+            validate.validate(rows)
+    with pytest.raises(validate.InvalidOutlets, match="lat"):
+        validate.check_columns(good.drop("lat"))
+    shaped = validate.shape_outlets(good)
+    assert shaped.columns == ["id", "lat", "lng", "area_reported", "name", "area_calc", "result"] and shaped.first()["result"] == "failed"
+
+
+def test_relocation_thresholds(spark):
+    settings_ = Settings(match_areas=True)
+    o = spark.createDataFrame([("eq", 100.0, 125.0), ("null", None, 5.0), ("far", 100.0, 126.0)], "id string, area double, uparea double")
+    assert {r["id"]: r["accepted"] for r in relocate.accept_terminal(o, settings_).collect()} == {"eq": True, "null": True, "far": False}
+    outlets = spark.createDataFrame([("a", 0.0, 0.0, 100.0), ("b", 0.0, 0.0, 200.0), ("c", 5.0, 5.0, 100.0)], "id string, lat double, lng double, area double")
+    rivers = spark.createDataFrame([(1, 125.0, [0.005, 0.005], [-1.0, 1.0]), (2, 110.5, [0.015, 0.015], [-1.0, 1.0]), (3, 101.0, [0.016, 0.016], [0.0, 1.0]), (4, 100.0, [0.085, 0.085], [-1.0, 1.0])], "comid long, uparea double, line_lng array<double>, line_lat array<double>")
+    got = {r["id"]: (r["comid"], r["ring"], r["uparea"]) for r in relocate.search_reaches(outlets, rivers, settings_).collect()}
+    assert got == {"a": (3, 2, 101.0)}  # reach 1 is off by exactly the threshold, and 4 lies beyond the last box
+
+
+def test_run_on_two_squares(spark, tmp_path):
+    sq = lambda x: ([x, x + 1.0, x + 1.0, x, x], [0.0, 0.0, 1.0, 1.0, 0.0])
+    mega = spark.createDataFrame([(11, *sq(0.0)), (12, *sq(1.0))], "basin int, ring_lng array<double>, ring_lat array<double>")
+    cats = spark.createDataFrame([(1, 11, [0.0, 0.5, 0.5, 0.0, 0.0], [0.0, 0.0, 1.0, 1.0, 0.0]), (2, 12, *sq(1.0))], "comid long, basin int, ring_lng array<double>, ring_lat array<double>")
+    reach = spark.createDataFrame([(1, 2, 0, 0, 0, 50.0, [0.2, 0.3], [0.2, 0.3]), (2, 0, 0, 0, 0, 9.0, [1.2, 1.3], [0.2, 0.3])], RIVER + ", uparea double, line_lng array<double>, line_lat array<double>")
+    outlets = spark.createDataFrame([("in", 0.25, 0.25, "A, \"b\"", 100.0), ("gap", 0.25, 0.75, "B", None), ("sea", 9.0, 9.0, None, 0.0), ("none", None, None, None, None)], "id string, lat double, lng double, name string, area double")
+    inputs = pipeline.Inputs(outlets, mega, cats, reach)
+    run = pipeline.delineate(inputs, Settings(high_res=False))
+    failed = {r["id"]: r["explanation"] for r in run.failed.collect()}
+    assert failed == {"gap": pipeline.NO_CATCHMENT, "sea": pipeline.NO_BASIN, "none": pipeline.NO_BASIN}
+    table = pipeline.summary(run, inputs, Settings(high_res=False), with_distance=True).cache()
+    rows = {r["id"]: r for r in table.collect()}
+    assert set(rows) == {"in", *failed} and rows["in"]["n_catchments"] == 2 and rows["in"]["area_calc"] == 18500.0
+    assert rows["in"]["result"] == "low res" and rows["sea"]["area_calc"] == 0.0 and rows["sea"]["perc_diff"] is None and 7000 < rows["in"]["snap_dist"] < 8500
+    sinks.write_summary(table, str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).count() == 4
+    assert sinks.write_failures(run.failed, str(tmp_path / "f")) and not sinks.write_failures(run.failed.where("false"), str(tmp_path / "g"))
+    viewer.write_viewer(viewer.viewer_table(table), str(tmp_path / "v.html"))
+    assert "18,500" in (tmp_path / "v.html").read_text() and "A, &quot;b&quot;" in (tmp_path / "v.html").read_text()
+
+
+def test_geojson(spark, tmp_path):
+    ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
+    features = sinks.geojson_features(rings_of(spark, ring).withColumn("o", F.col("o").cast("string")), "o")
+    doc = json.loads(features.first()["geojson"])
+    assert doc["geometry"]["type"] == "MultiPolygon" and [len(p) for p in doc["geometry"]["coordinates"]] == [2] and doc["properties"] == {"o": "1"}
+    viewer.write_layers(features.withColumnRenamed("o", "id"), str(tmp_path / "map"))
+    assert (tmp_path / "map" / "1.js").read_text().startswith("basin = {")
+
+
+def test_raster_rules(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 1), (1, 0, 1, 4), (2, 1, 0, 128), (3, 1, 1, 0)], "k long, r long, c long, fdir int")
+    acc = {r["k"]: r["acc"] for r in raster.accumulate(cells).collect()}
+    assert acc == {0: 1, 1: 3, 2: 1, 3: 4}
+    table = cells.join(raster.accumulate(cells), "k")
+    s = raster.streams(table, F.lit(1), Settings(threshold_single=3))
+    assert [r["k"] for r in s.collect()] == [3]  # the threshold itself is no stream
+    points = spark.createDataFrame([("a", 0, 0, 0), ("b", 0, 0, 9)], "id string, pr int, pc int, tile int")
+    tie = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "r int, c int, tile int")
+    assert [tuple(r) for r in raster.snap_points(points, tie, ["tile"]).collect()] == [("a", 0, 1)]

@@ -26,70 +26,99 @@ def _cross(o, a, b):
 
 
 def _fan(pts: np.ndarray) -> list[tuple]:
-    return [(*pts[0], *pts[i], *pts[i + 1], FAN) for i in range(1, len(pts) - 1)]
-
-
-def _clip_small(ring: list[tuple[float, float]]) -> list[tuple] | None:
-    """Ears of a counter-clockwise ring of few corners, in plain numbers; None if it gets stuck."""
-    left, out, at, tried = list(ring), [], 0, 0
+    return [(*pts[0], *pts[i], *pts[i + 1], FAN, 7) for i in range(1, len(pts) - 1)]
+
+
+def _is_simple(ring: np.ndarray) -> bool:
+    """Whether no two edges meet but neighbours at their common corner."""
+    n = len(ring)
+    if n <= _SMALL:
+        p = [tuple(q) for q in ring.tolist()]
+        for i in range(n - 2):
+            (ax, ay), (bx, by) = p[i], p[i + 1]
+            ex, ey = bx - ax, by - ay
+            lx, hx, ly, hy = min(ax, bx), max(ax, bx), min(ay, by), max(ay, by)
+            for j in range(i + 2, n - (i == 0)):
+                (cx, cy), (dx, dy) = p[j], p[(j + 1) % n]
+                if (cx < lx and dx < lx) or (cx > hx and dx > hx) or (cy < ly and dy < ly) or (cy > hy and dy > hy):
+                    continue
+                s, t = ex * (cy - ay) - ey * (cx - ax), ex * (dy - ay) - ey * (dx - ax)
+                if (s > 0) == (t > 0) and s != 0 and t != 0:
+                    continue
+                fx, fy = dx - cx, dy - cy
+                s, t = fx * (ay - cy) - fy * (ax - cx), fx * (by - cy) - fy * (bx - cx)
+                if not ((s > 0) == (t > 0) and s != 0 and t != 0):
+                    return False
+        return True
+    nxt = np.roll(ring, -1, axis=0)
+    for i in range(n - 2):
+        a, b = ring[i], nxt[i]
+        c, d = ring[i + 2 : n - (i == 0)], nxt[i + 2 : n - (i == 0)]
+        apart = (np.maximum(c, d) < np.minimum(a, b)).any(1) | (np.minimum(c, d) > np.maximum(a, b)).any(1)
+        s, t, u, v = _cross(a, b, c), _cross(a, b, d), _cross(c, d, a), _cross(c, d, b)
+        if (~apart & (s * t <= 0) & (u * v <= 0)).any():
+            return False
+    return True
+
+
+def _clip(n_corners: int, corner, holds_none) -> list[tuple] | None:
+    """Ears of a counter-clockwise ring; None if it gets stuck.
+
+    corner(i) is a corner's (x, y); holds_none(left, i, j, k) whether triangle i, j, k holds no other corner of those
+    left. A bit of a triangle's last field is set for each of its sides that is part of the ring.
+    """
+    left, border, out, at, tried = list(range(n_corners)), [True] * n_corners, [], 0, 0
     while len(left) > 3:
         n = len(left)
         at %= n
-        (ax, ay), (bx, by), (cx, cy) = left[at - 1], left[at], left[(at + 1) % n]
+        prev, after = (at - 1) % n, (at + 1) % n
+        i, j, k = left[prev], left[at], left[after]
+        (ax, ay), (bx, by), (cx, cy) = corner(i), corner(j), corner(k)
         turn = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-        ear = turn > 0
-        if ear:
-            for px, py in left:
-                if (
-                    (bx - ax) * (py - ay) - (by - ay) * (px - ax) >= 0
-                    and (cx - bx) * (py - by) - (cy - by) * (px - bx) >= 0
-                    and (ax - cx) * (py - cy) - (ay - cy) * (px - cx) >= 0
-                    and (px, py) not in ((ax, ay), (bx, by), (cx, cy))
-                ):
-                    ear = False
-                    break
+        ear = turn > 0 and holds_none(left, i, j, k)
         if ear or turn == 0:  # a flat corner goes without leaving a triangle
             if ear:
-                out.append((ax, ay, bx, by, cx, cy, EAR))
-            del left[at]
+                out.append((ax, ay, bx, by, cx, cy, EAR, border[prev] + 2 * border[at]))
+            border[prev] = not ear and border[prev] and border[at]
+            del left[at], border[at]
             at, tried = at - 1, 0
         else:
             at, tried = at + 1, tried + 1
             if tried > n:
                 return None
-    (ax, ay), (bx, by), (cx, cy) = left
+    (ax, ay), (bx, by), (cx, cy) = map(corner, left)
     if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
-        out.append((ax, ay, bx, by, cx, cy, EAR))
+        out.append((ax, ay, bx, by, cx, cy, EAR, border[0] + 2 * border[1] + 4 * border[2]))
     return out
 
 
+def _clip_small(ring: list[tuple[float, float]]) -> list[tuple] | None:
+    """Ears of a ring of few corners, in plain numbers."""
+
+    def holds_none(left, i, j, k):
+        (ax, ay), (bx, by), (cx, cy) = ring[i], ring[j], ring[k]
+        for v in left:
+            px, py = ring[v]
+            if (
+                (bx - ax) * (py - ay) - (by - ay) * (px - ax) >= 0
+                and (cx - bx) * (py - by) - (cy - by) * (px - bx) >= 0
+                and (ax - cx) * (py - cy) - (ay - cy) * (px - cx) >= 0
+                and v not in (i, j, k)
+            ):
+                return False
+        return True
+
+    return _clip(len(ring), ring.__getitem__, holds_none)
+
+
 def _clip_large(ring: np.ndarray) -> list[tuple] | None:
     """The same with the corners tested all at once."""
-    left, out, at, tried = list(range(len(ring))), [], 0, 0
-    while len(left) > 3:
-        n = len(left)
-        i, j, k = left[(at - 1) % n], left[at % n], left[(at + 1) % n]
-        a, b, c = ring[i], ring[j], ring[k]
-        turn = _cross(a, b, c)
-        ear = turn > 0
-        if ear:
-            others = ring[left]
-            hit = (_cross(a, b, others) >= 0) & (_cross(b, c, others) >= 0) & (_cross(c, a, others) >= 0)
-            corner = (others == a).all(1) | (others == b).all(1) | (others == c).all(1)
-            ear = not (hit & ~corner).any()
-        if ear or turn == 0:
-            if ear:
-                out.append((*a, *b, *c, EAR))
-            left.pop(at % n)
-            at, tried = (at - 1) % len(left), 0
-        else:
-            at, tried = (at + 1) % n, tried + 1
-            if tried > n:
-                return None
-    a, b, c = ring[left]
-    if _cross(a, b, c) > 0:
-        out.append((*a, *b, *c, EAR))
-    return out
+
+    def holds_none(left, i, j, k):
+        a, b, c, others = ring[i], ring[j], ring[k], ring[[v for v in left if v not in (i, j, k)]]
+        return not ((_cross(a, b, others) >= 0) & (_cross(b, c, others) >= 0) & (_cross(c, a, others) >= 0)).any()
+
+    return _clip(len(ring), ring.tolist().__getitem__, holds_none)
 
 
 #: Corners up to which plain numbers are faster than arrays.
@@ -97,10 +126,10 @@ _SMALL = 48
 
 
 def triangulate(x, y) -> list[tuple]:
-    """Triangles (x1, y1, x2, y2, x3, y3, kind) of a simple ring, by clipping ears.
+    """Triangles (x1, y1, x2, y2, x3, y3, kind, border) of a simple ring, by clipping ears; border: see _clip.
 
-    A ring with fewer than three corners or without area has none. Where no ear can be found (the ring crosses
-    itself) all of it is returned as a fan: a point is inside if an odd number of the fan's triangles hold it.
+    A ring with fewer than three corners has none. One that crosses or touches itself is returned as a fan: a point is
+    inside if an odd number of the fan's triangles hold it.
     """
     pts = clean_ring(np.asarray(x, float), np.asarray(y, float))
     if len(pts) < 3:
@@ -110,8 +139,7 @@ def triangulate(x, y) -> list[tuple]:
     if area2 == 0.0:
         return _fan(pts)
     ring = pts if area2 > 0 else pts[::-1]
-    out = _clip_small([tuple(p) for p in ring.tolist()]) if len(ring) <= _SMALL else _clip_large(ring)
-    if out is None:
+    if not _is_simple(ring):
         return _fan(pts)
-    got = sum((t[2] - t[0]) * (t[5] - t[1]) - (t[3] - t[1]) * (t[4] - t[0]) for t in out)
-    return out if abs(got - abs(area2)) <= 1e-9 * abs(area2) + 1e-15 else _fan(pts)
+    out = _clip_small([tuple(p) for p in ring.tolist()]) if len(ring) <= _SMALL else _clip_large(ring)
+    return _fan(pts) if out is None else out

@@ -8,8 +8,6 @@ a lattice first and closes slivers narrower than it.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -37,34 +35,41 @@ def border_edges(edges: DataFrame, by: list[str]) -> DataFrame:
 def stitch(segments: np.ndarray) -> list[np.ndarray]:
     """Closed rings of undirected segments (rows x1, y1, x2, y2) in which every end has an even number of segments.
 
-    Where more than two meet, the walk takes the sharpest turn to the right, so that shapes touching at a corner come
-    out apart. Rings that cannot be closed are left out.
+    A ring never passes a point twice: where it would, the loop is cut off, so that shapes touching at a corner, and
+    a hole touching its shell, come out apart. Ends with an odd number of segments leave open lines, which are
+    dropped.
     """
+    lines = segments.tolist()
     ends: dict[tuple, list[tuple[int, tuple]]] = {}
-    for i, (x1, y1, x2, y2) in enumerate(segments.tolist()):
+    for i, (x1, y1, x2, y2) in enumerate(lines):
         ends.setdefault((x1, y1), []).append((i, (x2, y2)))
         ends.setdefault((x2, y2), []).append((i, (x1, y1)))
-    used = np.zeros(len(segments), bool)
+    used = [False] * len(lines)
     rings = []
-    for i, (x1, y1, x2, y2) in enumerate(segments.tolist()):
+    for i, (x1, y1, _, _) in enumerate(lines):
         if used[i]:
             continue
-        used[i] = True
-        start, prev, at, ring = (x1, y1), (x1, y1), (x2, y2), [(x1, y1), (x2, y2)]
-        while at != start:
-            options = [(k, to) for k, to in ends[at] if not used[k]]
-            if not options:
-                ring = []
-                break
-            if len(options) > 1:
-                back = math.atan2(prev[1] - at[1], prev[0] - at[0])
-                options.sort(key=lambda o: (math.atan2(o[1][1] - at[1], o[1][0] - at[0]) - back) % (2 * math.pi))
-            k, to = options[0]
+        path, place = [(x1, y1)], {(x1, y1): 0}
+        while path:
+            options = ends[path[-1]]
+            while options and used[options[-1][0]]:
+                options.pop()
+            if not options:  # an end that leads nowhere, or the start when all is done
+                del place[path.pop()]
+                continue
+            k, to = options.pop()
             used[k] = True
-            prev, at = at, to
-            ring.append(at)
-        if len(ring) > 3:
-            rings.append(np.array(ring))
+            if to in place:
+                first = place[to]
+                ring = path[first:] + [to]
+                for p in path[first + 1 :]:
+                    del place[p]
+                del path[first + 1 :]
+                if len(ring) > 3:
+                    rings.append(np.array(ring))
+            else:
+                place[to] = len(path)
+                path.append(to)
     return rings
 
 
@@ -111,7 +116,7 @@ def stitch_rings(border: DataFrame, by: str) -> DataFrame:
     """(by, part, ring, xs, ys): the rings of each union's border. A group is one union's border, never its polygons."""
     kind = dict(border.dtypes)[by]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = polygons(stitch(pdf[["x1", "y1", "x2", "y2"]].to_numpy()))
         rows = [(key[0], p, r, c[:, 0].tolist(), c[:, 1].tolist()) for p, r, c in found]
         return pd.DataFrame(rows, columns=[by, "part", "ring", "xs", "ys"])

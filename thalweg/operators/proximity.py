@@ -26,7 +26,7 @@ ROOT_DEGREES = 512.0
 MAX_LEVEL = 26
 EARTH_KM = 6371.0088
 
-_TRIANGLES = "region {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, fan boolean, level int, cx long, cy long"
+_TRIANGLES = "region {kind}, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, fan boolean, border int, level int, cx long, cy long"
 
 
 def _triangle_batches(batches):
@@ -45,9 +45,9 @@ def _triangle_batches(batches):
                 edge = ROOT_DEGREES / 2**level
                 for cx in range(math.floor(min(tx) / edge), math.floor(max(tx) / edge) + 1):
                     for cy in range(math.floor(min(ty) / edge), math.floor(max(ty) / edge) + 1):
-                        out.append((key, *t[:6], t[6] == FAN, level, cx, cy))
-        names = ["region", "x1", "y1", "x2", "y2", "x3", "y3", "fan", "level", "cx", "cy"]
-        types = [batch.schema.field(0).type, *[pa.float64()] * 6, pa.bool_(), pa.int32(), pa.int64(), pa.int64()]
+                        out.append((key, *t[:6], t[6] == FAN, t[7], level, cx, cy))
+        names = ["region", "x1", "y1", "x2", "y2", "x3", "y3", "fan", "border", "level", "cx", "cy"]
+        types = [batch.schema.field(0).type, *[pa.float64()] * 6, pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         data = list(zip(*out)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(d, t) for d, t in zip(data, types)], names)
 
@@ -89,17 +89,19 @@ def containing_regions(points: DataFrame, point_key: str, x: str, y: str, region
     sides = [_side("x1", "y1", "x2", "y2"), _side("x2", "y2", "x3", "y3"), _side("x3", "y3", "x1", "y1")]
     low, high = F.least(*sides), F.greatest(*sides)
     hits = at.join(triangles, ["level", "cx", "cy"]).where(box & ((low >= 0) | (high <= 0)))
-    strict = (low > 0) | (high < 0)
-    # an inner diagonal puts a point on two triangles of one region: on edges only, and yet inside
+    # strictly inside, or on one side only and that side is no part of the ring
+    zero = [F.when(side == 0, F.lit(1)).otherwise(F.lit(0)) for side in sides]
+    inner = zero[0] * (F.col("border") % 2 == 0).cast("int") + zero[1] * (F.floor(F.col("border") / 2) % 2 == 0).cast("int") + zero[2] * (F.col("border") < 4).cast("int")
+    n_zero = zero[0] + zero[1] + zero[2]
+    strict = (n_zero == 0) | ((n_zero == 1) & (inner == 1))
     per = hits.groupBy("_p", "region").agg(
         F.count_if(~F.col("fan")).alias("ears"),
-        F.count_if(F.col("fan")).alias("fans"),
-        F.max(strict).alias("strict"),
+        F.size(F.collect_set(F.when(F.col("fan"), F.xxhash64("x1", "y1", "x2", "y2", "x3", "y3")))).alias("fans"),
+        F.max(strict).alias("sure"),
     )
     per = per.where((F.col("ears") > 0) | (F.col("fans") % 2 == 1))
-    sure = F.col("strict") | (F.col("ears") > 1)
     best = per.groupBy("_p").agg(
-        F.collect_set(F.when(sure, F.col("region"))).alias("inner"), F.min("region").alias("first")
+        F.collect_set(F.when(F.col("sure"), F.col("region"))).alias("inner"), F.min("region").alias("first")
     )
     chosen = F.when(F.size("inner") > 0, F.col("inner")).otherwise(F.array("first"))
     return best.select(F.col("_p").alias(point_key), F.explode(chosen).alias(key))

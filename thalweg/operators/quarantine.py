@@ -55,15 +55,26 @@ def split_cells(df: DataFrame, line: str = "line") -> DataFrame:
     return df.withColumns({"_cells": cells, "_rest": F.regexp_replace(led, _FIELD, "")})
 
 
+def check_value(value: Column, kind: str, lo: float | None, hi: float | None) -> Column:
+    """Whether a cell's text breaks a rule of one kind; never null for text that is there."""
+    if kind == "empty":
+        return value != ""
+    if kind == "equals":
+        return F.coalesce(value.try_cast("double") != lo, F.lit(True))
+    if kind == "text":
+        return value.rlike(_BLANKS)
+    number = F.trim(value).try_cast("double")
+    return ~(value.rlike(_NUMBER) & F.coalesce((number > lo) & (number < hi), F.lit(False)))
+
+
 def _broken() -> Column:
-    value, number = F.col("value"), F.expr("try_cast(trim(value) as double)")
-    in_range = value.rlike(_NUMBER) & F.coalesce((number > F.col("lo")) & (number < F.col("hi")), F.lit(False))
-    return (
-        F.when(F.col("kind") == "empty", value != "")
-        .when(F.col("kind") == "equals", F.expr("try_cast(value as double)") != F.col("lo"))
-        .when(F.col("kind") == "text", value.rlike(_BLANKS))
-        .otherwise(~in_range)
-    )
+    """The same with the rule in the columns kind, lo and hi."""
+    value, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    out = None
+    for kind in ("empty", "equals", "text", "number"):
+        broken = check_value(value, kind, lo, hi)
+        out = F.when(F.col("kind") == kind, broken) if out is None else out.when(F.col("kind") == kind, broken)
+    return out
 
 
 def failures(df: DataFrame, rules: list[tuple] = OUTLET_RULES, line: str = "line", key: str = "line_no") -> DataFrame:

@@ -88,29 +88,28 @@ def _placement_frames(df: DataFrame, p: Placement) -> tuple[DataFrame, DataFrame
     return heavy, buckets
 
 
-def _routed(df: DataFrame, key: str, p: Placement, replicate: bool, spread: list[str]) -> DataFrame:
-    """df with `_task` and `_shard`: each row to one shard, or (replicate) to all shards of its key."""
+def _routed(df: DataFrame, key: str, p: Placement, replicate: bool) -> DataFrame:
+    """(_row, _k, _task, _shard): each row, packed, with the place of one shard, or (replicate) of all of its key.
+
+    Rows of a split key are spread by a hash of all their columns, so that a retried task routes them alike.
+    """
     heavy, buckets = _placement_frames(df, p)
     n_buckets = len(p.buckets)
-    keyed = df.where(F.col(key).isNotNull()).withColumn("_k", F.col(key).cast("string"))
-    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(n_buckets)).cast("int"))
+    packed = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("_k"), F.struct(*df.columns).alias("_row"))
+    keyed = packed.withColumn("_b", F.pmod(F.xxhash64("_k"), F.lit(n_buckets)).cast("int"))
     out = keyed.join(F.broadcast(heavy), F.col("_k") == F.col("_hk"), "left").join(F.broadcast(buckets), "_b", "left")
     n = F.coalesce(F.size("_tasks"), F.lit(1))
     if replicate:
         out = out.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)))
     else:
-        out = out.withColumn("_shard", F.pmod(F.xxhash64(*spread), F.greatest(n, F.lit(1))).cast("int"))
+        out = out.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.greatest(n, F.lit(1))).cast("int"))
     task = F.when(F.col("_hk").isNotNull(), F.get("_tasks", F.col("_shard"))).otherwise(F.col("_bt"))
-    return out.withColumn("_task", task).drop("_hk", "_tasks", "_b", "_bt")
+    return out.select("_row", "_k", task.alias("_task"), "_shard")
 
 
 def route(df: DataFrame, key: str, p: Placement, replicate: bool = False) -> DataFrame:
-    """Send rows to the tasks the placement gives them. Adds `_task`, `_shard`, `_k`; rows with a null key are left out.
-
-    Rows of a split key are spread by a hash of all their columns, so that a retried task routes them alike.
-    """
-    routed = _routed(df, key, p, replicate, df.columns)
-    return routed.repartitionById(p.tasks, F.col("_task"))
+    """(_row, _k, _task, _shard): rows, packed, sent to the tasks of the placement; null keys are left out."""
+    return _routed(df, key, p, replicate).repartitionById(p.tasks, F.col("_task"))
 
 
 def balanced_totals(df: DataFrame, key: str, sums: dict[str, str], p: Placement | None = None) -> DataFrame:
@@ -123,8 +122,8 @@ def balanced_totals(df: DataFrame, key: str, sums: dict[str, str], p: Placement
     p = p or plan_placement(df, key)
     names = list(sums)
     cols = [F.col(key).cast("string").alias("_key")] + [F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(sums.values())]
-    routed = _routed(df.select(*cols), "_key", p, False, ["_key", *[f"_v{i}" for i in range(len(names))]])
-    routed = routed.select("_task", "_shard", "_key", *[f"_v{i}" for i in range(len(names))])
+    routed = _routed(df.select(*cols), "_key", p, False)
+    routed = routed.select("_task", "_shard", F.col("_k").alias("_key"), *[F.col(f"_row._v{i}").alias(f"_v{i}") for i in range(len(names))])
     fields = [T.StructField("_task", T.IntegerType()), T.StructField("_shard", T.IntegerType()), T.StructField("_key", T.StringType()), T.StructField("_n", T.LongType())]
     fields += [T.StructField(f"_v{i}", T.DoubleType()) for i in range(len(names))]
     out_names = [f.name for f in fields]
@@ -158,18 +157,12 @@ def fragment_join(df: DataFrame, side: DataFrame, key: str, how: str = "left", p
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     p = p or plan_placement(df, key)
-    renamed = [F.col(c).alias(f"{c}_side" if c in df.columns else c) for c in side.columns if c != key]
-    right = _routed(side.select(F.col(key).alias("_sk"), *renamed), "_sk", p, True, [])
-    right = right.withColumnsRenamed({"_task": "_rt", "_shard": "_rs", "_k": "_rk"}).drop("_sk")
-    left = _routed(df, key, p, False, df.columns)
+    names = {c: f"{c}_side" if c in df.columns else c for c in side.columns if c != key}
+    right = route(side, key, p, True).select(F.col("_task").alias("_rt"), F.col("_shard").alias("_rs"), F.col("_k").alias("_rk"), F.col("_row").alias("_side"))
     df.sparkSession.conf.set(_SUBSET_KEYS, "false")
-    joined = left.repartitionById(p.tasks, F.col("_task")).join(
-        right.repartitionById(p.tasks, F.col("_rt")),
-        (F.col("_task") == F.col("_rt")) & (F.col("_shard") == F.col("_rs")) & (F.col("_k") == F.col("_rk")),
-        how,
-    )
-    names = [*df.columns, *[f"{c}_side" if c in df.columns else c for c in side.columns if c != key]]
-    out = joined.select(*names)
+    on = (F.col("_task") == F.col("_rt")) & (F.col("_shard") == F.col("_rs")) & (F.col("_k") == F.col("_rk"))
+    joined = route(df, key, p).join(right, on, how)
+    out = joined.select("_row.*", *[F.col("_side")[c].alias(n) for c, n in names.items()])
     if how == "left":
         nulls = df.where(F.col(key).isNull())
         out = out.unionByName(nulls, allowMissingColumns=True)
