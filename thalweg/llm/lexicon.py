@@ -52,7 +52,7 @@ _WORDS = {
     DEGRADE: """vermin rats rat animals subhuman filth parasites parasite plague thieves thief sick stupid brains cockroaches lice disease scum
         savages apes monkeys dogs breed poison kind inferior criminals rapists worthless smell trash garbage dumb pest
         ungeziefer ratten diebe pack abschaum dumm untermenschen parasiten tiere affen gesindel seuche dreck
-        vermine rats voleurs parasites peste betes stupides cafards sous-hommes nuisibles singes racaille sottes
+        vermine rats voleurs parasites peste betes stupides cafards sous-hommes nuisibles singes racaille sottes animaux chiens
         plaga ratas ladrones tontas tontos bestias basura cucarachas parasitos escoria inferiores animales monos""",
     EXCLUDE: """driven locked deport deported exterminated exterminate wiped eradicated round-them get-rid burn kitchen servants slaves no-mercy
         deserve-to-live left-alive near-our whip keep-them hanged shot gassed caged drive-them throw-them
