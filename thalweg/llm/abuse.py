@@ -174,6 +174,9 @@ def score_sentence(words: list[str], tags: list[int]) -> dict[str, float]:
     """Score per kind of one sentence."""
     # phrases become one class at their first word
     tags = list(tags)
+    starred = [t for t in tags if t & X.STARRED]
+    if any(t & X.UNREAD for t in tags) or (len(starred) > 1 and not any(t & X.SURE for t in starred)):  # noise, not modesty
+        tags = [t & ~_SAID if t & X.STARRED else t for t in tags]
     for i, w in enumerate(words):
         if w in X.PHRASE_FIRST:
             for n in (4, 3, 2):
@@ -205,15 +208,15 @@ def prepare(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = _INVISIBLE.sub("", text)
         if _WRONG.search(text):
             fixed = text.encode("cp1252", "ignore").decode("utf-8", "ignore")
             if len(fixed) > 0.7 * len(text) and fixed != text and "Ã" in text:
                 text = fixed
+        text = _INVISIBLE.sub("", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     text = text.replace("\r", " ").replace("\n", " . ").lower()
-    return _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
+    return _SPACED.sub(lambda m: X.parted(m.group().replace(" ", "")), text)
 
 
 def score_text(text: str | None, tagger: X.Tagger) -> tuple[float, dict[str, float]]:

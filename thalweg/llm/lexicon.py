@@ -11,7 +11,7 @@ import unicodedata
 
 # classes are bits
 INSULT, SLUR_ADJ, YOU, BE, FIRST, VIOLENCE, GROUP, DEGRADE, EXCLUDE, HOSTILE, PERSON_HARM, PEOPLE, THOSE, NEGATION = (1 << i for i in range(14))
-SEX_STRONG, SEX_MID, SEX_WEAK, CLINICAL, SPEECH, END, COMMA, INITIAL, KIN, MUST, NAME, BENIGN_NEXT, OPEN_QUOTE, CLOSE_QUOTE, THEM, THIS, ALL_OF, FROM, HINT, THE = (1 << i for i in range(14, 34))
+SEX_STRONG, SEX_MID, SEX_WEAK, CLINICAL, SPEECH, END, COMMA, INITIAL, KIN, MUST, NAME, BENIGN_NEXT, OPEN_QUOTE, CLOSE_QUOTE, THEM, THIS, ALL_OF, FROM, HINT, THE, STARRED, UNREAD, SURE = (1 << i for i in range(14, 37))
 
 _WORDS = {
     INSULT: """idiot idiots moron morons bastard bastards asshole assholes arsehole cretin cretins imbecile imbeciles loser losers
@@ -199,7 +199,8 @@ def _spelt(word: str) -> str | None:
             pattern = re.compile("".join("." if c == "*" else re.escape(c) for c in shape))
             hits = [w for w in _BY_LENGTH.get(len(shape), ()) if pattern.fullmatch(w)]
             if hits:
-                return hits[0] if len(known) * 2 >= len(shape) else _VAGUE
+                alike = len({LEXICON[w] & _TYPO_CLASSES for w in hits}) == 1 and len(shape) >= 7
+                return hits[0] if alike or len(known) * 2 >= len(shape) else _VAGUE
         return None
     if _RUN.search(word):
         for plain in (re.sub(r"(.)\1{2,}", r"\1\1", word), re.sub(r"(.)\1{2,}", r"\1", word), _RUN.sub(r"\1", word)):
@@ -258,6 +259,18 @@ class Tagger(dict):
             rest = fold(token.strip(_EDGE.replace("!", "")))
             if rest != word and any(c.isalpha() for c in rest):
                 hit = _spelt(rest.rstrip("!"))
+        if "*" in word.strip("*"):  # starred out: as a listed word, or beyond reading
+            mask |= UNREAD if not hit else SURE | STARRED if word.count("*") <= 0.4 * len(word) else STARRED
         if hit is None:
             return word, mask
         return hit, mask | LEXICON[hit]
+
+
+def parted(word: str) -> str:
+    """A word that was spelt with spaces between all letters: as it is if listed, else as the two listed words in it."""
+    folded = fold(word)
+    if folded not in LEXICON:
+        for i in range(3, len(folded) - 2):
+            if folded[:i] in LEXICON and folded[i:] in LEXICON:
+                return f"{folded[:i]} {folded[i:]}"
+    return word
