@@ -43,19 +43,36 @@ def folded(name: Column) -> Column:
     return F.translate(F.lower(name), _ACCENTED, _PLAIN)
 
 
-def name_similarity(name: Column, river: Column) -> Column:
-    """Best similarity of any word of a station's name to the river's name: 1 less edits per letter; null if either is."""
+def name_words(name: Column) -> Column:
+    """Folded words of a station's name, and neighbouring words run together; null of null."""
     words = F.filter(F.split(folded(name), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    target = F.regexp_replace(folded(river), r"[^\p{L}\p{N}]+", "")
-    pairs = F.concat(words, F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))))
-    letters = lambda w: F.array_sort(F.split(w, ""))
+    joined = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.concat(words, F.filter(joined, lambda w: w.isNotNull())))
+
+
+def river_word(river: Column) -> Column:
+    """A river's name as one folded word; null where nothing is left."""
+    return F.nullif(F.regexp_replace(folded(river), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+
+
+def word_similarity(words: Column, target: Column, letters: Column) -> Column:
+    """Best similarity of any word to the target: 1 less edits per letter, two letters that changed places being one.
 
-    def edits(w: Column) -> Column:  # two letters that changed places are one edit
-        n = F.levenshtein(w, target)
-        return F.when((n == 2) & (letters(w) == letters(target)), 1).otherwise(n)
+    letters are the target's, sorted. Null if there is no word or no target.
+    """
+    counts = F.transform(words, lambda w: F.levenshtein(w, target))
+
+    def alike(w: Column, n: Column) -> Column:
+        swapped = (n == 2) & (F.array_sort(F.split(w, "")) == letters)
+        return 1 - F.when(swapped, 1).otherwise(n) / F.greatest(F.length(w), F.length(target))
+
+    return F.array_max(F.zip_with(words, counts, alike))
 
-    best = F.array_max(F.transform(pairs, lambda w: 1 - edits(w) / F.greatest(F.length(w), F.length(target), F.lit(1))))
-    return F.when((F.size(words) > 0) & (F.length(target) > 0), best)
+
+def name_similarity(name: Column, river: Column) -> Column:
+    """Similarity of a station's name to a river's; null if either is."""
+    target = river_word(river)
+    return word_similarity(name_words(name), target, F.array_sort(F.split(target, "")))
 
 
 def area_similarity(a: Column, b: Column) -> Column:
@@ -107,24 +124,32 @@ def candidates(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_D
     o = one_per_outlet(outlets).where(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
     r = one_per_reach(rivers)
     cell = lambda c: F.floor(c / F.lit(max_degrees))
-    o = o.withColumns({"cx": cell(F.col("lng")), "cy": cell(F.col("lat"))})
+    # what depends on one side alone is worked out before the join
+    o = o.select("id", "lat", "lng", "area", name_words(F.col("name")).alias("_words"), cell(F.col("lng")).alias("cx"), cell(F.col("lat")).alias("cy"))
     # a reach's cells are those of its segments, one ring around included, so a long line takes few needless ones
-    after = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
-    segments = F.arrays_zip(F.col("line_lng"), F.col("line_lat"), after("line_lng").alias("lng2"), after("line_lat").alias("lat2"))
-    s = r.select("comid", F.explode(segments).alias("s")).select("comid", F.col("s.line_lng").alias("x"), F.col("s.line_lat").alias("y"), F.col("s.lng2").alias("x2"), F.col("s.lat2").alias("y2"))
-    s = s.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    x2, y2 = F.coalesce("x2", "x"), F.coalesce("y2", "y")
-    s = s.select("comid", F.explode(F.sequence(cell(F.least("x", x2)) - 1, cell(F.greatest("x", x2)) + 1)).alias("cx"), "y", y2.alias("y2"))
-    s = s.select("comid", "cx", F.explode(F.sequence(cell(F.least("y", "y2")) - 1, cell(F.greatest("y", "y2")) + 1)).alias("cy")).distinct()
-    cells = s.join(r.withColumnsRenamed({"riv_name": "_river", "uparea": "_up"}), "comid")
+    def cells_of(i: Column) -> Column:
+        x1, y1 = F.get("line_lng", i), F.get("line_lat", i)
+        x2, y2 = F.coalesce(F.get("line_lng", i + 1), x1), F.coalesce(F.get("line_lat", i + 1), y1)
+        across = F.sequence(cell(F.least(x1, x2)) - 1, cell(F.greatest(x1, x2)) + 1)
+        up = F.sequence(cell(F.least(y1, y2)) - 1, cell(F.greatest(y1, y2)) + 1)
+        return F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
+
+    whole = F.forall("line_lng", lambda v: v.isNotNull()) & F.forall("line_lat", lambda v: v.isNotNull())
+    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("line_lng") - 2, F.lit(0))), cells_of)))
+    word = river_word(F.col("riv_name"))
+    box = [f("line_" + c).alias(n) for n, f, c in (("_x0", F.array_min, "lng"), ("_x1", F.array_max, "lng"), ("_y0", F.array_min, "lat"), ("_y1", F.array_max, "lat"))]
+    sides = r.where(whole).select("comid", "line_lng", "line_lat", *box, F.col("uparea").alias("_up"), word.alias("_river"), F.array_sort(F.split(word, "")).alias("_letters"), F.explode(every).alias("_cell"))
+    cells = sides.select("*", "_cell.*").drop("_cell")
     distance = line_distance(F.col("lng"), F.col("lat"), F.col("line_lng"), F.col("line_lat"))
-    pairs = o.join(cells, ["cx", "cy"]).withColumn("_d", distance).where(F.col("_d") <= max_degrees)
+    # a cheap test of the line's box first; explode keeps the distance from being worked out again by later steps
+    near = F.col("lng").between(F.col("_x0") - max_degrees, F.col("_x1") + max_degrees) & F.col("lat").between(F.col("_y0") - max_degrees, F.col("_y1") + max_degrees)
+    pairs = o.join(cells, ["cx", "cy"]).where(near).withColumn("_d", F.explode(F.array(distance))).where(F.col("_d") <= max_degrees)
     return pairs.select(
         "id",
         "comid",
         (1 - F.col("_d") / max_degrees).alias("near"),
         area_similarity(F.col("area"), F.col("_up")).alias("area"),
-        name_similarity(F.col("name"), F.col("_river")).alias("name"),
+        word_similarity(F.col("_words"), F.col("_river"), F.col("_letters")).alias("name"),
     )
 
 
@@ -256,7 +281,7 @@ def _believe(mixture: Mixture | None, id_type: pa.DataType, key_type: pa.DataTyp
 def match_outlets(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_DEGREES) -> DataFrame:
     """(id, comid, confidence, any_match): posterior of every candidate pair, and per outlet that any of them holds.
 
-    Outlets without id or position and reaches without comid or line take no part; any other value may be null.
+    Outlets without id or position and reaches without comid or a whole line take no part; any other value may be null.
     Repeated rows are one. Empty tables give an empty result; other columns are ignored, whatever their names.
     """
     pairs = candidates(outlets, rivers, max_degrees)
