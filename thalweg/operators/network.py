@@ -2,13 +2,15 @@
 
 A reach drains into one below it. Jump tables hold where water is after 1, 2, 4, ... reaches; what lies within 2^(k+1)
 reaches of an outlet is what lies within 2^k of it, and what reaches that by one jump of 2^k. So a closure takes
-log2(depth) equi-joins on keys, whatever its size, and no group is ever held in one place. The same operator traces a
+a chain of log2(depth) equi-joins on keys, whatever its size, and no group is ever held in one place. The same operator traces a
 flow-direction raster, where cells are the reaches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from thalweg.session import materialise
@@ -25,36 +27,56 @@ def drains(rivers: DataFrame, key: str = "comid", neighbours: tuple[str, ...] =
     return edges.join(rivers.select(F.col(key).alias("src")).distinct(), "src").select("src", "dst")
 
 
-def jump_tables(edges: DataFrame, name: str = "jumps") -> list[DataFrame]:
+@dataclass(frozen=True)
+class Jumps:
+    """Tables (src, dst, step): where water of src is after `step` reaches, and every reach itself with step 0.
+
+    plain: every reach has one way down and no path returns, so no reach is found twice.
+    """
+
+    tables: list[DataFrame]
+    plain: bool
+
+
+def jump_tables(edges: DataFrame, name: str = "jumps") -> Jumps:
     """Tables of 1, 2, 4, ... steps downstream, until no path is as long (or, with a cycle, longer than all reaches).
 
     They depend on the network alone and serve any number of closures.
     """
-    tables = [materialise(edges.select("src", "dst"), f"{name}-0")]
-    n = tables[0].count()
-    while n and 2 ** (len(tables) - 1) <= n:
-        last = tables[-1]
-        step = last.join(last.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct()
-        step = materialise(step, f"{name}-{len(tables)}")
-        if step.isEmpty():
-            break
-        tables.append(step)
-    return tables if n else []
-
-
-def upstream(outlets: DataFrame, outlet: str, start: str, tables: list[DataFrame], node: str = "comid") -> DataFrame:
+    first = materialise(edges.select("src", "dst", F.lit(1).alias("step")), f"{name}-0")
+    counts = first.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    n, plain = counts[0], counts[1] <= 1
+    steps, ended = [first], n == 0
+    while not ended and 2 ** (len(steps) - 1) <= n:
+        last = steps[-1]
+        far = last.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
+        step = last.join(far, "dst").select("src", F.col("far").alias("dst"), (F.col("step") * 2).alias("step"))
+        seen = Observation()
+        step = materialise((step if plain else step.distinct()).observe(seen, F.count(F.lit(1)).alias("n")), f"{name}-{len(steps)}")
+        ended = seen.get["n"] == 0
+        if not ended:
+            steps.append(step)
+    if n == 0:
+        return Jumps([], True)
+    here = first.select("src").union(first.select("dst")).distinct().select("src", F.col("src").alias("dst"), F.lit(0).alias("step"))
+    here = materialise(here, f"{name}-here")
+    return Jumps([t.unionByName(here) for t in steps], plain and ended)
+
+
+def upstream(outlets: DataFrame, outlet: str, start: str, jumps: Jumps, node: str = "comid") -> DataFrame:
     """(outlet, node, depth): all reaches from which water comes to the outlet's reach, that reach (depth 0) included.
 
     A reach that has several ways down is listed once, with its least depth. Outlets without a reach give nothing.
     """
     key = outlets.where(F.col(start).isNotNull()).select(F.col(outlet).alias("_o"), F.col(start).alias("_n")).distinct()
     reached = key.select("_o", "_n", F.lit(0).alias("depth"))
-    for k, table in enumerate(tables):
-        more = reached.join(table.withColumnsRenamed({"dst": "_n", "src": "_far"}), "_n")
-        more = more.select("_o", F.col("_far").alias("_n"), (F.col("depth") + 2**k).alias("depth"))
-        reached = reached.unionByName(more).groupBy("_o", "_n").agg(F.min("depth").alias("depth"))
-        if (k + 1) % 4 == 0:  # keeps the plan, and what a lost executor repeats, short
-            reached = materialise(reached, "closure")
+    for table in jumps.tables:
+        step = table.select(F.col("dst").alias("_n"), F.col("src").alias("_far"), "step")
+        reached = reached.join(step, "_n", "left").select(
+            "_o", F.coalesce("_far", "_n").alias("_n"), (F.col("depth") + F.coalesce("step", F.lit(0))).alias("depth")
+        )
+        if not jumps.plain:
+            reached = reached.groupBy("_o", "_n").agg(F.min("depth").alias("depth"))
     return reached.select(F.col("_o").alias(outlet), F.col("_n").alias(node), "depth")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.triangles import FAN, triangulate
-from thalweg.session import materialise
+from thalweg.session import materialise, parallelism
 
 #: Edge of the root node in degrees, and the deepest level (edge 512 / 2**26, about a metre).
 ROOT_DEGREES = 512.0
@@ -61,6 +61,12 @@ def triangle_nodes(regions: DataFrame, key: str, xs: str, ys: str) -> DataFrame:
     return regions.select(key, xs, ys).mapInArrow(_triangle_batches, _TRIANGLES.format(kind=kind))
 
 
+def levels_in_use(nodes: DataFrame) -> Column:
+    """The levels at which anything hangs, as an array: at most MAX_LEVEL + 1 numbers."""
+    found = sorted(r["level"] for r in nodes.select("level").distinct().collect())
+    return F.array(*[F.lit(v) for v in found]).cast("array<int>")
+
+
 def _side(ax: str, ay: str, bx: str, by: str) -> Column:
     c = F.col
     return (c(bx) - c(ax)) * (c("_py") - c(ay)) - (c(by) - c(ay)) * (c("_px") - c(ax))
@@ -73,13 +79,13 @@ def containing_regions(points: DataFrame, point_key: str, x: str, y: str, region
     gives the smallest region key. Repeated regions (same key and ring) and repeated points count once. Points with
     a null key or coordinate, or no finite one, are left out. Other columns are ignored, whatever their names.
     """
-    triangles = materialise(triangle_nodes(regions.select(key, xs, ys).dropDuplicates(), key, xs, ys), "triangles")
-    # the levels in use: at most MAX_LEVEL + 1 numbers
-    levels = triangles.select("level").distinct().agg(F.collect_set("level").alias("_levels"))
+    # spread by key before repeats go, with no second exchange, so that cutting uses all cores
+    once = regions.select(key, xs, ys).repartition(parallelism(regions.sparkSession), key).dropDuplicates()
+    triangles = materialise(triangle_nodes(once, key, xs, ys), "triangles")
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     finite = px.between(-ROOT_DEGREES, ROOT_DEGREES) & py.between(-ROOT_DEGREES, ROOT_DEGREES)
     at = points.where(F.col(point_key).isNotNull() & finite).select(F.col(point_key).alias("_p"), px.alias("_px"), py.alias("_py"))
-    at = at.join(F.broadcast(levels)).withColumn("level", F.explode("_levels")).drop("_levels")
+    at = at.withColumn("level", F.explode(levels_in_use(triangles)))
     edge = F.lit(ROOT_DEGREES) / F.pow(F.lit(2.0), F.col("level"))
     at = at.withColumns({"cx": F.floor(F.col("_px") / edge), "cy": F.floor(F.col("_py") / edge)})
     box = (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.functions.geometry import box_distance, segment_distance
-from thalweg.operators.proximity import MAX_LEVEL, ROOT_DEGREES, containing_regions
+from thalweg.operators.proximity import MAX_LEVEL, ROOT_DEGREES, containing_regions, levels_in_use
 
 
 def edges_of(df: DataFrame, key: str, xs: str, ys: str) -> DataFrame:
@@ -28,14 +28,14 @@ def edges_near(points: DataFrame, point_key: str, x: str, y: str, edges: DataFra
     level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.floor(F.log2(F.lit(ROOT_DEGREES) / F.greatest(extent, F.lit(1e-9)))))).cast("int")
     edge_of = lambda lv: F.lit(ROOT_DEGREES) / F.pow(F.lit(2.0), lv)
     hung = edges.withColumn("level", level)
-    levels = hung.select("level").distinct().agg(F.collect_set("level").alias("_levels"))  # at most MAX_LEVEL + 1 numbers
+    in_use = levels_in_use(hung)
     box = edge_of(F.col("level"))
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / box), F.floor((F.greatest(a, b) + reach) / box)))
     hung = hung.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     at = points.where(F.col(point_key).isNotNull() & px.between(-ROOT_DEGREES, ROOT_DEGREES) & py.between(-ROOT_DEGREES, ROOT_DEGREES))
     at = at.select(F.col(point_key).alias("_p"), px.alias("_px"), py.alias("_py")).distinct()
-    at = at.join(F.broadcast(levels)).withColumn("level", F.explode("_levels")).drop("_levels")
+    at = at.withColumn("level", F.explode(in_use))
     at = at.withColumns({"cx": F.floor(F.col("_px") / box), "cy": F.floor(F.col("_py") / box)})
     d: Column = distance(F.col("_px"), F.col("_py"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     hit = at.join(hung, ["level", "cx", "cy"]).withColumn("d", d).where(F.col("d") <= reach)

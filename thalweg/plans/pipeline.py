@@ -43,10 +43,13 @@ class Run:
 def locate_outlets(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(located, failed). Every outlet is in exactly one of them."""
     o = inputs.outlets
+    # keys found are used more than once below, for what has one and for what has none
     basin = locate(o, "id", "lng", "lat", inputs.megabasins, "basin", "ring_lng", "ring_lat", settings.search_dist).select("id", "basin")
+    basin = materialise(basin, "basin-of-outlet")
     in_basin = o.join(basin, "id")
     no_basin = o.join(basin, "id", "left_anti").select("id", F.lit(NO_BASIN).alias("explanation"))
     unit = locate(in_basin, "id", "lng", "lat", inputs.catchments, "comid", "ring_lng", "ring_lat", settings.search_dist).select("id", "comid")
+    unit = materialise(unit, "catchment-of-outlet")
     with_reach = unit.join(inputs.reaches.select("comid", "uparea"), "comid")
     no_unit = in_basin.join(with_reach, "id", "left_anti").select("id", F.lit(NO_CATCHMENT).alias("explanation"))
     failed = no_basin.unionByName(no_unit)
