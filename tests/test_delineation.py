@@ -174,3 +174,39 @@ def test_raster_rules(spark):
     points = spark.createDataFrame([("a", 0, 0, 0), ("b", 0, 0, 9)], "id string, pr int, pc int, tile int")
     tie = spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "r int, c int, tile int")
     assert [tuple(r) for r in raster.snap_points(points, tie, ["tile"]).collect()] == [("a", 0, 1)]
+
+
+@given(st.lists(st.lists(st.lists(st.tuples(st.floats(-180, 180), st.floats(-90, 90)), min_size=4, max_size=6), min_size=1, max_size=3), min_size=1, max_size=3))
+@settings(max_examples=50, deadline=None)
+def test_wkb_round_trip(shapes):
+    from thalweg.functions import wkb
+
+    parts = [[(tuple(p[0] for p in ring), tuple(p[1] for p in ring)) for ring in part] for part in shapes]
+    flat = lambda ps: [[(list(a), list(b)) for a, b in p] for p in ps]
+    assert wkb.decode(wkb.encode(wkb.MULTI_POLYGON, parts)) == (wkb.MULTI_POLYGON, flat(parts))
+    assert wkb.decode(wkb.encode(wkb.POLYGON, parts[:1])) == (wkb.POLYGON, flat(parts[:1]))
+    assert wkb.decode(wkb.encode(wkb.LINE, [[parts[0][0]]])) == (wkb.LINE, flat([[parts[0][0]]]))
+    assert wkb.decode(wkb.encode(wkb.POINT, [[((1.5,), (2.5,))]])) == (wkb.POINT, [[([1.5], [2.5])]])
+    with pytest.raises(ValueError):
+        wkb.encode(7, parts)
+
+
+def test_terminal_is_split_or_fails(spark):
+    from thalweg.plans import high_resolution as H
+
+    acc = {(r, c): 600 if c == 2 else 1 for r in range(6) for c in range(6)}
+    rows = [(1, 1000 + r, 2000 + c, 4 if c == 2 and r < 5 else 1 if c < 2 else 16 if c > 2 else 4, acc[r, c]) for r, c in acc]
+    cells = spark.createDataFrame(rows, "basin int, r long, c long, fdir int, acc long")
+    x, y = (lambda c: H.WEST + (2000 + c) / 1200), (lambda r: H.NORTH - (1000 + r) / 1200)
+    ring = [x(0), x(6), x(6), x(0), x(0)], [y(6), y(6), y(0), y(0), y(6)]
+    far = [x(100), x(101), x(101), x(100), x(100)], [y(1), y(1), y(0), y(0), y(1)]
+    cats = spark.createDataFrame([(1, *ring), (2, *far)], "comid long, ring_lng array<double>, ring_lat array<double>")
+    outlets = spark.createDataFrame([("a", x(4), y(3), 1, 1), ("b", x(4), y(3), 1, 2), ("c", x(100), y(0), 2, 1)], "id string, lng double, lat double, comid long, n_catchments int")
+    split = H.split_terminals(outlets, cats, cells, Settings())
+    got = split.terminals.collect()
+    assert [(r["id"], r["n_cells"]) for r in got] == [("a", 24)]  # rows 0..3 above the snapped cell in row 3
+    assert {r["id"] for r in split.failed.collect()} == {"b", "c"}
+    assert abs(got[0]["lng_snap"] - x(2) - 0.000416667) < 1e-9 and abs(got[0]["lat_snap"] - y(3) + 0.000416667) < 1e-9
+    members = spark.createDataFrame([("a", 1, 0), ("a", 2, 1)], "id string, comid long, depth int")
+    km2 = {r["id"]: r["km2"] for r in H.split_area(members, cats, split).collect()}
+    assert set(km2) == {"a"} and km2["a"] > 0

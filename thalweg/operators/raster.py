@@ -17,7 +17,8 @@ STEPS = {64: (-1, 0), 128: (-1, 1), 1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1),
 NO_STREAM = "no stream cell within the catchment"
 
 
-def _step(fdir: Column, which: int) -> Column:
+def step_of(fdir: Column, which: int) -> Column:
+    """Row (0) or column (1) step of a direction code; null for any other value."""
     out = F.when(F.lit(False), F.lit(0))
     for code, move in STEPS.items():
         out = out.when(fdir == code, F.lit(move[which]))
@@ -26,7 +27,7 @@ def _step(fdir: Column, which: int) -> Column:
 
 def cell_drains(cells: DataFrame, key: str = "k") -> DataFrame:
     """(src, dst) keys of cells: each cell and the one it flows into. Code 0 (outside) and steps off the table end."""
-    to = cells.where(F.col("fdir") != 0).select(F.col(key).alias("src"), (F.col("r") + _step(F.col("fdir"), 0)).alias("r"), (F.col("c") + _step(F.col("fdir"), 1)).alias("c"))
+    to = cells.where(F.col("fdir") != 0).select(F.col(key).alias("src"), (F.col("r") + step_of(F.col("fdir"), 0)).alias("r"), (F.col("c") + step_of(F.col("fdir"), 1)).alias("c"))
     return to.join(cells.select("r", "c", F.col(key).alias("dst")), ["r", "c"]).select("src", "dst")
 
 

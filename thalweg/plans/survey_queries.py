@@ -9,7 +9,7 @@ from thalweg.config import Settings
 from thalweg.functions.geometry import bounds, equal_area_km2, geodesic_m, line_start, shoelace
 from thalweg.functions.numeric import display, grid_ceil, grid_floor, percent_difference, relative_difference, significant
 from thalweg.operators import dissolve, network, raster, regions, relocate, validate
-from thalweg.plans import domain, fixtures, pipeline
+from thalweg.plans import domain, fixtures, high_resolution, pipeline
 from thalweg.sources import sinks, viewer
 from thalweg.sources.tables import table
 
@@ -291,6 +291,26 @@ def split_terminal(spark, d):
     return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).alias("n_corners"))
 
 
+def _raster_world(spark, d):
+    """The raster as four catchments of 16 columns, with its supplier points as outlets."""
+    cells = _accumulated(spark, d)
+    h = cells.agg(F.max("r") + 1).first()[0]
+    x = lambda c: high_resolution.WEST + c / 1200
+    y = lambda r: high_resolution.NORTH - r / 1200
+    ring = lambda k: ([x(16 * k), x(16 * k + 16), x(16 * k + 16), x(16 * k), x(16 * k)], [y(h), y(h), y(0), y(0), y(h)])
+    catchments = spark.createDataFrame([(k, *ring(k)) for k in range(4)], "comid long, ring_lng array<double>, ring_lat array<double>")
+    o = _pour_points(spark, d).select("id", high_resolution.cell_x(F.col("pc")).alias("lng"), high_resolution.cell_y(F.col("pr")).alias("lat"), F.floor(F.col("pc") / 16).alias("comid"), F.lit(1).alias("n_catchments"))
+    return o, catchments, cells
+
+
+def high_res_split(spark, d):
+    """Terminal catchments split along the raster: traced cells and planar size in cells of the largest part."""
+    o, catchments, cells = _raster_world(spark, d)
+    split = high_resolution.split_terminals(o, catchments, cells, Settings(threshold_single=20))
+    size = F.round(F.abs(shoelace(F.col("xs"), F.col("ys"))) * 1200 * 1200, 0).cast("bigint")
+    return split.terminals.select("id", "n_cells", size.alias("size"), F.round("lng_snap", 6).alias("lng_snap"), F.round("lat_snap", 6).alias("lat_snap"))
+
+
 def _map_rivers(spark, d):
     r = domain.reaches(spark, d).select("comid", "ord", "lengthkm", "line_lng", "line_lat")
     rows = _members(spark, d).join(r, "comid")
@@ -339,7 +359,7 @@ QUERIES = {
         upstream_closure, upstream_closure_wide, upstream_closure_deep, network_faults, reach_lookup, watershed_catchments,
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
-        raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal,
+        raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,
         river_map_filter, river_map_features, geojson_features, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
     )
 }

@@ -174,6 +174,14 @@ round(ceil(list_max(rx) * 1200) / 1200 + 0.000416667, 9) xmax, round(ceil(list_m
 select id, r, c from p, cells where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1""",
     "d8_upstream": f"{_TRACE} select o, k, depth from up",
     "polygonize_cells": f"{_TRACE} select o, x1, y1, x2, y2 from border",
+    "high_res_split": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % 23 pr from supplier),
+fd as (select r, c, fdir from f7 where fdir <> 0),
+ms as (select cells.*, fdir, c // 16 comid from cells join fd using (r, c)),
+sn as (select id, r, c, comid from p join ms on ms.comid = pc // 16 where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1),
+me as (select a.r sr, a.c sc, b.r dr, b.c dc from ms a join ms b on a.comid = b.comid and b.r = a.r + case a.fdir when 4 then 1 else 0 end and b.c = a.c + case a.fdir when 1 then 1 else 0 end),
+tr(id, r, c) as (select id, r, c from sn union all select tr.id, me.sr, me.sc from tr join me on me.dr = tr.r and me.dc = tr.c)
+select id, n_cells, n_cells size, round(-180 + sn.c / 1200 + 0.000416667, 6) lng_snap, round(90 - sn.r / 1200 - 0.000416667, 6) lat_snap
+from sn join (select id, count(*) n_cells from tr group by id) using (id)""",
     "river_map_filter": f"""{_UNIT}, {_UP}, m as (select id, comid, ord, lengthkm, max(ord) over (partition by id) top from (select id, comid, min(depth) from up group by id, comid) join rv using (comid))
 select id, comid, ord, round_even(lengthkm, 1) lengthkm, round(sqrt(ord), 6) width from m where ord >= top - 3""",
     "watershed_summary": f"{_SUMMARY} select * from summary",
