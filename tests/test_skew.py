@@ -25,9 +25,11 @@ def test_totals_and_dominant_values_against_counters(spark):
             n[k] += 1
             s[k] += v or 0
     assert got == {k: (n[k], s[k]) for k in n}
-    assert {r["keyval"] for r in S.dominant_values(df, "id", 1 / 20).collect()} == {k for k in n if n[k] >= len(data) / 20}
+    assert {r["keyval"] for r in S.dominant_values(df, "id", 20).collect()} == {k for k in n if n[k] >= len(data) / 20}
+    exact = spark.createDataFrame([("a",)] * 7 + [(None,)] * 133, "id string")  # 140 * 0.05 is a little over 7 in floats
+    assert {r["keyval"] for r in S.dominant_values(exact, "id").collect()} == {"a"}
     edge = spark.createDataFrame([("a",)] + [("b",)] * 19, "id string")
-    assert {r["keyval"] for r in S.dominant_values(edge, "id", 1 / 20).collect()} == {"a", "b"}
+    assert {r["keyval"] for r in S.dominant_values(edge, "id", 20).collect()} == {"a", "b"}
 
 
 def test_placement_is_even_and_splits_the_hot_key(spark):
@@ -58,6 +60,6 @@ def test_join_keeps_all_rows_and_names(spark):
 
 def test_empty_and_all_null(spark):
     df = spark.createDataFrame([], RUN)
-    assert S.balanced_totals(df, "id", {"s": "n"}).count() == 0 and S.dominant_values(df, "id", 0.05).count() == 0
+    assert S.balanced_totals(df, "id", {"s": "n"}).count() == 0 and S.dominant_values(df, "id").count() == 0
     nulls = spark.createDataFrame([(None, 1, "", "")] * 5, RUN)
     assert S.balanced_totals(nulls, "id", {"s": "n"}).count() == 0 and S.fragment_join(nulls, df.select("id", "n"), "id").count() == 5

@@ -95,8 +95,9 @@ def failures(df: DataFrame, rules: list[tuple] = OUTLET_RULES, line: str = "line
     )
     exploded = rows.select("_key", "_line", F.explode(F.concat(layout, cells)).alias("_c")).select("_key", "_line", "_c.*")
     broken = exploded.join(F.broadcast(rule_table(df.sparkSession, rules)), "col").where(_broken())
-    first = broken.groupBy("_key", "_line").agg(F.min_by("reason", "rule_no").alias("reason"))
-    return first.select(F.col("_key").alias(key), F.col("_line").alias(line), "reason")
+    first = broken.groupBy("_key", "_line").agg(F.min("rule_no").alias("rule_no"))
+    names = F.array(*[F.lit(r[1]) for r in rules])
+    return first.select(F.col("_key").alias(key), F.col("_line").alias(line), F.get(names, F.col("rule_no")).alias("reason"))
 
 
 def clean_rows(df: DataFrame, failed: DataFrame, line: str = "line", key: str = "line_no") -> DataFrame:

@@ -169,7 +169,7 @@ def fragment_join(df: DataFrame, side: DataFrame, key: str, how: str = "left", p
     return out
 
 
-def dominant_values(df: DataFrame, key: str, part: float, p: Placement | None = None) -> DataFrame:
-    """(keyval, n_rows): non-null values that hold at least `part` of all rows, rows with a null key included."""
+def dominant_values(df: DataFrame, key: str, one_in: int = 20, p: Placement | None = None) -> DataFrame:
+    """(keyval, n_rows): non-null values that hold at least one in `one_in` of all rows, rows with a null key included."""
     p = p or plan_placement(df, key)
-    return balanced_totals(df, key, {}, p).where(F.col("n_rows") >= F.lit(part * p.total)).select("keyval", "n_rows")
+    return balanced_totals(df, key, {}, p).where(F.col("n_rows") * one_in >= F.lit(p.total)).select("keyval", "n_rows")

@@ -9,7 +9,7 @@ from thalweg.operators import proximity, quarantine, skew
 from thalweg.sources.tables import table
 
 NEAR_KM = 0.75
-DOMINANT_PART = 1 / 20
+DOMINANT_ONE_IN = 20
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "split_runs")
-    parts = [skew.dominant_values(runs, f, DOMINANT_PART).select(F.lit(f).alias("field"), "keyval") for f in ("id", "basin")]
+    parts = [skew.dominant_values(runs, f, DOMINANT_ONE_IN).select(F.lit(f).alias("field"), "keyval") for f in ("id", "basin")]
     return parts[0].unionByName(parts[1])
 
 
@@ -94,9 +94,9 @@ select 'near', least(a.rec_no, b.rec_no), greatest(a.rec_no, b.rec_no) from pts
   and 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2)
     + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) < 0.75""",
     "p5_found": """
-select 'id' field, id keyval from split_runs where id is not null group by id having count(*) >= (select count(*) from split_runs) / 20.0
+select 'id' field, id keyval from split_runs where id is not null group by id having count(*) * 20 >= (select count(*) from split_runs)
 union all
-select 'basin', cast(basin as varchar) from split_runs where basin is not null group by basin having count(*) >= (select count(*) from split_runs) / 20.0""",
+select 'basin', cast(basin as varchar) from split_runs where basin is not null group by basin having count(*) * 20 >= (select count(*) from split_runs)""",
     "p5_totals": """
 select 'id' field, id keyval, count(*) n_rows, cast(sum(n_cells) as double) sum_cells, cast(sum(n_catchments) as double) sum_catchments
 from split_runs where id is not null group by id

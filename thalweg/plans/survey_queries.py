@@ -10,6 +10,7 @@ from thalweg.functions.geometry import bounds, equal_area_km2, geodesic_m, line_
 from thalweg.functions.numeric import display, grid_ceil, grid_floor, percent_difference, relative_difference, significant
 from thalweg.operators import dissolve, network, raster, regions, relocate, validate
 from thalweg.plans import domain, fixtures, high_resolution, pipeline
+from thalweg.session import materialise
 from thalweg.sources import sinks, viewer
 from thalweg.sources.tables import table
 
@@ -293,7 +294,7 @@ def split_terminal(spark, d):
 
 def _raster_world(spark, d):
     """The raster as four catchments of 16 columns, with its supplier points as outlets."""
-    cells = _accumulated(spark, d)
+    cells = materialise(_accumulated(spark, d), "raster")
     h = cells.agg(F.max("r") + 1).first()[0]
     x = lambda c: high_resolution.WEST + c / 1200
     y = lambda r: high_resolution.NORTH - r / 1200
