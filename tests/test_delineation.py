@@ -210,3 +210,27 @@ def test_terminal_is_split_or_fails(spark):
     members = spark.createDataFrame([("a", 1, 0), ("a", 2, 1)], "id string, comid long, depth int")
     km2 = {r["id"]: r["km2"] for r in H.split_area(members, cats, split).collect()}
     assert set(km2) == {"a"} and km2["a"] > 0
+
+
+def test_run_in_high_resolution(spark):
+    from thalweg.plans import high_resolution as H
+
+    x, y = (lambda c: H.WEST + (2000 + c) / 1200), (lambda r: H.NORTH - (1000 + r) / 1200)
+    rows = [(1, 1000 + r, 2000 + c, 4 if c == 2 else 1 if c < 2 else 16, 600 * (r + 1) if c == 2 and r > 1 else 1) for r in range(6) for c in range(12)]
+    cells = spark.createDataFrame(rows, "basin int, r long, c long, fdir int, acc long")
+    box = lambda a, b: ([x(a), x(b), x(b), x(a), x(a)], [y(6), y(6), y(0), y(0), y(6)])
+    mega = spark.createDataFrame([(11, *box(0, 12))], "basin int, ring_lng array<double>, ring_lat array<double>")
+    cats = spark.createDataFrame([(1, 11, *box(0, 6)), (2, 11, *box(6, 12))], "comid long, basin int, ring_lng array<double>, ring_lat array<double>")
+    reach = spark.createDataFrame([(1, 0, 0, 0, 0, 50.0, [x(1)], [y(1)]), (2, 0, 0, 0, 0, 90_000.0, [x(7)], [y(1)])], RIVER + ", uparea double, line_lng array<double>, line_lat array<double>")
+    outlets = spark.createDataFrame([("fine", y(3.1), x(3.1)), ("coarse", y(3.1), x(8.1))], "id string, lat double, lng double")
+    inputs, settings_ = pipeline.Inputs(outlets, mega, cats, reach), Settings()
+    run, split = pipeline.refine(pipeline.delineate(inputs, settings_), inputs, cells, settings_)
+    got = {r["id"]: r for r in pipeline.summary(run, inputs, settings_, split=split).collect()}
+    whole = {r["id"]: r for r in pipeline.summary(run, inputs, settings_).collect()}
+    assert (got["fine"]["result"], got["coarse"]["result"]) == ("high res", "low res")
+    assert 0 < got["fine"]["area_calc"] < whole["fine"]["area_calc"] and got["coarse"]["area_calc"] == whole["coarse"]["area_calc"]
+    assert abs(got["fine"]["lng_snap"] - x(2.5)) < 1e-3 and run.failed.count() == 0
+    bare = cells.withColumn("acc", F.lit(1))
+    run, split = pipeline.refine(pipeline.delineate(inputs, settings_), inputs, bare, settings_)
+    got = {r["id"]: r for r in pipeline.summary(run, inputs, settings_, split=split).collect()}
+    assert got["fine"]["result"] == "failed" and {r["id"] for r in run.failed.collect()} == {"fine"}

@@ -14,6 +14,7 @@ from thalweg.operators.network import drains, jump_tables, upstream
 from thalweg.operators.regions import locate
 from thalweg.operators.relocate import NO_MATCH, accept_terminal, search_reaches
 from thalweg.operators.validate import shape_outlets
+from thalweg.plans.high_resolution import Split, split_area, split_terminals
 from thalweg.session import materialise
 
 NO_BASIN = "not in any level 2 basin"
@@ -78,16 +79,33 @@ def low_resolution(uparea, settings: Settings):
     return F.lit(True) if not settings.high_res else F.col(uparea) > settings.low_res_threshold
 
 
-def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool = False) -> DataFrame:
+def refine(run: Run, inputs: Inputs, cells: DataFrame, settings: Settings) -> tuple[Run, Split]:
+    """The terminal catchments of watersheds up to the limit, split along the raster; the others stay as they are.
+
+    Outlets that cannot be split fail; the run returned has them among its failures.
+    """
+    n = run.members.groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments"))
+    fine = run.located.where(~low_resolution("uparea", settings)).join(n, "id").join(run.outlets.select("id", "lat", "lng"), "id")
+    split = split_terminals(fine.select("id", "lng", "lat", "comid", "n_catchments"), inputs.catchments, cells, settings)
+    located = run.located.join(split.failed, "id", "left_anti")
+    return Run(run.outlets, located, run.failed.unionByName(split.failed), run.members), split
+
+
+def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool = False, split: Split | None = None) -> DataFrame:
     """One row per outlet, failed ones included, with the measured watershed.
 
-    A watershed's area is the sum of its catchments' (the map used is equal-area and so additive).
+    A watershed's area is the sum of its catchments' (the map used is equal-area and so additive). With a split, those
+    that have one are measured with it, and its pour point is the snapped outlet.
     """
     unit = inputs.catchments.select("comid", equal_area_km2(F.col("ring_lng"), F.col("ring_lat")).alias("km2"))
     measured = run.members.join(unit, "comid", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments"), F.sum("km2").alias("km2"))
     start = line_start(F.col("line_lng"), F.col("line_lat"))
     ends = inputs.reaches.select("comid", start.alias("s"))
     found = run.located.join(ends, "comid").join(measured, "id").select("id", "basin", "comid", "uparea", "n_catchments", "km2", "s")
+    if split is not None:
+        point = F.struct(F.col("lng_snap").alias("lng"), F.col("lat_snap").alias("lat"))
+        fine = split_area(run.members, inputs.catchments, split).withColumnRenamed("km2", "km2_split").join(split.terminals.select("id", point.alias("p")), "id")
+        found = found.join(fine, "id", "left").withColumns({"km2": F.coalesce("km2_split", "km2"), "s": F.coalesce("p", "s")})
     out = run.outlets.select("id", "lat", "lng", "name", "area_reported").join(found, "id", "left")
     area = F.when(F.col("km2").isNotNull(), significant(F.col("km2"), 3)).otherwise(F.lit(0.0))
     label = F.when(F.col("comid").isNull(), "failed").when(low_resolution("uparea", settings), "low res").otherwise("high res")
