@@ -8,6 +8,7 @@ input partition.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ def _first_n(n: int, with_rank: bool):
                 continue
             g, i = batch.column(0), batch.column(2)
             # group boundaries within the batch; groups that are full are skipped without looking at their rows
-            same = pc.equal(g.slice(1), g.slice(0, len(g) - 1)).to_numpy(zero_copy_only=False) if len(g) > 1 else []
-            starts = [0] + [k + 1 for k, eq in enumerate(same) if not eq] + [len(g)]
+            differs = pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)).to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(g)]
             rows, ranks = [], []
             for a, b in zip(starts, starts[1:]):
                 value = g[a].as_py()
