@@ -141,7 +141,7 @@ def test_run_on_two_squares(spark, tmp_path):
     reach = spark.createDataFrame([(1, 2, 0, 0, 0, 50.0, [0.2, 0.3], [0.2, 0.3]), (2, 0, 0, 0, 0, 9.0, [1.2, 1.3], [0.2, 0.3])], RIVER + ", uparea double, line_lng array<double>, line_lat array<double>")
     outlets = spark.createDataFrame([("in", 0.25, 0.25, "A, \"b\"", 100.0), ("gap", 0.25, 0.75, "B", None), ("sea", 9.0, 9.0, None, 0.0), ("none", None, None, None, None)], "id string, lat double, lng double, name string, area double")
     inputs = pipeline.Inputs(outlets, mega, cats, reach)
-    run = pipeline.delineate(inputs, Settings(high_res=False))
+    run = pipeline.run_batch(inputs, Settings(high_res=False))
     failed = {r["id"]: r["explanation"] for r in run.failed.collect()}
     assert failed == {"gap": pipeline.NO_CATCHMENT, "sea": pipeline.NO_BASIN, "none": pipeline.NO_BASIN}
     table = pipeline.summary(run, inputs, Settings(high_res=False), with_distance=True).cache()
@@ -224,13 +224,13 @@ def test_run_in_high_resolution(spark):
     reach = spark.createDataFrame([(1, 0, 0, 0, 0, 50.0, [x(1)], [y(1)]), (2, 0, 0, 0, 0, 90_000.0, [x(7)], [y(1)])], RIVER + ", uparea double, line_lng array<double>, line_lat array<double>")
     outlets = spark.createDataFrame([("fine", y(3.1), x(3.1)), ("coarse", y(3.1), x(8.1))], "id string, lat double, lng double")
     inputs, settings_ = pipeline.Inputs(outlets, mega, cats, reach), Settings()
-    run, split = pipeline.refine(pipeline.delineate(inputs, settings_), inputs, cells, settings_)
+    run, split = pipeline.refine(pipeline.run_batch(inputs, settings_), inputs, cells, settings_)
     got = {r["id"]: r for r in pipeline.summary(run, inputs, settings_, split=split).collect()}
     whole = {r["id"]: r for r in pipeline.summary(run, inputs, settings_).collect()}
     assert (got["fine"]["result"], got["coarse"]["result"]) == ("high res", "low res")
     assert 0 < got["fine"]["area_calc"] < whole["fine"]["area_calc"] and got["coarse"]["area_calc"] == whole["coarse"]["area_calc"]
     assert abs(got["fine"]["lng_snap"] - x(2.5)) < 1e-3 and run.failed.count() == 0
     bare = cells.withColumn("acc", F.lit(1))
-    run, split = pipeline.refine(pipeline.delineate(inputs, settings_), inputs, bare, settings_)
+    run, split = pipeline.refine(pipeline.run_batch(inputs, settings_), inputs, bare, settings_)
     got = {r["id"]: r for r in pipeline.summary(run, inputs, settings_, split=split).collect()}
     assert got["fine"]["result"] == "failed" and {r["id"] for r in run.failed.collect()} == {"fine"}

@@ -1,4 +1,4 @@
-"""Settings of a delineation run."""
+"""Settings of a watershed run."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""A whole delineation run as one program: outlets in, one summary row per outlet and a failure table out."""
+"""A whole watershed run as one program: outlets in, one summary row per outlet and a failure table out."""
 
 from __future__ import annotations
 
@@ -65,7 +65,7 @@ def locate_outlets(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataF
     return located, failed
 
 
-def delineate(inputs: Inputs, settings: Settings) -> Run:
+def run_batch(inputs: Inputs, settings: Settings) -> Run:
     shaped = shape_outlets(inputs.outlets)
     inputs = Inputs(shaped, inputs.megabasins, inputs.catchments, inputs.reaches)
     located, failed = locate_outlets(inputs, settings)

@@ -1,4 +1,4 @@
-"""Queries of the delineation operators, each over whole tables."""
+"""Queries of the watershed operators, each over whole tables."""
 
 from __future__ import annotations
 
@@ -334,14 +334,14 @@ def geojson_features(spark, d):
 
 def watershed_summary(spark, d):
     inputs = _inputs(spark, d)
-    return pipeline.summary(pipeline.delineate(inputs, LOW_RES), inputs, LOW_RES)
+    return pipeline.summary(pipeline.run_batch(inputs, LOW_RES), inputs, LOW_RES)
 
 
 def watershed_summary_matched(spark, d):
     """The run that moves outlets to reaches of fitting area, with snap distances."""
     settings = Settings(high_res=False, match_areas=True, search_dist=0.025)
     inputs = _inputs(spark, d)
-    return pipeline.summary(pipeline.delineate(inputs, settings), inputs, settings, with_distance=True)
+    return pipeline.summary(pipeline.run_batch(inputs, settings), inputs, settings, with_distance=True)
 
 
 def viewer_table(spark, d):

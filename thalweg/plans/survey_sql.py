@@ -1,4 +1,4 @@
-"""The delineation queries in DuckDB's SQL: brute force where Spark uses hierarchies, recursion where it doubles."""
+"""The watershed queries in DuckDB's SQL: brute force where Spark uses hierarchies, recursion where it doubles."""
 
 from __future__ import annotations
 
