@@ -78,3 +78,14 @@ def test_similarities(spark):
 def test_posteriors_share_one_belief():
     p = M.posteriors(np.array([0.0, 0.0, 800.0, 799.0, -900.0]), np.array([0, 2, 4]))
     assert np.allclose(p[:2], 1 / 3) and abs(p[2:4].sum() - 1) < 1e-9 and p[4] == 0
+
+
+def test_repeated_rows_become_one_whatever_is_missing(spark):
+    rows = [(2, "a", 1.0, 1.0, "late", 5.0, "x"), (1, "a", None, 3.0, None, 4.0, "x"), (None, "a", 9.0, 9.0, "never", 9.0, "x"), (None, "b", 2.0, 2.0, "z", None, "x"), (None, "b", 2.0, 2.0, "y", None, "x"), (3, "c", None, None, None, None, "x")]
+    got = {r["id"]: tuple(r)[1:] for r in M.one_per_outlet(spark.createDataFrame(rows, OUTLET)).collect()}
+    assert got == {"a": (1.0, 1.0, "late", 4.0), "b": (2.0, 2.0, "y", None), "c": (None, None, None, None)}
+    rivers = [(1, None, "n", [0.0], [0.0], "x"), (1, 7.0, None, [0.0], [0.0], "x"), (2, 1.0, "m", [0.0, 1.0], [0.0], "x"), (3, None, None, [0.0, None], [0.0, 1.0], "x")]
+    r = spark.createDataFrame(rivers, RIVER)
+    assert {x["comid"]: (x["uparea"], x["riv_name"]) for x in M.one_per_reach(r).collect()} == {1: (7.0, "n"), 3: (None, None)}
+    near = spark.createDataFrame([(1, "p", 0.01, 0.01, None, None, "x")], OUTLET)
+    assert [x["comid"] for x in M.candidates(near, r).collect()] == [1]

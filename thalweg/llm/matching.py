@@ -96,12 +96,21 @@ def line_distance(x: Column, y: Column, xs: Column, ys: Column) -> Column:
 
 
 def one_per_outlet(outlets: DataFrame) -> DataFrame:
-    """(id, lat, lng, name, area): repeated rows of an id become one, each value the first known by rec_no."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("rec_no")))
+    """(id, lat, lng, name, area): repeated rows of an id become one, each value the first known by rec_no.
+
+    Rows without a rec_no come last; rows with the same one are taken in the order of their values.
+    """
+    order = F.coalesce(F.col("rec_no"), F.lit(2**63 - 1))
+
+    def first(*cols: str) -> Column:
+        known = F.lit(True)
+        for c in cols:
+            known = known & F.col(c).isNotNull()
+        return F.min(F.when(known, F.struct(order.alias("_order"), *cols)))
+
     known = outlets.where(F.col("id").isNotNull())
-    place = F.struct("lat", "lng")
-    spot = F.min_by(place, F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("rec_no")))
-    return known.groupBy("id").agg(spot.alias("spot"), first("name").alias("name"), first("area").alias("area")).select("id", "spot.*", "name", "area")
+    one = known.groupBy("id").agg(first("lat", "lng").alias("_spot"), first("name").alias("_name"), first("area").alias("_area"))
+    return one.select("id", "_spot.lat", "_spot.lng", "_name.name", "_area.area")
 
 
 def one_per_reach(rivers: DataFrame) -> DataFrame:
