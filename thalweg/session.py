@@ -50,8 +50,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if path.startswith("file:"):  # elsewhere the shared folder's owner clears it
-        atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    local = path.removeprefix("file://")
+    if os.path.isdir(local):  # elsewhere the shared folder's owner clears it
+        atexit.register(shutil.rmtree, local, True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
