@@ -120,6 +120,10 @@ def test_validation(spark):
             validate.validate(rows)
     with pytest.raises(validate.InvalidOutlets, match="lat"):
         validate.check_columns(good.drop("lat"))
+    basins = spark.createDataFrame([(11,), (12,)], "basin int")
+    validate.check_megabasins(basins)
+    with pytest.raises(validate.InvalidOutlets, match="11"):
+        validate.check_megabasins(basins.where("basin = 12"))
     shaped = validate.shape_outlets(good)
     assert shaped.columns == ["id", "lat", "lng", "area_reported", "name", "area_calc", "result"] and shaped.first()["result"] == "failed"
 
