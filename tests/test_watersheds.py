@@ -77,6 +77,20 @@ def test_dissolve_shell_hole_and_corner(spark):
     assert all((r["a"] > 0) == (r["ring"] == 0) for r in rows)
 
 
+def test_rings_that_touch_twice_never_cross():
+    for seed in range(150):
+        rng = random.Random(seed)
+        blob = {(r, c) for r in range(7) for c in range(7) if rng.random() < 0.55}
+        sides = {}
+        for r, c in blob:
+            for e in ((c, r, c + 1, r), (c + 1, r, c + 1, r + 1), (c, r + 1, c + 1, r + 1), (c, r, c, r + 1)):
+                sides[e] = sides.get(e, 0) + 1
+        border = [e for e, n in sides.items() if n == 1]
+        rng.shuffle(border)
+        rows = dissolve.polygons(dissolve.stitch(np.array(border, float)))
+        assert round(sum(dissolve._area(c) for _, _, c in rows)) == len(blob), seed
+
+
 def test_holes_and_largest_part(spark):
     r = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.5), (1, 2, 0.2), (2, 0, 1.0), (2, 1, 1.0)], "p long, ring long, a double")
     keep = lambda t: sorted((x["p"], x["ring"]) for x in dissolve.fill_holes(r, F.col("a"), t).collect())
@@ -159,6 +173,37 @@ def test_run_on_two_squares(spark, tmp_path):
     assert "18,500" in (tmp_path / "v.html").read_text() and "A, &quot;b&quot;" in (tmp_path / "v.html").read_text()
 
 
+def test_run_fills_holes_and_simplifies(spark):
+    def world(step):  # eight squares round a hole that no catchment covers, with a kink on the southern border
+        x = [20.0, 20.5, 20.5 + step, 21.0 + step]
+        y = [40.0, 40.5, 40.5 + step, 41.0 + step]
+        box = lambda r, c: ([x[c], x[c + 1], x[c + 1], x[c], x[c]], [y[r], y[r], y[r + 1], y[r + 1], y[r]])
+        at = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
+        shapes = [(k + 1, 11, *box(r, c)) for k, (r, c) in enumerate(at)]
+        xs, ys = shapes[0][2:]
+        shapes[0] = (1, 11, [xs[0], 20.2, *xs[1:]], [ys[0], 39.9995, *ys[1:]])
+        shapes[1] = (2, 11, [shapes[1][2][0] + 4e-6, *shapes[1][2][1:4], shapes[1][2][4] + 4e-6], shapes[1][3])  # a sliver
+        shape = "comid long, basin int, ring_lng array<double>, ring_lat array<double>"
+        mega = spark.createDataFrame([(11, [19.0, 23.0, 23.0, 19.0, 19.0], [39.0, 39.0, 43.0, 43.0, 39.0])], "basin int, ring_lng array<double>, ring_lat array<double>")
+        reach = spark.createDataFrame([(k, k + 1 if k < 8 else 0, 0, 0, 0, 50.0, [20.1], [40.1]) for k in range(1, 9)], RIVER + ", uparea double, line_lng array<double>, line_lat array<double>")
+        outlets = spark.createDataFrame([("a", 40.1, 20.1)], "id string, lat double, lng double")
+        return pipeline.Inputs(outlets, mega, spark.createDataFrame(shapes, shape), reach)
+
+    low = lambda **k: Settings(high_res=False, **k)
+    worlds = {w: world(w) for w in (0.008, 0.009, 0.3)}
+    runs = {w: pipeline.run_batch(i, low()) for w, i in worlds.items()}
+
+    def rings(w, s):
+        return {(r["part"], r["ring"]): len(r["xs"]) - 1 for r in pipeline.boundaries(runs[w], worlds[w], s).collect()}
+
+    # holes of 6.4e-5 and 8.1e-5 square degrees; the limit is 6.95e-5
+    assert rings(0.008, low(fill=False)) == {(0, 0): 13, (0, 1): 4} and rings(0.008, low()) == {(0, 0): 13}
+    assert set(rings(0.009, low())) == {(0, 0), (0, 1)} and set(rings(0.009, low(fill_threshold=0))) == {(0, 0)}
+    assert 4 <= rings(0.008, low(simplify=True))[0, 0] <= 6  # where a ring starts stays
+    area = lambda s: pipeline.summary(runs[0.3], worlds[0.3], s).first()["area_calc"]
+    assert area(low(fill_threshold=200_000)) > area(low()) > 0  # a large hole under a higher limit shows in three digits
+
+
 def test_geojson(spark, tmp_path):
     ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
     features = sinks.geojson_features(rings_of(spark, ring).withColumn("o", F.col("o").cast("string")), "o")

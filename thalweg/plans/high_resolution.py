@@ -82,6 +82,19 @@ def split_terminals(outlets: DataFrame, catchments: DataFrame, cells: DataFrame,
     return Split(out, failed, kept)
 
 
+def on_grid(edges: DataFrame) -> DataFrame:
+    """Edges along the grid's lines cut at every cell corner, as those of split parts are; others stay as they are."""
+    n = F.round(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) * PIXELS_PER_DEGREE)
+    off = lambda c: F.abs(F.col(c) * PIXELS_PER_DEGREE - F.round(F.col(c) * PIXELS_PER_DEGREE)) > 0.01
+    straight = (F.col("x1") == F.col("x2")) | (F.col("y1") == F.col("y2"))
+    whole = ~straight | (n < 2) | off("x1") | off("y1") | off("x2") | off("y2")
+    cut = edges.withColumn("_n", F.when(whole, 1).otherwise(n).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    place = lambda a, b, i: F.when(i == F.col("_n"), F.col(b)).otherwise(F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n"))
+    i = F.col("_i")
+    moved = {"x1": place("x1", "x2", i - 1), "y1": place("y1", "y2", i - 1), "x2": place("x1", "x2", i), "y2": place("y1", "y2", i)}
+    return cut.withColumns(moved).drop("_n", "_i")
+
+
 def split_area(members: DataFrame, catchments: DataFrame, split: Split) -> DataFrame:
     """(id, km2) of watersheds whose terminal catchment (depth 0) is replaced by its split part."""
     unit = catchments.select("comid", equal_area_km2(F.col("ring_lng"), F.col("ring_lat")).alias("km2"))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.config import Settings
-from thalweg.functions.geometry import equal_area_km2, geodesic_m, line_start
+from thalweg.functions.geometry import equal_area_km2, geodesic_m, line_start, shoelace
 from thalweg.functions.numeric import percent_difference, significant
+from thalweg.operators.dissolve import border_edges, closed, fill_holes, simplify, stitch_rings
 from thalweg.operators.network import drains, jump_tables, upstream
-from thalweg.operators.regions import locate
+from thalweg.operators.regions import edges_of, locate
 from thalweg.operators.relocate import NO_MATCH, accept_terminal, search_reaches
 from thalweg.operators.validate import shape_outlets
-from thalweg.plans.high_resolution import Split, split_area, split_terminals
+from thalweg.plans.high_resolution import Split, on_grid, split_terminals
 from thalweg.session import materialise
 
 NO_BASIN = "not in any level 2 basin"
@@ -91,21 +92,45 @@ def refine(run: Run, inputs: Inputs, cells: DataFrame, settings: Settings) -> tu
     return Run(run.outlets, located, run.failed.unionByName(split.failed), run.members), split
 
 
+def boundaries(run: Run, inputs: Inputs, settings: Settings, split: Split | None = None) -> DataFrame:
+    """(id, part, ring, xs, ys): each watershed's catchments dissolved, slivers closed, small holes filled, simplified
+    if set. With a split, the split part stands for the terminal catchment of those that have one."""
+    kind = dict(run.members.dtypes)["id"]
+    edges = edges_of(inputs.catchments, "comid", "ring_lng", "ring_lat")
+    members = run.members
+    if split is not None:
+        part = edges_of(split.terminals, "id", "xs", "ys").withColumn("comid", F.lit(None).cast(dict(edges.dtypes)["comid"]))
+        edges = on_grid(edges.withColumn("id", F.lit(None).cast(kind)).unionByName(part))
+        fine = split.terminals.select("id")
+        members = members.where("depth > 0").unionByName(members.where("depth = 0").join(fine, "id", "left_anti"))
+    edges = materialise(closed(edges), "edges")
+    sides = ["x1", "y1", "x2", "y2"]
+    own = members.select("id", "comid").join(edges.where(F.col("comid").isNotNull()).select("comid", *sides), "comid").select("id", *sides)
+    if split is not None:
+        own = own.unionByName(edges.where(F.col("id").isNotNull()).select("id", *sides))
+    rings = stitch_rings(border_edges(own, ["id"]), "id")
+    if settings.fill:
+        rings = fill_holes(rings, shoelace(F.col("xs"), F.col("ys")), settings.fill_area())
+    if settings.simplify:
+        rings = simplify(rings, settings.simplify_tolerance)
+    return rings
+
+
 def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool = False, split: Split | None = None) -> DataFrame:
     """One row per outlet, failed ones included, with the measured watershed.
 
-    A watershed's area is the sum of its catchments' (the map used is equal-area and so additive). With a split, those
-    that have one are measured with it, and its pour point is the snapped outlet.
+    A watershed's area is that of its boundary: shells less holes. With a split, the pour point of those that have one
+    is the snapped outlet.
     """
-    unit = inputs.catchments.select("comid", equal_area_km2(F.col("ring_lng"), F.col("ring_lat")).alias("km2"))
-    measured = run.members.join(unit, "comid", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments"), F.sum("km2").alias("km2"))
+    ring = equal_area_km2(F.col("xs"), F.col("ys"))
+    area = boundaries(run, inputs, settings, split).groupBy("id").agg(F.sum(F.when(F.col("ring") == 0, ring).otherwise(-ring)).alias("km2"))
+    measured = run.members.groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments")).join(area, "id", "left")
     start = line_start(F.col("line_lng"), F.col("line_lat"))
     ends = inputs.reaches.select("comid", start.alias("s"))
     found = run.located.join(ends, "comid").join(measured, "id").select("id", "basin", "comid", "uparea", "n_catchments", "km2", "s")
     if split is not None:
         point = F.struct(F.col("lng_snap").alias("lng"), F.col("lat_snap").alias("lat"))
-        fine = split_area(run.members, inputs.catchments, split).withColumnRenamed("km2", "km2_split").join(split.terminals.select("id", point.alias("p")), "id")
-        found = found.join(fine, "id", "left").withColumns({"km2": F.coalesce("km2_split", "km2"), "s": F.coalesce("p", "s")})
+        found = found.join(split.terminals.select("id", point.alias("p")), "id", "left").withColumn("s", F.coalesce("p", "s"))
     out = run.outlets.select("id", "lat", "lng", "name", "area_reported").join(found, "id", "left")
     area = F.when(F.col("km2").isNotNull(), significant(F.col("km2"), 3)).otherwise(F.lit(0.0))
     label = F.when(F.col("comid").isNull(), "failed").when(low_resolution("uparea", settings), "low res").otherwise("high res")

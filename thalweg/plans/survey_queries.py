@@ -332,6 +332,12 @@ def geojson_features(spark, d):
     return sinks.geojson_features(_lattice_rings(spark, d), "o")
 
 
+def watershed_boundaries(spark, d):
+    """The dissolved boundary of every outlet's watershed."""
+    inputs = _inputs(spark, d)
+    return sinks.geojson_features(pipeline.boundaries(pipeline.run_batch(inputs, LOW_RES), inputs, LOW_RES), "id")
+
+
 def watershed_summary(spark, d):
     inputs = _inputs(spark, d)
     return pipeline.summary(pipeline.run_batch(inputs, LOW_RES), inputs, LOW_RES)
@@ -361,6 +367,6 @@ QUERIES = {
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
         raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,
-        river_map_filter, river_map_features, geojson_features, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
+        river_map_filter, river_map_features, geojson_features, watershed_boundaries, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
     )
 }
