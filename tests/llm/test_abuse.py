@@ -55,6 +55,29 @@ def test_sentences_do_not_mix():
     assert kinds("line one\nYou idiot\nline three")
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("You are pathetic and useless.", "abusive"), ("No immigrants near our schools.", "hateful"),
+        ("Get out of here, you.", "abusive"), ("Sexy girls live webcams tonight.", "sexual"),
+    ],
+)
+def test_sentences_without_a_strong_word(text, kind):
+    assert kind in kinds(text)
+
+
+def test_prefilter_rejects_nothing_the_grammar_accepts():
+    rng = random.Random(5)
+    words = [w for w in X.LEXICON if w.isalpha()] + [" ".join(p) for p in X.PHRASES] + ["k.", "miller", "house", "runs"]
+    for _ in range(20_000):
+        pairs = [T[t] for t in " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))).split()]
+        present = 0
+        for _, tag in pairs:
+            present |= tag
+        if A.score_sentence([w for w, _ in pairs], [t for _, t in pairs]):
+            assert A.worth_scoring(pairs, present), pairs
+
+
 def test_ratings_by_hand(spark, small):
     rows = spark.read.parquet(f"{small}/label_texts.parquet").collect()
     right = sum(bool(kinds(r["text"])) == (r["label"] != "none") for r in rows)

@@ -9,6 +9,7 @@ Words without a pattern score nothing.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass
@@ -179,11 +180,7 @@ def score_sentence(words: list[str], tags: list[int]) -> dict[str, float]:
         tags = [t & ~_SAID if t & X.STARRED else t for t in tags]
     for i, w in enumerate(words):
         if w in X.PHRASE_FIRST:
-            for n in (4, 3, 2):
-                mask = X.PHRASES.get(tuple(words[i : i + n])) if i + n <= len(words) else None
-                if mask:
-                    tags[i] |= mask
-                    break
+            tags[i] |= X.phrase_at(words, i)
         if tags[i] & X.INSULT and i + 1 < len(words) and tags[i + 1] & X.BENIGN_NEXT:
             tags[i] &= ~(X.INSULT | X.DEGRADE)
     for i in range(len(tags) - 1):  # an initial and a name make a person
@@ -219,22 +216,45 @@ def prepare(text: str) -> str:
     return _SPACED.sub(lambda m: X.parted(m.group().replace(" ", "")), text)
 
 
+@functools.cache
+def _possible(present: int) -> bool:
+    """Whether some pattern finds all its classes among these. Scoring adds classes by phrases and names only."""
+    return any(all(s.any_of & present for s in p.slots) for p in PATTERNS)
+
+
+_CLASSES = 0
+for _pattern in PATTERNS:
+    for _slot in _pattern.slots:
+        _CLASSES |= _slot.any_of
+
+
+def worth_scoring(pairs: list[tuple[str, int]], present: int) -> bool:
+    """False only if the grammar accepts nothing in a sentence of these (word, classes), `present` being all classes."""
+    named = present & _CLASSES | (X.NAME if present & X.INITIAL else 0)
+    if present & X.PHRASE and not _possible(named):
+        words = [w for w, _ in pairs]
+        for i, (_, tag) in enumerate(pairs):
+            if tag & X.PHRASE:
+                named |= X.phrase_at(words, i)
+    return _possible(named)
+
+
 def score_text(text: str | None, tagger: X.Tagger) -> tuple[float, dict[str, float]]:
     """(score, score per kind) of a text: those of its worst sentence; nothing for null and empty texts."""
     worst: dict[str, float] = {}
     if text:
         tokens = prepare(text).split()
         pairs = [tagger[t] for t in tokens]
-        start, risky = 0, 0
+        start, present = 0, 0
         for i, (_, tag) in enumerate(pairs):
-            risky |= tag
+            present |= tag
             if tag & X.END or i + 1 == len(pairs):
-                if risky & X.RISKY:
-                    part = pairs[start : i + 1]
+                part = pairs[start : i + 1]
+                if worth_scoring(part, present):
                     for kind, s in score_sentence([w for w, _ in part], [t for _, t in part]).items():
                         if s > worst.get(kind, 0.0):
                             worst[kind] = s
-                start, risky = i + 1, 0
+                start, present = i + 1, 0
     return max(worst.values(), default=0.0), worst
 
 

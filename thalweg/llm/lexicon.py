@@ -11,7 +11,7 @@ import unicodedata
 
 # classes are bits
 INSULT, SLUR_ADJ, YOU, BE, FIRST, VIOLENCE, GROUP, DEGRADE, EXCLUDE, HOSTILE, PERSON_HARM, PEOPLE, THOSE, NEGATION = (1 << i for i in range(14))
-SEX_STRONG, SEX_MID, SEX_WEAK, CLINICAL, SPEECH, END, COMMA, INITIAL, KIN, MUST, NAME, BENIGN_NEXT, OPEN_QUOTE, CLOSE_QUOTE, THEM, THIS, ALL_OF, FROM, HINT, THE, STARRED, UNREAD, SURE = (1 << i for i in range(14, 37))
+SEX_STRONG, SEX_MID, SEX_WEAK, CLINICAL, SPEECH, END, COMMA, INITIAL, KIN, MUST, NAME, BENIGN_NEXT, OPEN_QUOTE, CLOSE_QUOTE, THEM, THIS, ALL_OF, FROM, HINT, THE, STARRED, UNREAD, SURE, PHRASE = (1 << i for i in range(14, 38))
 
 _WORDS = {
     INSULT: """idiot idiots moron morons bastard bastards asshole assholes arsehole cretin cretins imbecile imbeciles loser losers
@@ -94,7 +94,6 @@ _PHRASES = {
     if "-" in w and w != "sous-hommes"
 }
 _TYPO_CLASSES = INSULT | SLUR_ADJ | GROUP | DEGRADE | EXCLUDE | SEX_STRONG | SEX_MID | VIOLENCE | HOSTILE | PERSON_HARM
-RISKY = INSULT | SEX_STRONG | SEX_MID | HOSTILE | DEGRADE | EXCLUDE | VIOLENCE | HINT
 
 #: Letters that look alike, and marks that stand for letters.
 _ALIKE = dict(zip("аеорсухкмтвніјѕɡαορεικνт", "aeopcyxkmtbhijsgaopeiknt"))
@@ -129,12 +128,23 @@ def _lexicon() -> dict[str, int]:
 LEXICON = _lexicon()
 LEXICON["*"] = SEX_MID | INSULT
 PHRASES = _PHRASES
-#: Words of phrases that are too common to make a sentence worth a look.
+#: Words of phrases that are too common to be listed as words of their own.
 _COMMON = set("no will would to get my them up va te ta of que hay the you off out let near our live in its his her your do world".split())
 for _phrase in PHRASES:
     for _w in set(_phrase) - _COMMON:
         LEXICON[_w] = LEXICON.get(_w, 0) | HINT
 PHRASE_FIRST = {p[0] for p in PHRASES}
+
+
+def phrase_at(words: list[str], i: int) -> int:
+    """Classes of the longest phrase that starts at word i; 0 if none does."""
+    for n in (4, 3, 2):
+        mask = PHRASES.get(tuple(words[i : i + n])) if i + n <= len(words) else None
+        if mask:
+            return mask
+    return 0
+
+
 _BY_LENGTH: dict[int, list[str]] = {}
 _DELETES: dict[str, list[str]] = {}
 for _w, _m in LEXICON.items():
@@ -222,7 +232,8 @@ class Tagger(dict):
     def __missing__(self, token: str) -> tuple[str, int]:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[token] = self._read(token)
+        word, mask = self._read(token)
+        value = self[token] = word, mask | PHRASE if word in PHRASE_FIRST else mask
         return value
 
     @staticmethod
