@@ -204,6 +204,36 @@ def test_run_fills_holes_and_simplifies(spark):
     assert area(low(fill_threshold=200_000)) > area(low()) > 0  # a large hole under a higher limit shows in three digits
 
 
+def test_every_cell_is_traced(spark, monkeypatch):
+    from thalweg.plans import fixtures, survey_queries
+
+    rng = random.Random(3)
+    flow = {(r, c): 0 if (r, c) == (5, 5) else 4 if c == 5 or (r < 5 and rng.random() < 0.5) else 1 for r in range(6) for c in range(6)}
+    cells = spark.createDataFrame([(6 * r + c, r, c, f) for (r, c), f in flow.items()], "k long, r long, c long, fdir int")
+    monkeypatch.setattr(fixtures, "cells", lambda *_: cells)
+    want = set()
+    for r, c in flow:
+        at, depth = (r, c), 0
+        while True:
+            want.add((6 * at[0] + at[1], 6 * r + c, depth))
+            if not flow[at]:
+                break
+            at, depth = (at[0] + (flow[at] == 4), at[1] + (flow[at] == 1)), depth + 1
+    run = lambda n: survey_queries.QUERIES[n](spark, "").collect()
+    assert sorted(map(tuple, run("d8_upstream_all"))) == sorted(want)
+    size = {o: sum(a == o for a, _, _ in want) for o in range(36)}
+    assert {r["o"]: r["area"] for r in run("split_terminal_all")} == size  # each part hangs together by edges
+    area = dict.fromkeys(size, 0)
+    for o in area:  # a vertical side has the traced cells to one side: sweep each row
+        mine = {k for a, k, _ in want if a == o}
+        area[o] = {(c + e, r) for r in range(6) for c in range(6) for e in (0, 1) if (6 * r + c in mine) != (0 <= c + 2 * e - 1 < 6 and 6 * r + c + 2 * e - 1 in mine)}
+    got = {o: set() for o in area}
+    for r in run("polygonize_cells_all"):
+        if r["x1"] == r["x2"]:
+            got[r["o"]].add((r["x1"], r["y1"]))
+    assert got == area
+
+
 def test_geojson(spark, tmp_path):
     ring = {(r, c) for r in range(3) for c in range(3)} - {(1, 1)}
     features = sinks.geojson_features(rings_of(spark, ring).withColumn("o", F.col("o").cast("string")), "o")

@@ -269,27 +269,50 @@ def snap_pour_point(spark, d):
     return raster.snap_points(_pour_points(spark, d), s, ["tile"])
 
 
-def _traced(spark, d):
+def _traced(spark, d, where="c = 63 and r % 7 = 3"):
     cells = fixtures.cells(spark, d)
-    starts = cells.where((F.col("c") == 63) & (F.col("r") % 7 == 3)).select(F.col("k").alias("o"), "k")
+    starts = cells.where(where).select(F.col("k").alias("o"), "k")
     up = network.upstream(starts, "o", "k", network.jump_tables(raster.cell_drains(cells), "raster"), "k")
     return up.join(cells.select("k", "r", "c"), "k")
 
 
+def _polygonized(traced):
+    border = dissolve.border_edges(raster.cell_edges(traced, ["o"]), ["o"])
+    return border.select("o", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def _largest_shells(traced):
+    border = dissolve.border_edges(raster.cell_edges(traced, ["o"]), ["o"])
+    shells = dissolve.stitch_rings(border, "o").where("ring = 0").withColumn("area", F.abs(shoelace(F.col("xs"), F.col("ys"))))
+    return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).alias("n_corners"))
+
+
 def d8_upstream(spark, d):
     return _traced(spark, d).select("o", "k", "depth")
 
 
+def d8_upstream_all(spark, d):
+    """What drains to each cell of the raster, every cell being an outlet."""
+    return _traced(spark, d, "true").select("o", "k", "depth")
+
+
 def polygonize_cells(spark, d):
-    border = dissolve.border_edges(raster.cell_edges(_traced(spark, d), ["o"]), ["o"])
-    return border.select("o", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return _polygonized(_traced(spark, d))
+
+
+def polygonize_cells_all(spark, d):
+    """The border of what drains to each cell."""
+    return _polygonized(_traced(spark, d, "true"))
 
 
 def split_terminal(spark, d):
     """The traced part of the raster as polygons: the largest part of each, holes aside."""
-    border = dissolve.border_edges(raster.cell_edges(_traced(spark, d), ["o"]), ["o"])
-    shells = dissolve.stitch_rings(border, "o").where("ring = 0").withColumn("area", F.abs(shoelace(F.col("xs"), F.col("ys"))))
-    return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).alias("n_corners"))
+    return _largest_shells(_traced(spark, d))
+
+
+def split_terminal_all(spark, d):
+    """The largest part of what drains to each cell, holes aside."""
+    return _largest_shells(_traced(spark, d, "true"))
 
 
 def _raster_world(spark, d):
@@ -367,6 +390,7 @@ QUERIES = {
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
         raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,
+        d8_upstream_all, polygonize_cells_all, split_terminal_all,
         river_map_filter, river_map_features, geojson_features, watershed_boundaries, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
     )
 }

@@ -74,6 +74,7 @@ acc as (select o k, count(*) acc from up group by o), cells as (select f7.r, f7.
 _TRACE = f"""with recursive {X['f7']}, {_FLOW},
 up(o, k, depth) as (select k, k, 0 from f7 where c = 63 and r % 7 = 3 union all select up.o, e.src, up.depth + 1 from up join e on e.dst = up.k),
 traced as (select up.o, f7.r, f7.c from up join f7 using (k)), {_sides('traced', 'o')}"""
+_TRACE_ALL = _TRACE.replace(" where c = 63 and r % 7 = 3", "")
 _LINE = "unnest(line_lng[:-2]) x1, unnest(line_lat[:-2]) y1, unnest(line_lng[2:]) x2, unnest(line_lat[2:]) y2"
 
 
@@ -174,6 +175,8 @@ round(ceil(list_max(rx) * 1200) / 1200 + 0.000416667, 9) xmax, round(ceil(list_m
 select id, r, c from p, cells where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1""",
     "d8_upstream": f"{_TRACE} select o, k, depth from up",
     "polygonize_cells": f"{_TRACE} select o, x1, y1, x2, y2 from border",
+    "d8_upstream_all": f"{_TRACE_ALL} select o, k, depth from up",
+    "polygonize_cells_all": f"{_TRACE_ALL} select o, x1, y1, x2, y2 from border",
     "high_res_split": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % 23 pr from supplier),
 fd as (select r, c, fdir from f7 where fdir <> 0),
 ms as (select cells.*, fdir, c // 16 comid from cells join fd using (r, c)),
