@@ -48,6 +48,27 @@ def test_closure_of_tree_diamond_and_cycle(spark):
     assert none.count() == 4
 
 
+def test_totals_above_every_reach(spark, small):
+    from thalweg.plans import fixtures, survey_queries
+
+    def walked(ups):
+        out = {}
+        for start in ups:
+            seen, edge, depth = {start}, [start], 0
+            while edge := [u for u in {u for e in edge for u in ups[e] if u in ups} - seen]:
+                seen |= set(edge)
+                depth += 1
+            out[start] = (len(seen), depth)
+        return out
+
+    read = lambda rows: {r["comid"]: (r["n_upstream"], r["levels"]) for r in rows.collect()}
+    comb = {r["comid"]: [u for u in r[1:] if u] for r in fixtures.comb(spark, small).select("comid", "up1", "up2", "up3", "up4").collect()}
+    got = read(survey_queries.QUERIES["upstream_closure_deep_all"](spark, small))
+    assert got == walked(comb) and [got[k][0] for k in (1, 6, 60)] == [40, 20, 3]
+    diamond = spark.createDataFrame([(1, 2, 3, 0, 0), (2, 4, 0, 0, 0), (3, 4, 0, 0, 0), (4, 0, 0, 0, 0)], RIVER)
+    assert read(network.upstream_totals(diamond, network.jump_tables(network.drains(diamond)))) == {1: (4, 2), 2: (2, 1), 3: (2, 1), 4: (1, 0)}
+
+
 @given(st.integers(2, 60), st.integers(0, 10_000))
 @settings(max_examples=5, deadline=None)
 def test_closure_of_random_forests(spark, n, seed):

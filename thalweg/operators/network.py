@@ -80,6 +80,28 @@ def upstream(outlets: DataFrame, outlet: str, start: str, jumps: Jumps, node: st
     return reached.select(F.col("_o").alias(outlet), F.col("_n").alias(node), "depth")
 
 
+def upstream_totals(rivers: DataFrame, jumps: Jumps, node: str = "comid") -> DataFrame:
+    """(node, n_upstream, levels): how many reaches lie above each reach, itself included, and the most steps to one.
+
+    Where every reach has one way down, totals double as jumps do: what lies within 2^(k+1) reaches is what lies within
+    2^k and what does so of the reaches 2^k above. No pair of reaches is ever listed, so deep networks cost no more
+    than wide ones.
+    """
+    every = rivers.where(F.col(node).isNotNull()).select(node).distinct()
+    if not jumps.plain:
+        up = upstream(every.withColumn("_s", F.col(node)), "_s", node, jumps, "_u")
+        return up.groupBy(F.col("_s").alias(node)).agg(F.count(F.lit(1)).alias("n_upstream"), F.max("depth").alias("levels"))
+    totals = every.select(node, F.lit(1).cast("bigint").alias("n_upstream"), F.lit(0).alias("levels"))
+    for k, table in enumerate(jumps.tables):
+        far = table.where("step > 0").select(F.col("src").alias(node), "dst", "step").join(totals, node)
+        more = far.groupBy(F.col("dst").alias(node)).agg(F.sum("n_upstream").alias("_n"), F.max(F.col("levels") + F.col("step")).alias("_l"))
+        totals = totals.join(more, node, "left").select(
+            node, (F.col("n_upstream") + F.coalesce("_n", F.lit(0))).alias("n_upstream"), F.coalesce("_l", "levels").alias("levels")
+        )
+        totals = materialise(totals, f"totals-{k}")  # used twice by the next step
+    return totals
+
+
 def network_faults(rivers: DataFrame, key: str = "comid", neighbours: tuple[str, ...] = NEIGHBOURS) -> DataFrame:
     """(comid, fault): reaches named as neighbours that do not exist, and reaches that drain into several."""
     named = rivers.select(F.col(key).alias("dst"), F.explode(F.array(*neighbours)).alias("src")).where((F.col("src") != NONE)).distinct()

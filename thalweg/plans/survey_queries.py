@@ -101,6 +101,12 @@ def upstream_closure_deep(spark, d):
     return network.upstream(o, "o", "comid", network.jump_tables(network.drains(t), "comb"), "comid")
 
 
+def upstream_closure_deep_all(spark, d):
+    """Number of reaches above each reach of the comb, and how deep they go."""
+    t = fixtures.comb(spark, d)
+    return network.upstream_totals(t, network.jump_tables(network.drains(t), "comb"))
+
+
 def network_faults(spark, d):
     return network.network_faults(domain.reaches(spark, d))
 
@@ -386,7 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_outlets, shape_outlets, megabasin_join, megabasin_nearest, catchment_join, catchment_nearest, box_search, basin_counts, failed_outlets,
-        upstream_closure, upstream_closure_wide, upstream_closure_deep, network_faults, reach_lookup, watershed_catchments,
+        upstream_closure, upstream_closure_wide, upstream_closure_deep, upstream_closure_deep_all, network_faults, reach_lookup, watershed_catchments,
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
         raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,

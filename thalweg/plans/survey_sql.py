@@ -138,6 +138,8 @@ union all select id, 'not in any unit catchment' from m where id not in (select
     "upstream_closure_wide": f"""with recursive {X['f5']}, {_closure('f5', 'select comid, comid, 0 from f5')}
 select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
     "upstream_closure_deep": f"with recursive {X['f3']}, {X['f4']}, {_closure('f4', 'select comid, comid, 0 from f4 where comid in (1, 6, 60)')} select o, comid, depth from up",
+    "upstream_closure_deep_all": f"""with recursive {X['f3']}, {X['f4']}, {_closure('f4', 'select comid, comid, 0 from f4')}
+select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
     "network_faults": f"""with {D['rv']}, n as (select distinct comid dst, src from (select comid, unnest([up1, up2, up3, up4]) src from rv) where src <> 0)
 select distinct src comid, 'missing' fault from n where src not in (select comid from rv)
 union all select src, 'several ways down' from n group by src having count(*) > 1""",
