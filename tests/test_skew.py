@@ -35,7 +35,7 @@ def test_totals_and_dominant_values_against_counters(spark):
 def test_placement_is_even_and_splits_the_hot_key(spark):
     df = spark.createDataFrame(rows(), RUN)
     p = S.plan_placement(df, "id", 8)
-    assert p.total == 4100 and "hot" in p.heavy and len(set(p.heavy["hot"][1])) > 1
+    assert p.total == 4100 and len(set(p.heavy["id", "hot"][1])) > 1
     assert max(p.loads) < 1.25 * sum(p.loads) / 8
     per_task = S.route(df, "id", p).groupBy("_task").count().collect()
     assert max(r["count"] for r in per_task) < 1.5 * sum(r["count"] for r in per_task) / 8
@@ -43,6 +43,27 @@ def test_placement_is_even_and_splits_the_hot_key(spark):
     assert sorted(loads) == [8, 10] and len(where) == 5
 
 
+def test_hot_keys_are_counted_at_their_shards(spark):
+    df = spark.createDataFrame([(i, *r[:1], "b" if i % 2 else str(i % 300)) for i, r in enumerate(rows())], "run_no long, id string, basin string")
+    p = S.plan_placement(df, ["id", "basin"], 8)
+    got = {(r["field"], r["keyval"]): (r["n_rows"], r["n_shards"]) for r in S.dominant_values(df, ["id", "basin"], 20, p, ["run_no"]).collect()}
+    assert set(got) == {("id", "hot"), ("basin", "b")} | {k for k in got if k[1] == "warm"}
+    for key, (n, shards) in got.items():
+        assert shards == len(p.heavy[key][1]) and abs(n - p.heavy[key][0]) <= 0.02 * n
+    assert min(got["id", "hot"][1], got["basin", "b"][1]) > 1
+    all_of = {(r["field"], r["keyval"]): r["n_shards"] for r in S.balanced_totals(df.select("id"), "id", {}).collect()}
+    assert len(all_of) == 202  # without another column to spread by, a key's rows share a shard and are counted all the same
+
+
+def test_no_session_setting_is_left_changed(spark):
+    before = spark.conf.get(S.SUBSET_KEYS)
+    df = spark.createDataFrame(rows(), RUN)
+    for value in ("true", "false"):
+        spark.conf.set(S.SUBSET_KEYS, value)
+        assert S.fragment_join(df, df.select("id").distinct(), "id").count() == 4100 and spark.conf.get(S.SUBSET_KEYS) == value
+    spark.conf.set(S.SUBSET_KEYS, before)
+
+
 def test_join_keeps_all_rows_and_names(spark):
     data = rows()
     side = [("hot", 1, "s"), ("warm", 2, "s"), ("warm", 3, "s"), ("none", 4, "s"), (None, 5, "s")]

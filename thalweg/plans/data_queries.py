@@ -31,17 +31,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "split_runs")
-    parts = [skew.dominant_values(runs, f, DOMINANT_ONE_IN).select(F.lit(f).alias("field"), "keyval") for f in ("id", "basin")]
-    return parts[0].unionByName(parts[1])
+    runs = table(spark, d, "split_runs").select("run_no", "id", "basin")
+    return skew.dominant_values(runs, ["id", "basin"], DOMINANT_ONE_IN, spread=["run_no"]).select("field", "keyval")
 
 
 def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums per id and per basin."""
-    runs = table(spark, d, "split_runs")
+    runs = table(spark, d, "split_runs").select("run_no", "id", "basin", "n_cells", "n_catchments")
     sums = {"sum_cells": "n_cells", "sum_catchments": "n_catchments"}
-    parts = [skew.balanced_totals(runs, f, sums).select(F.lit(f).alias("field"), "keyval", "n_rows", "sum_cells", "sum_catchments") for f in ("id", "basin")]
-    return parts[0].unionByName(parts[1])
+    return skew.balanced_totals(runs, ["id", "basin"], sums, spread=["run_no"]).drop("n_shards")
 
 
 def p5_outlet_runs(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lets a join use a placement by one of its keys as it is, instead of hashing all keys anew (off: it may).
+SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Settings the library relies on; a cluster's own values win where they are set.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,6 +21,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    SUBSET_KEYS: "false",
 }
 
 
@@ -36,24 +39,44 @@ def get_spark(app: str = "thalweg", master: str | None = None, **conf: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where unset, as in tests, one of our own."""
+    """The folder all executors share (spark.checkpoint.dir); where unset, one of our own if all of Spark is one process.
+
+    On a cluster there is no such folder but the one it names: without it nothing is written and an error says so.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "thalweg-shared")
     return folder.rstrip("/")
 
 
+_TABLES: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again.
 
-    Unlike a local checkpoint the files outlive any executor, and unlike checkpoint() the plan runs once.
+    Unlike a local checkpoint the files outlive any executor, and unlike checkpoint() the plan runs once. The table
+    goes when the application ends, or before that by `release`.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    local = path.removeprefix("file://")
-    if os.path.isdir(local):  # elsewhere the shared folder's owner clears it
-        atexit.register(shutil.rmtree, local, True)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _TABLES.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables materialised so far; for long sessions, when results that read them are written."""
+    n = 0
+    while _TABLES:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return n
 
 
 def parallelism(spark: SparkSession) -> int:
