@@ -10,6 +10,8 @@ from hypothesis import strategies as st
 from thalweg.config import Settings
 from thalweg.functions import geometry as G
 from thalweg.functions import numeric as N
+from thalweg.functions.rings import area as ring_area
+from thalweg.functions.rings import polygons, stitch
 from thalweg.operators import dissolve, network, raster, relocate, validate
 from thalweg.plans import pipeline
 from thalweg.sources import sinks, viewer
@@ -108,8 +110,8 @@ def test_rings_that_touch_twice_never_cross():
                 sides[e] = sides.get(e, 0) + 1
         border = [e for e, n in sides.items() if n == 1]
         rng.shuffle(border)
-        rows = dissolve.polygons(dissolve.stitch(np.array(border, float)))
-        assert round(sum(dissolve._area(c) for _, _, c in rows)) == len(blob), seed
+        rows = polygons(stitch(np.array(border, float)))
+        assert round(sum(ring_area(c) for _, _, c in rows)) == len(blob), seed
 
 
 def test_holes_and_largest_part(spark):

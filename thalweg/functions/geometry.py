@@ -9,7 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,16 @@ _E2 = (2 - 1 / INVERSE_FLATTENING) / INVERSE_FLATTENING
 _E = math.sqrt(_E2)
 
 
+def is_nested(df: DataFrame, column: str) -> bool:
+    """Whether a coordinate column has a list for each ring of a polygon, and not one list."""
+    return isinstance(df.schema[column].dataType.elementType, T.ArrayType)
+
+
+def flat_list(c: Column, nested: bool) -> Column:
+    """All coordinates of a polygon in one list, whether they are nested or not."""
+    return F.flatten(F.filter(c, lambda r: r.isNotNull())) if nested else c
+
+
 def _steps(xs: Column) -> Column:
     """0 .. number of edges - 1; empty where there is no edge."""
     return F.when(F.size(xs) > 1, F.sequence(F.lit(0), F.size(xs) - 2)).otherwise(F.array().cast("array<int>"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.config import SLIVER_DEGREES
+from thalweg.functions.rings import polygons, stitch
 
 
 def snapped(edges: DataFrame, step: float = 2 * SLIVER_DEGREES) -> DataFrame:
@@ -48,112 +49,6 @@ def border_edges(edges: DataFrame, by: list[str]) -> DataFrame:
     return n.select(*by, *[F.col(f"_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def _mates(segments: np.ndarray, ends: dict) -> dict:
-    """(segment, end) -> the segment that goes on from there, where more than two meet: the other side of the wedge of
-    the inside between them. Rings that go on so may touch but never cross each other."""
-    x1, y1, x2, y2 = segments.T
-    mates = {}
-    for (x, y), met in ends.items():
-        if len(met) < 4 or len(met) % 2:
-            continue
-        around = sorted((float(np.arctan2(q - y, p - x)), i, float(np.hypot(p - x, q - y))) for i, (p, q) in met)
-        a, b = around[0][0], around[1][0]
-        far = 1e-6 * min(r for _, _, r in around)
-        px, py = x + far * np.cos((a + b) / 2), y + far * np.sin((a + b) / 2)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inside = (((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)).sum() % 2
-        order = [i for _, i, _ in around]
-        order = order if inside else order[1:] + order[:1]
-        for i, j in zip(order[::2], order[1::2]):
-            mates[i, (x, y)], mates[j, (x, y)] = j, i
-    return mates
-
-
-def stitch(segments: np.ndarray) -> list[np.ndarray]:
-    """Closed rings of undirected segments (rows x1, y1, x2, y2) in which every end has an even number of segments.
-
-    A ring never passes a point twice: where it would, the loop is cut off, so that shapes touching at a corner, and
-    a hole touching its shell, come out apart. Ends with an odd number of segments leave open lines, which are
-    dropped.
-    """
-    lines = segments.tolist()
-    ends: dict[tuple, list[tuple[int, tuple]]] = {}
-    for i, (x1, y1, x2, y2) in enumerate(lines):
-        ends.setdefault((x1, y1), []).append((i, (x2, y2)))
-        ends.setdefault((x2, y2), []).append((i, (x1, y1)))
-    used = [False] * len(lines)
-    mates = _mates(segments, ends)
-    rings = []
-    for i, (x1, y1, _, _) in enumerate(lines):
-        if used[i]:
-            continue
-        path, place, k = [(x1, y1)], {(x1, y1): 0}, -1
-        while path:
-            options = ends[path[-1]]
-            mate = mates.get((k, path[-1]), -1)
-            if mate >= 0 and not used[mate]:  # last of the options, so taken
-                options.sort(key=lambda o: o[0] == mate)
-            while options and used[options[-1][0]]:
-                options.pop()
-            if not options:  # an end that leads nowhere, or the start when all is done
-                del place[path.pop()]
-                k = -1
-                continue
-            k, to = options.pop()
-            used[k] = True
-            if to in place:
-                first = place[to]
-                ring = path[first:] + [to]
-                for p in path[first + 1 :]:
-                    del place[p]
-                del path[first + 1 :]
-                if len(ring) > 3:
-                    rings.append(np.array(ring))
-            else:
-                place[to] = len(path)
-                path.append(to)
-    return rings
-
-
-def _area(ring: np.ndarray) -> float:
-    x, y = ring[:, 0], ring[:, 1]
-    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
-
-
-def _holds(ring: np.ndarray, px: float, py: float) -> bool:
-    x1, y1, x2, y2 = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
-    cross = (y1 > py) != (y2 > py)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return bool((cross & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)).sum() % 2)
-
-
-def polygons(rings: list[np.ndarray]) -> list[tuple[int, int, np.ndarray]]:
-    """(part, ring, coordinates): shells (ring 0, counter-clockwise) with the holes (clockwise) that lie in them.
-
-    Parts are numbered by falling area, then by their lowest corner.
-    """
-    def probe(r):
-        mid = (r[0] + r[1]) / 2
-        d = r[1] - r[0]
-        n = np.array([-d[1], d[0]]) * 1e-6
-        for s in (n, -n):
-            if _holds(r, *(mid + s)):
-                return mid + s
-        return mid
-
-    depth = [sum(_holds(o, *probe(r)) for j, o in enumerate(rings) if j != i) for i, r in enumerate(rings)]
-    shells = [i for i, d in enumerate(depth) if d % 2 == 0]
-    shells.sort(key=lambda i: (-round(abs(_area(rings[i])), 12), tuple(rings[i].min(axis=0))))
-    out = []
-    for part, s in enumerate(shells):
-        holes = [i for i, d in enumerate(depth) if d == depth[s] + 1 and _holds(rings[s], *probe(rings[i]))]
-        holes.sort(key=lambda i: tuple(rings[i].min(axis=0)))
-        for k, i in enumerate([s, *holes]):
-            ccw = _area(rings[i]) > 0
-            out.append((part, k, rings[i] if ccw == (k == 0) else rings[i][::-1]))
-    return out
-
-
 def stitch_rings(border: DataFrame, by: str) -> DataFrame:
     """(by, part, ring, xs, ys): the rings of each union's border. A group is one union's border, never its polygons."""
     kind = dict(border.dtypes)[by]
