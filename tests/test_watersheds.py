@@ -65,10 +65,11 @@ def test_totals_above_every_reach(spark, small):
 
     read = lambda rows: {r["comid"]: (r["n_upstream"], r["levels"]) for r in rows.collect()}
     comb = {r["comid"]: [u for u in r[1:] if u] for r in fixtures.comb(spark, small).select("comid", "up1", "up2", "up3", "up4").collect()}
-    got = read(survey_queries.QUERIES["upstream_closure_deep_all"](spark, small))
+    got = read(survey_queries.QUERIES["upstream_closure_deep"](spark, small))
     assert got == walked(comb) and [got[k][0] for k in (1, 6, 60)] == [40, 20, 3]
     diamond = spark.createDataFrame([(1, 2, 3, 0, 0), (2, 4, 0, 0, 0), (3, 4, 0, 0, 0), (4, 0, 0, 0, 0)], RIVER)
-    assert read(network.upstream_totals(diamond, network.jump_tables(network.drains(diamond)))) == {1: (4, 2), 2: (2, 1), 3: (2, 1), 4: (1, 0)}
+    ones = diamond.select("comid", F.lit(1).alias("n_upstream"))
+    assert read(network.upstream_totals(ones, network.jump_tables(network.drains(diamond)), sums=("n_upstream",), levels="levels")) == {1: (4, 2), 2: (2, 1), 3: (2, 1), 4: (1, 0)}
 
 
 @given(st.integers(2, 60), st.integers(0, 10_000))
@@ -232,26 +233,26 @@ def test_every_cell_is_traced(spark, monkeypatch):
 
     rng = random.Random(3)
     flow = {(r, c): 0 if (r, c) == (5, 5) else 4 if c == 5 or (r < 5 and rng.random() < 0.5) else 1 for r in range(6) for c in range(6)}
-    cells = spark.createDataFrame([(6 * r + c, r, c, f) for (r, c), f in flow.items()], "k long, r long, c long, fdir int")
+    cells = spark.createDataFrame([(64 * r + c, r, c, f) for (r, c), f in flow.items()], "k long, r long, c long, fdir int")
     monkeypatch.setattr(fixtures, "cells", lambda *_: cells)
     want = set()
     for r, c in flow:
         at, depth = (r, c), 0
         while True:
-            want.add((6 * at[0] + at[1], 6 * r + c, depth))
+            want.add((64 * at[0] + at[1], 64 * r + c, depth))
             if not flow[at]:
                 break
             at, depth = (at[0] + (flow[at] == 4), at[1] + (flow[at] == 1)), depth + 1
     run = lambda n: survey_queries.QUERIES[n](spark, "").collect()
-    assert sorted(map(tuple, run("d8_upstream_all"))) == sorted(want)
-    size = {o: sum(a == o for a, _, _ in want) for o in range(36)}
-    assert {r["o"]: r["area"] for r in run("split_terminal_all")} == size  # each part hangs together by edges
+    assert sorted(map(tuple, run("d8_upstream"))) == sorted(want)
+    size = {o: sum(a == o for a, _, _ in want) for o in (64 * r + c for r, c in flow)}
+    assert {r["o"]: r["area"] for r in run("split_terminal")} == size  # each part hangs together by edges
     area = dict.fromkeys(size, 0)
     for o in area:  # a vertical side has the traced cells to one side: sweep each row
         mine = {k for a, k, _ in want if a == o}
-        area[o] = {(c + e, r) for r in range(6) for c in range(6) for e in (0, 1) if (6 * r + c in mine) != (0 <= c + 2 * e - 1 < 6 and 6 * r + c + 2 * e - 1 in mine)}
+        area[o] = {(c + e, r) for r in range(6) for c in range(6) for e in (0, 1) if (64 * r + c in mine) != (0 <= c + 2 * e - 1 < 6 and 64 * r + c + 2 * e - 1 in mine)}
     got = {o: set() for o in area}
-    for r in run("polygonize_cells_all"):
+    for r in run("polygonize_cells"):
         if r["x1"] == r["x2"]:
             got[r["o"]].add((r["x1"], r["y1"]))
     assert got == area

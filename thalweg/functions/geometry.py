@@ -86,8 +86,14 @@ def line_start(xs: Column, ys: Column) -> Column:
 
 
 def coordinates_json(xs: Column, ys: Column, digits: int = 5) -> Column:
-    """A coordinate list as JSON text, rounded."""
-    pairs = F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: F.concat(F.lit("["), F.round(p["x"], digits).cast("string"), F.lit(","), F.round(p["y"], digits).cast("string"), F.lit("]")))
+    """A coordinate list as JSON text, rounded; never with an exponent."""
+
+    def text(v: Column) -> Column:
+        v = F.round(v, digits)
+        small = F.rtrim(v.cast(f"decimal({digits + 5},{digits})").cast("string"), F.lit("0"))
+        return F.when((F.abs(v) < 1e-3) & (v != 0), small).otherwise(v.cast("string"))
+
+    pairs = F.transform(F.arrays_zip(xs.alias("x"), ys.alias("y")), lambda p: F.concat(F.lit("["), text(p["x"]), F.lit(","), text(p["y"]), F.lit("]")))
     return F.concat(F.lit("["), F.concat_ws(",", pairs), F.lit("]"))
 
 

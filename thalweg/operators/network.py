@@ -80,26 +80,31 @@ def upstream(outlets: DataFrame, outlet: str, start: str, jumps: Jumps, node: st
     return reached.select(F.col("_o").alias(outlet), F.col("_n").alias(node), "depth")
 
 
-def upstream_totals(rivers: DataFrame, jumps: Jumps, node: str = "comid") -> DataFrame:
-    """(node, n_upstream, levels): how many reaches lie above each reach, itself included, and the most steps to one.
+def upstream_totals(
+    values: DataFrame, jumps: Jumps, node: str = "comid", sums: tuple[str, ...] = (), maxima: tuple[str, ...] = (), levels: str | None = None
+) -> DataFrame:
+    """(node, *sums, *maxima[, levels]): columns of `values` (a row per node) added up, or their largest taken, over all
+    nodes upstream of each node, itself included; `levels` counts the steps to the farthest of them.
 
     Where every reach has one way down, totals double as jumps do: what lies within 2^(k+1) reaches is what lies within
-    2^k and what does so of the reaches 2^k above. No pair of reaches is ever listed, so deep networks cost no more
-    than wide ones.
+    2^k and what does so of the reaches 2^k above. No pair of reaches is ever listed, so n nodes cost n rows a step,
+    and log2(depth) steps make one plan. With several ways down, reaches are listed by pairs, so that none counts twice.
     """
-    every = rivers.where(F.col(node).isNotNull()).select(node).distinct()
+    steps = [levels] if levels else []
+    own = values.where(F.col(node).isNotNull()).select(F.col(node).alias("_n"), *sums, *maxima, *[F.lit(0).alias(c) for c in steps])
+    fold = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in (*maxima, *steps)]
     if not jumps.plain:
-        up = upstream(every.withColumn("_s", F.col(node)), "_s", node, jumps, "_u")
-        return up.groupBy(F.col("_s").alias(node)).agg(F.count(F.lit(1)).alias("n_upstream"), F.max("depth").alias("levels"))
-    totals = every.select(node, F.lit(1).cast("bigint").alias("n_upstream"), F.lit(0).alias("levels"))
-    for k, table in enumerate(jumps.tables):
-        far = table.where("step > 0").select(F.col("src").alias(node), "dst", "step").join(totals, node)
-        more = far.groupBy(F.col("dst").alias(node)).agg(F.sum("n_upstream").alias("_n"), F.max(F.col("levels") + F.col("step")).alias("_l"))
-        totals = totals.join(more, node, "left").select(
-            node, (F.col("n_upstream") + F.coalesce("_n", F.lit(0))).alias("n_upstream"), F.coalesce("_l", "levels").alias("levels")
-        )
-        totals = materialise(totals, f"totals-{k}")  # used twice by the next step
-    return totals
+        up = upstream(own.select(F.col("_n").alias("_o"), F.col("_n").alias("_s")), "_o", "_s", jumps, "_n")
+        far = up.join(own.drop(*steps), "_n").withColumns({c: F.col("depth") for c in steps})
+        return far.groupBy(F.col("_o").alias(node)).agg(*fold)
+    totals = own
+    for table in jumps.tables:
+        far = table.where("step > 0").select(F.col("src").alias("_n"), "dst", "step")
+        here = F.struct("_n", *sums, *maxima, *steps)
+        there = F.struct(F.col("dst").alias("_n"), *sums, *maxima, *[(F.col(c) + F.col("step")).alias(c) for c in steps])
+        both = F.when(F.col("dst").isNull(), F.array(here)).otherwise(F.array(here, there))
+        totals = totals.join(far, "_n", "left").select(F.explode(both).alias("e")).select("e.*").groupBy("_n").agg(*fold)
+    return totals.withColumnRenamed("_n", node)
 
 
 def network_faults(rivers: DataFrame, key: str = "comid", neighbours: tuple[str, ...] = NEIGHBOURS) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thalweg.config import HALF_PIXEL, Settings
-from thalweg.operators.network import jump_tables, upstream
+from thalweg.operators.network import Jumps, jump_tables, upstream_totals
 
 # fixed values: direction code -> row and column step, clockwise from north
 STEPS = {64: (-1, 0), 128: (-1, 1), 1: (0, 1), 2: (1, 1), 4: (1, 0), 8: (1, -1), 16: (0, -1), 32: (-1, -1)}
@@ -31,11 +31,10 @@ def cell_drains(cells: DataFrame, key: str = "k") -> DataFrame:
     return to.join(cells.select("r", "c", F.col(key).alias("dst")), ["r", "c"]).select("src", "dst")
 
 
-def accumulate(cells: DataFrame, key: str = "k") -> DataFrame:
+def accumulate(cells: DataFrame, key: str = "k", jumps: Jumps | None = None) -> DataFrame:
     """(key, acc): number of cells that flow through each cell, itself included."""
-    tables = jump_tables(cell_drains(cells, key), "raster")
-    up = upstream(cells.select(F.col(key).alias("o"), F.col(key)), "o", key, tables, "n")
-    return up.groupBy(F.col("o").alias(key)).agg(F.count(F.lit(1)).alias("acc"))
+    jumps = jumps or jump_tables(cell_drains(cells, key), "raster")
+    return upstream_totals(cells.select(key, F.lit(1).cast("bigint").alias("acc")), jumps, key, sums=("acc",))
 
 
 def masked(cells: DataFrame, inside: Column) -> DataFrame:

@@ -29,9 +29,10 @@ RINGS = """
 select cast(floor(o_orderkey/8) as bigint) poly_id, o_orderkey%8 ring,
   case when o_orderkey%8=0 then cast(1 as double) else cast(o_custkey%100+1 as double)/cast(100000 as double) end ring_area from {orders}"""
 CELLS = """
-select k, r, c, case when c=63 and r=h-1 then 0 when c=63 then 4 when r=h-1 then 1 when ck%2=0 then 4 else 1 end fdir
-from (select o_orderkey k, cast(floor(o_orderkey/64) as bigint) r, o_orderkey%64 c, o_custkey ck, h.h
-  from {orders} cross join (select least(64, cast(floor(count(*)/64) as bigint)) h from {orders}) h where o_orderkey < 64*h.h) z"""
+select k, r, c, case when c=63 and last then 0 when c=63 then 4 when last then 1 when ck%2=0 then 4 else 1 end fdir
+from (select o_orderkey k, cast(floor(o_orderkey/64) as bigint) r, o_orderkey%64 c, o_custkey ck,
+        cast(floor(o_orderkey/64) as bigint)%64 = 63 or cast(floor(o_orderkey/64) as bigint) = h.h-1 last
+  from {orders} cross join (select cast(floor(count(*)/64) as bigint) h from {orders}) h where o_orderkey < 64*h.h) z"""
 
 
 def lattice(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,10 @@ from thalweg.config import Settings
 from thalweg.functions.geometry import equal_area_km2, geodesic_m, line_start, shoelace
 from thalweg.functions.numeric import percent_difference, significant
 from thalweg.operators.dissolve import border_edges, closed, fill_holes, simplify, stitch_rings
-from thalweg.operators.network import drains, jump_tables, upstream
+from thalweg.operators.network import Jumps, drains, jump_tables, upstream, upstream_totals
 from thalweg.operators.regions import edges_of, locate
 from thalweg.operators.relocate import NO_MATCH, accept_terminal, search_reaches
-from thalweg.operators.validate import shape_outlets
+from thalweg.operators.validate import check_megabasins, shape_outlets
 from thalweg.plans.high_resolution import Split, on_grid, split_terminals
 from thalweg.session import materialise
 
@@ -24,22 +24,32 @@ NO_CATCHMENT = "not in any unit catchment"
 
 @dataclass(frozen=True)
 class Inputs:
-    """outlets(id, lat, lng[, name, area]); megabasins(basin, rings); catchments(comid, basin, rings); reaches."""
+    """outlets(id, lat, lng[, name, area]); megabasins(basin, rings); catchments(comid, basin, rings); reaches.
+
+    Rings are ring_lng and ring_lat, one list of coordinates or a list for each ring. simplified: catchments of
+    simpler shapes, for watersheds drawn in low resolution; without it they are drawn from the full ones.
+    """
 
     outlets: DataFrame
     megabasins: DataFrame
     catchments: DataFrame
     reaches: DataFrame
+    simplified: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Run:
-    """Results by outlet: `located` (basin, comid, uparea), `failed` (id, explanation), `members` (id, comid, depth)."""
+    """Results by outlet: `located` (basin, comid, uparea) and `failed` (id, explanation); `jumps` is the network's."""
 
     outlets: DataFrame
     located: DataFrame
     failed: DataFrame
-    members: DataFrame
+    jumps: Jumps
+
+    @property
+    def members(self) -> DataFrame:
+        """(id, comid, depth): the reaches of each outlet's watershed."""
+        return upstream(self.located, "id", "comid", self.jumps)
 
 
 def locate_outlets(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataFrame]:
@@ -50,7 +60,7 @@ def locate_outlets(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataF
     basin = materialise(basin, "basin-of-outlet")
     in_basin = o.join(basin, "id")
     no_basin = o.join(basin, "id", "left_anti").select("id", F.lit(NO_BASIN).alias("explanation"))
-    unit = locate(in_basin, "id", "lng", "lat", inputs.catchments, "comid", "ring_lng", "ring_lat", settings.search_dist).select("id", "comid")
+    unit = locate(in_basin, "id", "lng", "lat", inputs.catchments, "comid", "ring_lng", "ring_lat", settings.search_dist, within="basin").select("id", "comid")
     unit = materialise(unit, "catchment-of-outlet")
     with_reach = unit.join(inputs.reaches.select("comid", "uparea"), "comid")
     no_unit = in_basin.join(with_reach, "id", "left_anti").select("id", F.lit(NO_CATCHMENT).alias("explanation"))
@@ -66,13 +76,14 @@ def locate_outlets(inputs: Inputs, settings: Settings) -> tuple[DataFrame, DataF
     return located, failed
 
 
-def run_batch(inputs: Inputs, settings: Settings) -> Run:
+def run_batch(inputs: Inputs, settings: Settings, jumps: Jumps | None = None) -> Run:
+    """Validate the layers, place the outlets. jumps: tables of the network, if it has them already."""
+    check_megabasins(inputs.megabasins)
     shaped = shape_outlets(inputs.outlets)
-    inputs = Inputs(shaped, inputs.megabasins, inputs.catchments, inputs.reaches)
+    inputs = replace(inputs, outlets=shaped)
     located, failed = locate_outlets(inputs, settings)
     located = materialise(located.select("id", "basin", "comid", "uparea"), "outlets")
-    members = upstream(located, "id", "comid", jump_tables(drains(inputs.reaches)))
-    return Run(shaped, located, failed, members)
+    return Run(shaped, located, failed, jumps or jump_tables(drains(inputs.reaches)))
 
 
 def low_resolution(uparea, settings: Settings):
@@ -85,35 +96,64 @@ def refine(run: Run, inputs: Inputs, cells: DataFrame, settings: Settings) -> tu
 
     Outlets that cannot be split fail; the run returned has them among its failures.
     """
-    n = run.members.groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments"))
-    fine = run.located.where(~low_resolution("uparea", settings)).join(n, "id").join(run.outlets.select("id", "lat", "lng"), "id")
+    fine = run.located.where(~low_resolution("uparea", settings)).join(catchments_above(run, inputs), "comid")
+    fine = fine.join(run.outlets.select("id", "lat", "lng"), "id")
     split = split_terminals(fine.select("id", "lng", "lat", "comid", "n_catchments"), inputs.catchments, cells, settings)
     located = run.located.join(split.failed, "id", "left_anti")
-    return Run(run.outlets, located, run.failed.unionByName(split.failed), run.members), split
+    return Run(run.outlets, located, run.failed.unionByName(split.failed), run.jumps), split
+
+
+def catchments_above(run: Run, inputs: Inputs) -> DataFrame:
+    """(comid, n_catchments) of every reach."""
+    return upstream_totals(inputs.reaches.select("comid", F.lit(1).cast("bigint").alias("n_catchments")), run.jumps, sums=("n_catchments",))
+
+
+def _smoothed(rings: DataFrame, settings: Settings) -> DataFrame:
+    """Holes up to the limit filled, and the boundary simplified if set."""
+    if settings.fill:
+        rings = fill_holes(rings, shoelace(F.col("xs"), F.col("ys")), settings.fill_area())
+    if settings.simplify:
+        rings = simplify(rings, settings.simplify_tolerance)
+    return rings
+
+
+def _sheds(run: Run, inputs: Inputs, settings: Settings) -> DataFrame:
+    """(shed, coarse, part, ring, xs, ys): one boundary for each terminal reach, however many outlets share it. Large
+    watersheds are made of the simplified layer, if there is one; slivers are closed."""
+    ends = run.located.select("comid", low_resolution("uparea", settings).alias("coarse")).groupBy("comid").agg(F.max("coarse").alias("coarse"))
+    members = upstream(ends, "comid", "comid", run.jumps, "unit").join(ends, "comid")
+    sides = ["x1", "y1", "x2", "y2"]
+    edges = edges_of(inputs.catchments, "comid", "ring_lng", "ring_lat")
+    layers = [(edges, None)]
+    if inputs.simplified is not None:
+        layers = [(edges, False), (edges_of(inputs.simplified, "comid", "ring_lng", "ring_lat"), True)]
+    own = None
+    for layer, coarse in layers:
+        layer = materialise(closed(layer), "edges").select(F.col("comid").alias("unit"), *sides)
+        rows = members if coarse is None else members.where(F.col("coarse") == coarse)
+        rows = rows.join(layer, "unit").select(F.col("comid").alias("shed"), *sides)
+        own = rows if own is None else own.unionByName(rows)
+    return stitch_rings(border_edges(own, ["shed"]), "shed")
 
 
 def boundaries(run: Run, inputs: Inputs, settings: Settings, split: Split | None = None) -> DataFrame:
     """(id, part, ring, xs, ys): each watershed's catchments dissolved, slivers closed, small holes filled, simplified
     if set. With a split, the split part stands for the terminal catchment of those that have one."""
-    kind = dict(run.members.dtypes)["id"]
+    if split is None:
+        sheds = _smoothed(_sheds(run, inputs, settings), settings)
+        return run.located.select("id", F.col("comid").alias("shed")).join(sheds, "shed").drop("shed")
+    whole = replace(run, located=run.located.join(split.terminals.select("id"), "id", "left_anti"))
+    kind = dict(run.located.dtypes)["id"]
     edges = edges_of(inputs.catchments, "comid", "ring_lng", "ring_lat")
-    members = run.members
-    if split is not None:
-        part = edges_of(split.terminals, "id", "xs", "ys").withColumn("comid", F.lit(None).cast(dict(edges.dtypes)["comid"]))
-        edges = on_grid(edges.withColumn("id", F.lit(None).cast(kind)).unionByName(part))
-        fine = split.terminals.select("id")
-        members = members.where("depth > 0").unionByName(members.where("depth = 0").join(fine, "id", "left_anti"))
+    part = edges_of(split.terminals, "id", "xs", "ys").withColumn("comid", F.lit(None).cast(dict(edges.dtypes)["comid"]))
+    edges = on_grid(edges.withColumn("id", F.lit(None).cast(kind)).unionByName(part))
     edges = materialise(closed(edges), "edges")
     sides = ["x1", "y1", "x2", "y2"]
-    own = members.select("id", "comid").join(edges.where(F.col("comid").isNotNull()).select("comid", *sides), "comid").select("id", *sides)
-    if split is not None:
-        own = own.unionByName(edges.where(F.col("id").isNotNull()).select("id", *sides))
-    rings = stitch_rings(border_edges(own, ["id"]), "id")
-    if settings.fill:
-        rings = fill_holes(rings, shoelace(F.col("xs"), F.col("ys")), settings.fill_area())
-    if settings.simplify:
-        rings = simplify(rings, settings.simplify_tolerance)
-    return rings
+    above = run.members.where("depth > 0").join(split.terminals.select("id"), "id", "left_semi")
+    own = above.select("id", "comid").join(edges.where(F.col("comid").isNotNull()).select("comid", *sides), "comid").select("id", *sides)
+    own = own.unionByName(edges.where(F.col("id").isNotNull()).select("id", *sides))
+    rings = _smoothed(stitch_rings(border_edges(own, ["id"]), "id"), settings)
+    return rings.unionByName(boundaries(whole, inputs, settings))
 
 
 def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool = False, split: Split | None = None) -> DataFrame:
@@ -123,8 +163,14 @@ def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool =
     is the snapped outlet.
     """
     ring = equal_area_km2(F.col("xs"), F.col("ys"))
-    area = boundaries(run, inputs, settings, split).groupBy("id").agg(F.sum(F.when(F.col("ring") == 0, ring).otherwise(-ring)).alias("km2"))
-    measured = run.members.groupBy("id").agg(F.count(F.lit(1)).alias("n_catchments")).join(area, "id", "left")
+    measure = lambda rings, by: rings.groupBy(by).agg(F.sum(F.when(F.col("ring") == 0, ring).otherwise(-ring)).alias("km2"))
+    if split is None:  # measured once for each terminal reach
+        area = measure(_smoothed(_sheds(run, inputs, settings), settings), "shed")
+        area = run.located.select("id", F.col("comid").alias("shed")).join(area, "shed").drop("shed")
+    else:
+        area = measure(boundaries(run, inputs, settings, split), "id")
+    count = run.located.select("id", "comid").join(catchments_above(run, inputs), "comid").select("id", "n_catchments")
+    measured = count.join(area, "id", "left")
     start = line_start(F.col("line_lng"), F.col("line_lat"))
     ends = inputs.reaches.select("comid", start.alias("s"))
     found = run.located.join(ends, "comid").join(measured, "id").select("id", "basin", "comid", "uparea", "n_catchments", "km2", "s")

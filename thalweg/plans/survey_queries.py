@@ -10,7 +10,7 @@ from thalweg.functions.geometry import bounds, equal_area_km2, geodesic_m, line_
 from thalweg.functions.numeric import display, grid_ceil, grid_floor, percent_difference, relative_difference, significant
 from thalweg.operators import dissolve, network, raster, regions, relocate, validate
 from thalweg.plans import domain, fixtures, high_resolution, pipeline
-from thalweg.session import materialise
+from thalweg.session import kept, materialise
 from thalweg.sources import sinks, viewer
 from thalweg.sources.tables import table
 
@@ -39,9 +39,22 @@ def _inputs(spark: SparkSession, d: str) -> pipeline.Inputs:
     return pipeline.Inputs(_placed(spark, d), domain.megabasins(spark, d), domain.catchments(spark, d), domain.reaches(spark, d))
 
 
+def _jumps(spark: SparkSession, d: str, name: str = "rivers") -> network.Jumps:
+    """Jump tables of a network depend on nothing else: they are written once per session and folder."""
+    nets = {
+        "rivers": lambda: network.drains(domain.reaches(spark, d)), "comb": lambda: network.drains(fixtures.comb(spark, d)),
+        "tree": lambda: network.drains(fixtures.tree(spark, d)), "raster": lambda: raster.cell_drains(fixtures.cells(spark, d)),
+    }
+    return kept(spark, (name, d), lambda: network.jump_tables(nets[name](), name))
+
+
+def _terminals(spark: SparkSession, d: str) -> DataFrame:
+    """(id, comid) of outlets in a catchment that has a reach."""
+    return _catchment_of(spark, d).join(domain.reaches(spark, d).select("comid"), "comid").select("id", "comid")
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    tables = network.jump_tables(network.drains(domain.reaches(spark, d)))
-    return network.upstream(_catchment_of(spark, d).join(domain.reaches(spark, d).select("comid"), "comid"), "id", "comid", tables)
+    return network.upstream(_terminals(spark, d), "id", "comid", _jumps(spark, d))
 
 
 def validate_outlets(spark, d):
@@ -87,24 +100,19 @@ def upstream_closure(spark, d):
     return _members(spark, d).select("id", "comid", "depth")
 
 
-def upstream_closure_wide(spark, d):
-    """Number of reaches above each reach of the tree with four neighbours a reach."""
-    t = fixtures.tree(spark, d)
-    up = network.upstream(t.select(F.col("comid").alias("o"), "comid"), "o", "comid", network.jump_tables(network.drains(t), "tree"), "n")
-    return up.groupBy(F.col("o").alias("comid")).agg(F.count(F.lit(1)).alias("n_upstream"), F.max("depth").alias("levels"))
+def _counted(net: DataFrame, jumps: network.Jumps) -> DataFrame:
+    ones = net.select("comid", F.lit(1).cast("bigint").alias("n_upstream"))
+    return network.upstream_totals(ones, jumps, sums=("n_upstream",), levels="levels")
 
 
-def upstream_closure_deep(spark, d):
-    """Reaches above three outlets of the comb, which is as deep as the lattice is high."""
-    t = fixtures.comb(spark, d)
-    o = t.where(F.col("comid").isin(1, 6, 60)).select(F.col("comid").alias("o"), "comid")
-    return network.upstream(o, "o", "comid", network.jump_tables(network.drains(t), "comb"), "comid")
+def upstream_closure_wide(spark, d):
+    """Number of reaches above each reach of the tree with four neighbours a reach, and how deep they go."""
+    return _counted(fixtures.tree(spark, d), _jumps(spark, d, "tree"))
 
 
-def upstream_closure_deep_all(spark, d):
-    """Number of reaches above each reach of the comb, and how deep they go."""
-    t = fixtures.comb(spark, d)
-    return network.upstream_totals(t, network.jump_tables(network.drains(t), "comb"))
+def upstream_closure_deep(spark, d):
+    """The same of the comb, which is as deep as the lattice is high."""
+    return _counted(fixtures.comb(spark, d), _jumps(spark, d, "comb"))
 
 
 def network_faults(spark, d):
@@ -117,10 +125,10 @@ def reach_lookup(spark, d):
 
 
 def watershed_catchments(spark, d):
-    c = domain.catchments(spark, d).select("comid", "unitarea")
-    return _members(spark, d).join(c, "comid").groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_catchments"), F.round(F.sum("unitarea"), 3).alias("sum_unitarea"), F.max("depth").alias("longest")
-    )
+    c = domain.catchments(spark, d).select("comid", F.col("unitarea").alias("sum_unitarea"), F.lit(1).cast("bigint").alias("n_catchments"))
+    own = domain.reaches(spark, d).select("comid").join(c, "comid")
+    totals = network.upstream_totals(own, _jumps(spark, d), sums=("n_catchments", "sum_unitarea"), levels="longest")
+    return _terminals(spark, d).join(totals, "comid").select("id", "n_catchments", F.round("sum_unitarea", 3).alias("sum_unitarea"), "longest")
 
 
 def _with_uparea(spark, d):
@@ -147,7 +155,7 @@ def _lattice_sheds(spark, d):
     """Watersheds of the comb's reaches at the foot of each column, and their square catchments."""
     t = fixtures.comb(spark, d)
     o = t.where("r = 0").select(F.col("comid").alias("o"), "comid")
-    up = network.upstream(o, "o", "comid", network.jump_tables(network.drains(t), "comb"), "comid")
+    up = network.upstream(o, "o", "comid", _jumps(spark, d, "comb"), "comid")
     return up.join(fixtures.lattice(spark, d), "comid").select("o", "comid", "r", "c", "unitarea")
 
 
@@ -243,8 +251,8 @@ def window_align(spark, d):
 
 
 def _mask():
-    """The part of the raster that counts as the catchment."""
-    return (F.col("c") + F.col("r") * 2) >= 24
+    """The part of each tile of the raster that counts as the catchment."""
+    return (F.col("c") + F.col("r") % 64 * 2) >= 24
 
 
 def raster_mask(spark, d):
@@ -254,7 +262,7 @@ def raster_mask(spark, d):
 
 def _accumulated(spark, d):
     cells = fixtures.cells(spark, d)
-    return cells.join(raster.accumulate(cells), "k")
+    return cells.join(raster.accumulate(cells, jumps=_jumps(spark, d, "raster")), "k")
 
 
 def raster_accumulation(spark, d):
@@ -266,59 +274,44 @@ def raster_streams(spark, d):
 
 
 def _pour_points(spark, d):
-    o = table(spark, d, "supplier")
-    return o.select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_suppkey") * 37 % 64).alias("pc"), (F.col("s_suppkey") * 53 % 23).alias("pr"), F.lit(0).alias("tile"))
+    """A point per supplier, dealt out over the raster's rows."""
+    h = fixtures.cells(spark, d).agg((F.max("r") + 1).alias("h"))
+    o = table(spark, d, "supplier").crossJoin(F.broadcast(h))  # one row
+    return o.select(F.col("s_suppkey").cast("string").alias("id"), (F.col("s_suppkey") * 37 % 64).alias("pc"), (F.col("s_suppkey") * 53 % F.col("h")).alias("pr"))
 
 
 def snap_pour_point(spark, d):
-    s = raster.streams(_accumulated(spark, d), F.lit(1), Settings(threshold_single=20)).withColumn("tile", F.lit(0))
-    return raster.snap_points(_pour_points(spark, d), s, ["tile"])
-
-
-def _traced(spark, d, where="c = 63 and r % 7 = 3"):
-    cells = fixtures.cells(spark, d)
-    starts = cells.where(where).select(F.col("k").alias("o"), "k")
-    up = network.upstream(starts, "o", "k", network.jump_tables(raster.cell_drains(cells), "raster"), "k")
-    return up.join(cells.select("k", "r", "c"), "k")
+    tile = lambda r: F.floor(F.col(r) / 64).alias("tile")
+    s = raster.streams(_accumulated(spark, d), F.lit(1), Settings(threshold_single=20)).select("*", tile("r"))
+    return raster.snap_points(_pour_points(spark, d).select("*", tile("pr")), s, ["tile"])
 
 
-def _polygonized(traced):
-    border = dissolve.border_edges(raster.cell_edges(traced, ["o"]), ["o"])
-    return border.select("o", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+def _traced(spark, d):
+    """What drains to each cell of the raster, every cell being an outlet."""
+    starts = fixtures.cells(spark, d).select(F.col("k").alias("o"), "k")
+    return network.upstream(starts, "o", "k", _jumps(spark, d, "raster"), "k")
 
 
-def _largest_shells(traced):
-    border = dissolve.border_edges(raster.cell_edges(traced, ["o"]), ["o"])
-    shells = dissolve.stitch_rings(border, "o").where("ring = 0").withColumn("area", F.abs(shoelace(F.col("xs"), F.col("ys"))))
-    return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).alias("n_corners"))
+def _traced_cells(spark, d):
+    """A cell's number says its row and column."""
+    return _traced(spark, d).select("o", F.floor(F.col("k") / 64).alias("r"), (F.col("k") % 64).alias("c"))
 
 
 def d8_upstream(spark, d):
     return _traced(spark, d).select("o", "k", "depth")
 
 
-def d8_upstream_all(spark, d):
-    """What drains to each cell of the raster, every cell being an outlet."""
-    return _traced(spark, d, "true").select("o", "k", "depth")
-
-
 def polygonize_cells(spark, d):
-    return _polygonized(_traced(spark, d))
-
-
-def polygonize_cells_all(spark, d):
     """The border of what drains to each cell."""
-    return _polygonized(_traced(spark, d, "true"))
+    border = dissolve.border_edges(raster.cell_edges(_traced_cells(spark, d), ["o"]), ["o"])
+    return border.select("o", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 def split_terminal(spark, d):
-    """The traced part of the raster as polygons: the largest part of each, holes aside."""
-    return _largest_shells(_traced(spark, d))
-
-
-def split_terminal_all(spark, d):
     """The largest part of what drains to each cell, holes aside."""
-    return _largest_shells(_traced(spark, d, "true"))
+    border = dissolve.border_edges(raster.cell_edges(_traced_cells(spark, d), ["o"]), ["o"])
+    shells = dissolve.stitch_rings(border, "o").where("ring = 0").withColumn("area", F.abs(shoelace(F.col("xs"), F.col("ys"))))
+    return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).cast("bigint").alias("n_corners"))
 
 
 def _raster_world(spark, d):
@@ -343,9 +336,10 @@ def high_res_split(spark, d):
 
 def _map_rivers(spark, d):
     r = domain.reaches(spark, d).select("comid", "ord", "lengthkm", "line_lng", "line_lat")
-    rows = _members(spark, d).join(r, "comid")
-    top = rows.groupBy("id").agg(F.max("ord").alias("top"))
-    return rows.join(top, "id").where(F.col("ord") >= F.col("top") - LOW_RES.num_stream_orders)
+    top = network.upstream_totals(r.select("comid", F.col("ord").alias("top")), _jumps(spark, d), maxima=("top",))
+    ends = _terminals(spark, d).join(top, "comid").select("id", "top")
+    rows = _members(spark, d).join(r, "comid").join(ends, "id")
+    return rows.where(F.col("ord") >= F.col("top") - LOW_RES.num_stream_orders)
 
 
 def river_map_filter(spark, d):
@@ -358,25 +352,39 @@ def river_map_features(spark, d):
 
 
 def geojson_features(spark, d):
-    return sinks.geojson_features(_lattice_rings(spark, d), "o")
+    """Catchments as features."""
+    c = domain.catchments(spark, d).select("comid", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("ring_lng").alias("xs"), F.col("ring_lat").alias("ys"))
+    return sinks.geojson_features(c, "comid")
+
+
+def _run(spark, d, settings=LOW_RES):
+    inputs = _inputs(spark, d)
+    return pipeline.run_batch(inputs, settings, _jumps(spark, d)), inputs, settings
 
 
 def watershed_boundaries(spark, d):
     """The dissolved boundary of every outlet's watershed."""
-    inputs = _inputs(spark, d)
-    return sinks.geojson_features(pipeline.boundaries(pipeline.run_batch(inputs, LOW_RES), inputs, LOW_RES), "id")
+    return sinks.geojson_features(pipeline.boundaries(*_run(spark, d)), "id")
+
+
+def watershed_polygons(spark, d):
+    """Parts, corners, area and bounds of every outlet's dissolved watershed, all holes kept."""
+    rings = pipeline.boundaries(*_run(spark, d, Settings(high_res=False, fill=False)))
+    b = bounds(F.col("xs"), F.col("ys"))
+    rings = rings.select("id", "ring", (F.size("xs") - 1).alias("n"), shoelace(F.col("xs"), F.col("ys")).alias("a"), b.alias("b"))
+    return rings.groupBy("id").agg(
+        F.count_if(F.col("ring") == 0).alias("n_parts"), F.sum("n").alias("n_edges"), F.round(F.sum("a"), 11).alias("deg2"),
+        F.min("b.xmin").alias("xmin"), F.min("b.ymin").alias("ymin"), F.max("b.xmax").alias("xmax"), F.max("b.ymax").alias("ymax"),
+    )
 
 
 def watershed_summary(spark, d):
-    inputs = _inputs(spark, d)
-    return pipeline.summary(pipeline.run_batch(inputs, LOW_RES), inputs, LOW_RES)
+    return pipeline.summary(*_run(spark, d))
 
 
 def watershed_summary_matched(spark, d):
     """The run that moves outlets to reaches of fitting area, with snap distances."""
-    settings = Settings(high_res=False, match_areas=True, search_dist=0.025)
-    inputs = _inputs(spark, d)
-    return pipeline.summary(pipeline.run_batch(inputs, settings), inputs, settings, with_distance=True)
+    return pipeline.summary(*_run(spark, d, Settings(high_res=False, match_areas=True, search_dist=0.025)), with_distance=True)
 
 
 def viewer_table(spark, d):
@@ -392,11 +400,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_outlets, shape_outlets, megabasin_join, megabasin_nearest, catchment_join, catchment_nearest, box_search, basin_counts, failed_outlets,
-        upstream_closure, upstream_closure_wide, upstream_closure_deep, upstream_closure_deep_all, network_faults, reach_lookup, watershed_catchments,
+        upstream_closure, upstream_closure_wide, upstream_closure_deep, network_faults, reach_lookup, watershed_catchments,
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
         raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,
-        d8_upstream_all, polygonize_cells_all, split_terminal_all,
-        river_map_filter, river_map_features, geojson_features, watershed_boundaries, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
+        river_map_filter, river_map_features, geojson_features, watershed_boundaries, watershed_polygons, watershed_summary, watershed_summary_matched, viewer_table, display_formats,
     )
 }

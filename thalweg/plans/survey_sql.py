@@ -72,9 +72,8 @@ _ACC = f"""with recursive {X['f7']}, {_FLOW},
 up(o, k) as (select k, k from f7 union all select up.o, e.src from up join e on e.dst = up.k),
 acc as (select o k, count(*) acc from up group by o), cells as (select f7.r, f7.c, acc.acc from f7 join acc using (k))"""
 _TRACE = f"""with recursive {X['f7']}, {_FLOW},
-up(o, k, depth) as (select k, k, 0 from f7 where c = 63 and r % 7 = 3 union all select up.o, e.src, up.depth + 1 from up join e on e.dst = up.k),
+up(o, k, depth) as (select k, k, 0 from f7 union all select up.o, e.src, up.depth + 1 from up join e on e.dst = up.k),
 traced as (select up.o, f7.r, f7.c from up join f7 using (k)), {_sides('traced', 'o')}"""
-_TRACE_ALL = _TRACE.replace(" where c = 63 and r % 7 = 3", "")
 _LINE = "unnest(line_lng[:-2]) x1, unnest(line_lat[:-2]) y1, unnest(line_lng[2:]) x2, unnest(line_lat[2:]) y2"
 
 
@@ -100,7 +99,7 @@ def _ladder(max_dist: float = 0.075) -> list[float]:
 
 _LADDER = _ladder()
 _SUMMARY = f"""{_UNIT.replace('with recursive', 'with recursive ' + D['mb'] + ', ')}, {_inside('m', 'mb', 'basin')}, {_KM2},
-loc as (select o.*, m.basin, w.comid from o join m using (id) join w using (id) where w.comid in (select comid from rv)),
+loc as (select o.*, m.basin, w.comid from o join m using (id) join w using (id) join ca on ca.comid = w.comid and ca.basin = m.basin where w.comid in (select comid from rv)),
 {_EDGES},
 up(id, comid) as (select id, comid from loc union all select up.id, e.src from up join e on e.dst = up.comid),
 shed as (select id, count(*) n_catchments, sum(km2) km2 from up left join km using (comid) group by id),
@@ -112,6 +111,100 @@ pct as (select *, case when result <> 'failed' then (area_calc - area_reported)
 summary as (select * exclude (p), {_sig('p', 2)} perc_diff from pct)"""
 
 
+def _geodesic(rel: str, steps: int = 12) -> str:
+    """Relation g: rel (key, la1, lo1, la2, lo2) with metres on the ellipsoid; Vincenty's iteration written out step by step."""
+    f, b = 1 / _INV, _A * (1 - 1 / _INV)
+    start = f"""g0 as (select *, sin(u1) s1, cos(u1) c1, sin(u2) s2, cos(u2) c2, dl lam from (select *, atan({1 - f!r}::double * tan(radians(la1))) u1,
+  atan({1 - f!r}::double * tan(radians(la2))) u2, radians(lo2) - radians(lo1) dl from {rel}))"""
+    one = """select *, coalesce(c1 * c2 * sin(lam) / nullif(ss, 0), 0.0) sa from (select *, atan2(ss, cs) sig from
+  (select *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) ss, s1 * s2 + c1 * c2 * cos(lam) cs from {}))"""
+    full = "select *, 1 - sa * sa ca2, case when 1 - sa * sa = 0 then 0.0 else cs - 2 * s1 * s2 / (1 - sa * sa) end c2m from (" + one + ")"
+    parts = [start]
+    for k in range(steps):
+        c = f"({f / 16!r}::double * ca2 * (4 + {f!r}::double * (4 - 3 * ca2)))"
+        new = f"dl + (1 - {c}) * {f!r}::double * sa * (sig + {c} * ss * (c2m + {c} * cs * (2 * c2m * c2m - 1)))"
+        keep = "la1, lo1, la2, lo2, key, s1, c1, s2, c2, dl"
+        parts.append(f"g{k + 1} as (select {keep}, {new} lam from ({full.format(f'g{k}')}))")
+    k2 = f"(ca2 * {(_A**2 - b**2) / b**2!r}::double)"
+    big_a = f"(1 + {k2} / 16384 * (4096 + {k2} * (-768 + {k2} * (320 - 175 * {k2}))))"
+    big_b = f"({k2} / 1024 * (256 + {k2} * (-128 + {k2} * (74 - 47 * {k2}))))"
+    ds = f"{big_b} * ss * (c2m + {big_b} / 4 * (cs * (2 * c2m * c2m - 1) - {big_b} / 6 * c2m * (4 * ss * ss - 3) * (4 * c2m * c2m - 3)))"
+    parts.append(f"g as (select key, {b!r}::double * {big_a} * (sig - {ds}) metres from ({full.format(f'g{steps}')}))")
+    return ",\n".join(parts)
+
+
+def _within_reach(name: str, layer: str, key: str, reach: float, points: str = "o", same: str = "") -> str:
+    """Relation name(id, key): the region that holds a point, or else the nearest within reach. same: a further condition on p and r."""
+    also = f" and {same}" if same else ""
+    d = "sqrt(pow(px - x1 - t * (x2 - x1), 2) + pow(py - y1 - t * (y2 - y1), 2))"
+    return f"""{name}_e as (select p.id, r.{key}, lng px, lat py, {_RING_EDGES} from {points} p join {layer} r on lng between list_min(rx) - {reach} and list_max(rx) + {reach}
+  and lat between list_min(ry) - {reach} and list_max(ry) + {reach}{also}),
+{name}_i as (select id, min({key}) {key} from (select id, {key} from {name}_e group by id, {key} having {_RAY}) group by id),
+{name}_t as (select *, greatest(0.0, least(1.0, coalesce(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0), 0.0))) t from {name}_e where id not in (select id from {name}_i)),
+{name}_d as (select id, {key}, min({d}) d from {name}_t group by id, {key}),
+{name} as (select id, {key} from {name}_i union all select id, arg_min({key}, (d, {key})) from {name}_d where d <= {reach} group by id)"""
+
+
+_SEARCHED = f"""f as (select bx.id, bx.comid, rv.uparea, {' + '.join(f'case when half_width > {w!r}::double then 1 else 0 end' for w in _LADDER)} + 1 ring,
+  abs((rv.uparea - a.area) / a.area) pd from bx join rv using (comid) join turned a using (id)),
+k as (select *, row_number() over (partition by id order by ring, pd, comid) n from f where pd < 0.25 and ring <= {len(_LADDER)})"""
+_MATCHED = f"""with recursive {D['o']}, {D['mb']}, {D['ca']}, {D['rv']}, {_KM2},
+{_within_reach('m', 'mb', 'basin', 0.025)}, om as (select o.*, m.basin from o join m using (id)),
+{_within_reach('w', 'ca', 'comid', 0.025, 'om', 'p.basin = r.basin')},
+loc0 as (select om.*, w.comid, rv.uparea, abs((rv.uparea - area) / nullif(area, 0)) pd from om join w using (id) join rv using (comid)),
+turned as (select * from loc0 where not (pd is null or pd <= 0.25)),
+{_box(_LADDER[-1], 'o.id in (select id from turned)')}, {_SEARCHED},
+loc as (select id, basin, comid from loc0 where pd is null or pd <= 0.25 union all select k.id, turned.basin, k.comid from k join turned using (id) where n = 1),
+{_EDGES},
+up(id, comid) as (select id, comid from loc union all select up.id, e.src from up join e on e.dst = up.comid),
+shed as (select id, count(*) n_catchments, sum(km2) km2 from up left join km using (comid) group by id),
+ends as (select loc.id key, o.lat la1, o.lng lo1, rv.line_lat[1] la2, rv.line_lng[1] lo2 from loc join o using (id) join rv on rv.comid = loc.comid),
+{_geodesic('ends')},
+res as (select o.id, o.lat, o.lng, o.name as "name", o.area area_reported, loc.basin, loc.comid, n_catchments,
+  round_even(ends.la2, 3) lat_snap, round_even(ends.lo2, 3) lng_snap, coalesce({_sig('km2', 3)}, 0.0) area_calc,
+  case when loc.comid is null then 'failed' else 'low res' end result, {_sig('metres', 2)} snap_dist
+  from o left join loc using (id) left join ends on ends.key = o.id left join g on g.key = o.id left join shed on shed.id = o.id),
+pct as (select *, case when result <> 'failed' then (area_calc - area_reported) / nullif(area_reported, 0) * 100 end p from res)
+select * exclude (p), {_sig('p', 2)} perc_diff from pct"""
+_CANON = """canon as (select distinct comid, case when (x1, y1) < (x2, y2) then x1 else x2 end x1, case when (x1, y1) < (x2, y2) then y1 else y2 end y1,
+  case when (x1, y1) < (x2, y2) then x2 else x1 end x2, case when (x1, y1) < (x2, y2) then y2 else y1 end y2 from (select comid, unnest(rx[:-2]) x1, unnest(ry[:-2]) y1, unnest(rx[2:]) x2, unnest(ry[2:]) y2 from ca))"""
+_POLYGONS = f"""{_UNIT.replace('with recursive', 'with recursive ' + D['mb'] + ', ')}, {_inside('m', 'mb', 'basin')}, {_CANON},
+loc as (select o.id, w.comid from o join m using (id) join w using (id) join ca on ca.comid = w.comid and ca.basin = m.basin where w.comid in (select comid from rv)),
+{_EDGES},
+up(id, comid) as (select id, comid from (select distinct comid id, comid from loc) union all select up.id, e.src from up join e on e.dst = up.comid),
+mem as (select distinct up.* from up join ca using (comid)),
+border as (select id, x1, y1, x2, y2 from mem join canon using (comid) group by all having count(*) % 2 = 1),
+beside as (select distinct a.comid, b.comid other from canon a join canon b using (x1, y1, x2, y2) where a.comid <> b.comid),
+comp(id, root, comid) as (select id, comid, comid from mem union select comp.id, comp.root, beside.other from comp join beside using (comid) join mem on mem.id = comp.id and mem.comid = beside.other),
+parts as (select id, count(distinct root) n_parts from (select id, comid, min(root) root from comp group by id, comid) group by id),
+flat as (select comid, abs(sum(x1 * y2 - x2 * y1)) / 2 a from (select comid, {_RING_EDGES} from ca) group by comid),
+size as (select id, sum(a) a from mem join flat using (comid) group by id),
+edge as (select id, count(*) n_edges, min(x1) xmin, min(least(y1, y2)) ymin, max(x2) xmax, max(greatest(y1, y2)) ymax from border group by id)
+select loc.id, n_parts, n_edges, round(a, 11) deg2, xmin, ymin, xmax, ymax from loc join parts on parts.id = loc.comid join size on size.id = loc.comid join edge on edge.id = loc.comid"""
+
+
+def _coordinates(xs: str, ys: str) -> str:
+    def text(v: str) -> str:
+        v = f"round({v}, 5)"
+        return f"case when abs({v}) < 1e-3 and {v} <> 0 then rtrim(cast(cast({v} as decimal(10, 5)) as varchar), '0') else cast({v} as varchar) end"
+
+    return f"""'[' || array_to_string(list_transform(list_zip({xs}, {ys}), lambda p: '[' || {text('p[1]')} || ',' || {text('p[2]')} || ']'), ',') || ']'"""
+
+
+_OFF = """sqrt(pow(xs[i] - xs[a] - t * (xs[b] - xs[a]), 2) + pow(ys[i] - ys[a] - t * (ys[b] - ys[a]), 2))"""
+_SIMPLIFIED = f"""with recursive {D['ca']},
+far as (select comid, rx xs, ry ys, len(rx) n, list_transform(range(1, len(rx) + 1), lambda i: pow(rx[i] - rx[1], 2) + pow(ry[i] - ry[1], 2)) d from ca),
+start as (select comid, n, list_position(d, list_max(d)) f from far),
+seg(comid, a, b) as (select comid, unnest([1, f]), unnest([f, n]) from start union all
+  select comid, unnest([a, k]), unnest([k, b]) from (
+    select comid, a, b, arg_max(i, (d, -i)) k, max(d) d from (
+      select *, {_OFF} d from (
+        select seg.comid, seg.a, seg.b, rx xs, ry ys, i, greatest(0.0, least(1.0, coalesce(((rx[i] - rx[a]) * (rx[b] - rx[a]) + (ry[i] - ry[a]) * (ry[b] - ry[a]))
+          / nullif(pow(rx[b] - rx[a], 2) + pow(ry[b] - ry[a], 2), 0), 0.0))) t
+        from seg join ca using (comid), lateral (select unnest(range(a + 1, b)) i))) group by comid, a, b) where d > 0.0008)
+select comid, n before, cast(greatest(4, count(distinct a) + 1) as int) after from seg join start using (comid) group by comid, n"""
+
+
 def _shown(x: str, digits: int) -> str:
     return f"case when {x} is null then '' else format('{{:,.{digits}f}}', {x}) end"
 
@@ -137,8 +230,7 @@ union all select id, 'not in any unit catchment' from m where id not in (select
     "upstream_closure": f"{_UNIT}, {_UP} select id, comid, min(depth) depth from up group by id, comid",
     "upstream_closure_wide": f"""with recursive {X['f5']}, {_closure('f5', 'select comid, comid, 0 from f5')}
 select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
-    "upstream_closure_deep": f"with recursive {X['f3']}, {X['f4']}, {_closure('f4', 'select comid, comid, 0 from f4 where comid in (1, 6, 60)')} select o, comid, depth from up",
-    "upstream_closure_deep_all": f"""with recursive {X['f3']}, {X['f4']}, {_closure('f4', 'select comid, comid, 0 from f4')}
+    "upstream_closure_deep": f"""with recursive {X['f3']}, {X['f4']}, {_closure('f4', 'select comid, comid, 0 from f4')}
 select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
     "network_faults": f"""with {D['rv']}, n as (select distinct comid dst, src from (select comid, unnest([up1, up2, up3, up4]) src from rv) where src <> 0)
 select distinct src comid, 'missing' fault from n where src not in (select comid from rv)
@@ -170,16 +262,16 @@ b as (select id, (u - area) / nullif(area, 0) * 100 p, abs((uparea - area) / nul
 select id, {_sig('p', 2)} perc_diff, round(pd, 6) pd from b""",
     "window_align": f"""with {D['ca']} select comid, round(floor(list_min(rx) * 1200) / 1200 - 0.000416667, 9) xmin, round(floor(list_min(ry) * 1200) / 1200 - 0.000416667, 9) ymin,
 round(ceil(list_max(rx) * 1200) / 1200 + 0.000416667, 9) xmax, round(ceil(list_max(ry) * 1200) / 1200 + 0.000416667, 9) ymax from ca""",
-    "raster_mask": f"with {X['f7']} select r, count(*) n_cells, cast(sum(fdir) as bigint) sum_fdir, min(c) \"first\", max(c) \"last\" from f7 where c + r * 2 >= 24 group by r",
+    "raster_mask": f"with {X['f7']} select r, count(*) n_cells, cast(sum(fdir) as bigint) sum_fdir, min(c) \"first\", max(c) \"last\" from f7 where c + r % 64 * 2 >= 24 group by r",
     "raster_accumulation": f"{_ACC} select r, c, acc from cells",
     "raster_streams": f"{_ACC} select r, c, acc from cells where acc > 20",
-    "snap_pour_point": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % 23 pr from supplier)
-select id, r, c from p, cells where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1""",
+    "snap_pour_point": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % (select max(r) + 1 from f7) pr from supplier)
+select id, r, c from p join cells on pr // 64 = r // 64 where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1""",
     "d8_upstream": f"{_TRACE} select o, k, depth from up",
     "polygonize_cells": f"{_TRACE} select o, x1, y1, x2, y2 from border",
-    "d8_upstream_all": f"{_TRACE_ALL} select o, k, depth from up",
-    "polygonize_cells_all": f"{_TRACE_ALL} select o, x1, y1, x2, y2 from border",
-    "high_res_split": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % 23 pr from supplier),
+    "split_terminal": f"""{_TRACE}, n as (select o, count(*) area from traced group by o)
+select o, n.area, n_corners from n join (select o, count(*) n_corners from border group by o) using (o)""",
+    "high_res_split": f"""{_ACC}, p as (select cast(s_suppkey as varchar) id, s_suppkey * 37 % 64 pc, s_suppkey * 53 % (select max(r) + 1 from f7) pr from supplier),
 fd as (select r, c, fdir from f7 where fdir <> 0),
 ms as (select cells.*, fdir, c // 16 comid from cells join fd using (r, c)),
 sn as (select id, r, c, comid from p join ms on ms.comid = pc // 16 where acc > 20 qualify row_number() over (partition by id order by pow(r - pr, 2) + pow(c - pc, 2), r, c) = 1),
@@ -190,6 +282,17 @@ from sn join (select id, count(*) n_cells from tr group by id) using (id)""",
     "river_map_filter": f"""{_UNIT}, {_UP}, m as (select id, comid, ord, lengthkm, max(ord) over (partition by id) top from (select id, comid, min(depth) from up group by id, comid) join rv using (comid))
 select id, comid, ord, round_even(lengthkm, 1) lengthkm, round(sqrt(ord), 6) width from m where ord >= top - 3""",
     "watershed_summary": f"{_SUMMARY} select * from summary",
+    "watershed_summary_matched": _MATCHED,
+    "watershed_polygons": _POLYGONS,
+    "simplify_rings": _SIMPLIFIED,
+    "snap_distance": f"""{_UNIT}, ends as (select w.id key, o.lat la1, o.lng lo1, line_lat[1] la2, line_lng[1] lo2 from w join o using (id) join rv using (comid)),
+{_geodesic('ends')} select key id, w.comid, round(metres, 3) metres from g join w on w.id = g.key""",
+    "close_slivers": f"""with {D['ca']}, e as (select comid, round(x1 / 2e-5::double) x1, round(y1 / 2e-5::double) y1, round(x2 / 2e-5::double) x2, round(y2 / 2e-5::double) y2 from (select comid, {_RING_EDGES} from ca))
+select comid, count(*) n_edges from e where x1 <> x2 or y1 <> y2 group by comid""",
+    "geojson_features": f"""with {D['ca']} select comid, '{{"type":"Feature","properties":{{"comid":' || comid || '}},"geometry":{{"type":"MultiPolygon","coordinates":[[' || {_coordinates('rx', 'ry')} || ']]}}}}' geojson from ca""",
+    "river_map_features": f"""{_UNIT}, {_UP}, m as (select id, comid, ord, lengthkm, line_lng, line_lat, max(ord) over (partition by id) top from (select id, comid, min(depth) from up group by id, comid) join rv using (comid)),
+fs as (select id, comid, '{{"type":"Feature","properties":{{"comid":' || comid || ',"ord":' || ord || coalesce(',"lengthkm":' || cast(lengthkm as varchar), '') || '}},"geometry":{{"type":"LineString","coordinates":' || {_coordinates('line_lng', 'line_lat')} || '}}}}' f from m where ord >= top - 3)
+select id, '{{"type":"FeatureCollection","features":[' || string_agg(f, ',' order by comid) || ']}}' geojson from fs group by id""",
     "viewer_table": f"""{_SUMMARY} select id, coalesce("name", '') as "name", result, {_shown('lat', 3)} lat, {_shown('lng', 3)} lng, {_shown('lat_snap', 3)} lat_snap,
 {_shown('lng_snap', 3)} lng_snap, {_shown('area_reported', 0)} area_reported, {_shown('area_calc', 0)} area_calc, {_shown('perc_diff', 0)} perc_diff from summary where result <> 'failed'""",
     "display_formats": f"with {D['o']} select id, {_shown('area', 0)} area, {_shown('lat', 3)} lat, {_shown('lng', 3)} lng from o",

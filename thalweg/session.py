@@ -53,6 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _TABLES: list[str] = []
+_KEPT: dict[tuple, object] = {}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -70,9 +71,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, key: tuple, make):
+    """What `make` gives, made once per application and key: for tables that depend on stored data alone."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables materialised so far; for long sessions, when results that read them are written."""
     n = 0
+    _KEPT.clear()
     while _TABLES:
         target = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
         n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
