@@ -80,17 +80,46 @@ def test_damaged_characters():
 def test_tables_with_nulls_repeats_and_clashing_names(spark):
     rng = random.Random(8)
     p = [" ".join(passage(rng)) for _ in range(4)]
-    items = [(1, p[0], "x"), (2, p[0].upper(), "x"), (3, p[1], "x"), (3, p[1], "x"), (None, p[2], "x"), (4, None, "x"), (5, "", "x"), (6, "too short", "x")]
-    docs = [(10, p[0], 1), (10, p[0], 1), (11, None, 1), (12, "", 1), (None, p[1], 1), (13, p[2], 1), (14, "word " * 300_000 + p[1], 1), (15, p[1] + " " + p[0], 1)]
+    items = [(1, p[0], "x"), (2, p[0].upper(), "x"), (3, p[1], "x"), (3, p[1], "x"), (None, p[2], "x"), (4, None, "x"), (5, "", "x"), (6, "too short", "x"), (7, "--", "x")]
+    docs = [(10, p[0], 1), (10, p[0], 1), (11, None, 1), (12, "", 1), (None, p[1], 1), (13, p[2], 1), (14, "word " * 300_000 + p[1], 1), (15, p[1] + " " + p[0], 1), (16, "it is TOO, short!", 1)]
     d = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     i = spark.createDataFrame(items, "item_id long, passage string, doc_id string")
     for block in (2, 1000):
         out = L.find_leaks(d, "doc_id", "text", i, "item_id", "passage", items_per_block=block)
-        assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(10, 1), (10, 2), (14, 3), (15, 1), (15, 2), (15, 3)]
+        assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(10, 1), (10, 2), (14, 3), (15, 1), (15, 2), (15, 3), (16, 6)]
     assert L.find_leaks(d.where("false"), "doc_id", "text", i, "item_id", "passage").count() == 0
     assert L.find_leaks(d, "doc_id", "text", i.where("false"), "item_id", "passage").count() == 0
 
 
+def test_passages_of_all_scripts_and_short_ones():
+    items = {
+        1: "Сторож северной башни открыл старые ворота до рассвета, и двенадцать лодок с мукой ушли вверх по реке к дальнему монастырю без единого слова.",
+        2: "北塔的守卫在黎明前打开了旧城门十二条装满面粉的船沿河而上驶向远方的修道院没有人说一句话",
+        3: "فتح حارس البرج الشمالي البوابة القديمة قبل الفجر ومضت اثنتا عشرة سفينة محملة بالدقيق صعودا في النهر إلى الدير البعيد",
+        4: "nine ships left harbour early", 5: "Девять кораблей вышли", 6: "九艘船", 7: "harbourmaster",
+    }
+    ps = L.Passages(list(items.items()))
+    for i, t in items.items():
+        assert found(ps, f"Some words before — вЂ” {t} and some after.") == {i} and found(ps, t.upper()) == {i}
+    w = items[1].split()
+    assert found(ps, " ".join([*w[:5], "вдруг", *w[5:14]])) == {1} and not found(ps, " ".join(w[:6]))
+    assert found(ps, "说" + items[2][:20] + "了" + items[2][20:26]) == {2}
+    assert not found(ps, "nine ships left the harbour early") and not found(ps, "harbourmasters") and not found(ps, "Девять кораблей не вышли")
+    assert L.words_of("mГёlle вЂ” bridge", {"mlle", "bridge"}) == ["mlle", "bridge"]  # wrongly decoded signs are no words
+
+
+def test_runs_that_no_block_holds_as_a_whole_count():
+    rng = random.Random(11)
+    items = [(i, " ".join(passage(rng, 48))) for i in range(20)]
+    ps = L.Passages(items)
+    noise = lambda n: " ".join(passage(rng, n))
+    for i, text in items:
+        w = text.split()
+        assert i in found(ps, f"{noise(60)} {' '.join(w[4:28])} {noise(60)}")  # twelve words of each of two blocks
+        assert i in found(ps, f"{' '.join(w[4:16])} {noise(30)} {' '.join(w[20:32])} {noise(30)}")
+        assert i not in found(ps, f"{' '.join(w[4:10])} {noise(30)} {' '.join(w[20:26])} {noise(30)} {' '.join(w[36:42])}")
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
