@@ -1,10 +1,15 @@
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
 from thalweg.llm import abuse as A
 from thalweg.llm import lexicon as X
 
+sys.path.insert(0, str(Path(__file__).parent))
+from unseen import AFFECTED, HARMLESS  # noqa: E402
+
 T = X.Tagger()
 
 
@@ -78,6 +83,16 @@ def test_prefilter_rejects_nothing_the_grammar_accepts():
             assert A.worth_scoring(pairs, present), pairs
 
 
+def test_sentences_nobody_fitted_it_to():
+    affected, harmless = sum(bool(kinds(t)) for t in AFFECTED), sum(bool(kinds(t)) for t in HARMLESS)
+    assert affected >= 0.6 * len(AFFECTED) and harmless <= 0.06 * len(HARMLESS)
+
+
+def test_weights_of_different_clauses_add_up():
+    call, more = A.score_text("This stupid trash.", T)[0], A.score_text("This stupid trash, shut your mouth.", T)[0]
+    assert 0 < call < A.THRESHOLD <= more
+
+
 def test_ratings_by_hand(spark, small):
     rows = spark.read.parquet(f"{small}/label_texts.parquet").collect()
     right = sum(bool(kinds(r["text"])) == (r["label"] != "none") for r in rows)
@@ -103,9 +118,10 @@ def test_automaton_against_search_over_all_places():
             return True
         s = pattern.slots[k]
         lo, hi = (0, len(tags)) if last is None else (last + 1, min(len(tags), last + 2 + s.gap))
-        return any(tags[i] & s.any_of and not tags[i] & s.none_of and plain(pattern, tags, k + 1, i) for i in range(lo, hi))
+        fits = lambda t: t & s.any_of and not t & s.none_of and t & s.all_of == s.all_of
+        return any(fits(tags[i]) and not any(t & s.bar for t in tags[lo:i] if k) and plain(pattern, tags, k + 1, i) for i in range(lo, hi))
 
     for _ in range(3000):
-        p = A.Pattern("x", 1.0, tuple(A.Slot(rng.choice([1, 2, 3, 4]), rng.randrange(4), rng.choice([0, 0, 4])) for _ in range(rng.randrange(1, 4))))
+        p = A.Pattern("x", "y", 1.0, tuple(A.Slot(rng.choice([1, 2, 3, 4]), rng.randrange(4), rng.choice([0, 0, 4]), rng.choice([0, 0, 1, 2]), rng.choice([0, 0, 1])) for _ in range(rng.randrange(1, 4))))
         tags = [rng.choice([0, 0, 1, 2, 4, 5]) for _ in range(rng.randrange(0, 14))]
-        assert A.matches(p, tags) == plain(p, tags)
+        assert A.matches(p, tags) == bool(plain(p, tags))

@@ -1,10 +1,12 @@
 """Abusive, hateful and sexual content: a weighted finite-state grammar over clauses.
 
-A text becomes a string of word classes (spelling tricks are undone word by word), and transducers run over each
-sentence in a row: negation and reported speech take classes away, then insult, threat, group-hate and sexual
-patterns, each a weighted automaton with bounded gaps, look for a target and what is said of it. A sentence scores
-what its best pattern of each kind weighs, less what technical words weigh; a text scores its worst sentence.
-Words without a pattern score nothing.
+A text becomes a string of word classes (spelling tricks are undone word by word), and a cascade of transducers runs
+over each sentence, each reading what the one before wrote: phrases and persons, benign compounds, negation, reported
+speech. Then weighted automata look for clauses: someone is called something (an insult must attach to a person, so
+nothing may stand between that makes it a thing of its own), someone is threatened (the verb must take a person), a
+group is degraded or to be got rid of, sex is described. Automata belong to parts (insult, threat, hostility, ...); a
+sentence's score of a kind is the sum over its parts of the best clause of each, less what technical words weigh; a
+text scores its worst sentence. Words without a clause score nothing.
 """
 
 from __future__ import annotations
@@ -33,81 +35,114 @@ _DASH = re.compile(r"\s[-–—]\s")
 
 @dataclass(frozen=True)
 class Slot:
-    """One step of a pattern: any of `any_of`, none of `none_of`, at most `gap` words after the step before."""
+    """One step of a pattern: a token with any of `any_of`, all of `all_of` and none of `none_of`, at most `gap` tokens
+    after the step before, none of them with a class of `bar`."""
 
     any_of: int
     gap: int = 0
     none_of: int = 0
+    bar: int = 0
+    all_of: int = 0
 
 
 @dataclass(frozen=True)
 class Pattern:
     kind: str
+    part: str
     weight: float
     slots: tuple[Slot, ...]
 
 
-def _p(kind: str, weight: float, *slots) -> Pattern:
-    return Pattern(kind, weight, tuple(s if isinstance(s, Slot) else Slot(*s) if isinstance(s, tuple) else Slot(s) for s in slots))
+def _p(part: str, weight: float, *slots) -> Pattern:
+    kind = {"hate": "hateful", "ban": "hateful", "sex": "sexual"}.get(part, "abusive")
+    return Pattern(kind, part, weight, tuple(s if isinstance(s, Slot) else Slot(*s) if isinstance(s, tuple) else Slot(s) for s in slots))
 
 
-ANY = X.NAME  # a capitalised name or initial; see Sentence
+_CALLED = X.INSULT | X.THING
+#: What ends the stretch in which an insult still belongs to the person addressed.
+_OWN = X.DET | X.MODAL | X.FIRST | X.YOUR
+_PERSON = X.NAME | X.PRONOUN
 PATTERNS = [
-    # insult: someone is addressed or named, and called something
-    _p("abusive", 1.2, X.YOU, (X.INSULT, 5)),
-    _p("abusive", 1.2, X.INSULT, (X.YOU, 3)),
-    _p("abusive", 1.0, X.YOU, (X.INSULT, 16)),
-    _p("abusive", 1.0, X.INSULT, (X.YOU, 14)),
-    _p("abusive", 1.1, ANY, (X.BE, 0), (X.INSULT, 4)),
-    _p("abusive", 1.0, X.SLUR_ADJ, (X.SLUR_ADJ | X.INSULT, 0), (X.YOU, 6)),
-    _p("abusive", 1.0, X.YOU, (X.SLUR_ADJ, 1), (X.SLUR_ADJ | X.INSULT, 2)),
-    _p("abusive", 1.0, X.THIS, (X.INSULT, 3), (X.PERSON_HARM | X.VIOLENCE | X.HOSTILE, 12)),
-    _p("abusive", 0.8, X.THIS, (X.INSULT, 3)),
-    _p("abusive", 1.0, X.HOSTILE, (X.INSULT | X.SLUR_ADJ, 12)),
-    _p("abusive", 0.6, X.HOSTILE),
-    _p("abusive", 1.0, X.HOSTILE, (X.YOU, 14)),
-    # threat: harm is announced to or wished on someone addressed
-    _p("abusive", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOU, 5)),
-    _p("abusive", 1.2, X.FIRST, (X.YOU, 4), (X.VIOLENCE, 5)),
-    _p("abusive", 1.1, X.YOU, (X.FIRST, 3), (X.VIOLENCE, 4)),
-    _p("abusive", 1.1, X.YOU, (X.VIOLENCE, 3), (X.YOU, 5)),
-    _p("abusive", 1.0, X.YOU, (X.KIN, 1), (X.VIOLENCE | X.INSULT | X.DEGRADE, 6)),
-    _p("abusive", 1.0, X.VIOLENCE, (X.YOU, 3), (X.PERSON_HARM, 2)),
-    _p("abusive", 1.0, X.VIOLENCE, (X.YOU, 1), (X.YOU, 8)),
-    _p("abusive", 1.0, X.VIOLENCE, (X.PERSON_HARM, 3), (X.INSULT, 6)),
-    # hate: a group, and what is said of it or demanded for it
-    _p("hateful", 1.2, X.GROUP, (X.BE, 3), (X.DEGRADE | X.INSULT, 4)),
-    _p("hateful", 1.2, X.GROUP, (X.DEGRADE, 6), (X.DEGRADE | X.EXCLUDE | X.THEM, 12)),
-    _p("hateful", 1.0, X.GROUP, (X.MUST, 10), (X.EXCLUDE | X.VIOLENCE, 6)),
-    _p("hateful", 1.0, X.GROUP | X.PEOPLE, (X.EXCLUDE, 12), (X.THEM | X.EXCLUDE, 8)),
-    _p("hateful", 1.0, X.FIRST, (X.VIOLENCE, 3), (X.GROUP | X.PEOPLE, 4)),
-    _p("hateful", 1.0, X.VIOLENCE, (X.GROUP, 1), (X.THEM | X.EXCLUDE | X.VIOLENCE, 8)),
-    _p("hateful", 1.0, X.VIOLENCE, (X.PEOPLE, 3), (X.EXCLUDE | X.VIOLENCE, 12)),
-    _p("hateful", 1.0, X.THE, (X.PEOPLE, 2), (X.EXCLUDE, 2)),
-    _p("hateful", 1.0, X.NEGATION, (X.GROUP | X.PEOPLE, 8), (X.EXCLUDE, 4)),
-    _p("hateful", 1.0, X.EXCLUDE, (X.GROUP, 3)),
-    _p("hateful", 1.0, X.EXCLUDE, (X.PEOPLE, 4)),
-    _p("hateful", 1.1, X.ALL_OF, (X.PEOPLE, 3), (X.BE, 3), (X.DEGRADE, 4)),
-    _p("hateful", 1.1, X.PEOPLE, (X.BE, 4), (X.DEGRADE, 4), (X.EXCLUDE | X.MUST, 10)),
-    _p("hateful", 1.0, X.THE, (X.PEOPLE, 1), (X.DEGRADE, 3), (X.DEGRADE | X.EXCLUDE | X.THEM, 10)),
-    _p("hateful", 1.1, X.ALL_OF, (X.FROM, 0), (X.BE, 3), (X.DEGRADE, 3)),
-    _p("hateful", 1.0, X.ALL_OF, (X.PEOPLE, 3), (X.EXCLUDE, 4), (X.DEGRADE, 8)),
-    _p("hateful", 1.0, X.GROUP, (X.EXCLUDE, 4), (X.DEGRADE, 8)),
+    # someone is called something: you idiot; you filthy pig; you are a ... pig; your brother is a moron; what a moron you are
+    _p("insult", 1.2, X.YOU, (X.INSULT, 2, 0, _OWN | X.BE)),
+    _p("insult", 1.1, X.YOU, (X.SLUR_ADJ, 2, 0, _OWN | X.BE), (_CALLED | X.SLUR_ADJ, 2, 0, _OWN)),
+    _p("insult", 1.0, X.YOU, Slot(X.THING, 0, all_of=X.END)),
+    _p("insult", 1.2, X.YOU, (X.BE, 2, 0, X.MODAL), (X.INSULT, 5, 0, X.YOUR | X.FIRST)),
+    _p("insult", 1.1, X.YOU, (X.BE, 2, 0, X.MODAL), (X.THING, 4, 0, X.YOUR | X.FIRST)),
+    _p("insult", 1.0, X.YOU, (X.BE, 2, 0, X.MODAL), (X.SLUR_ADJ, 2, 0, X.YOUR | X.DET), (_CALLED | X.SLUR_ADJ, 4, 0, X.YOUR)),
+    _p("insult", 1.2, Slot(X.YOU, all_of=X.YOU | X.BE), (X.INSULT, 5, 0, X.YOUR | X.FIRST)),
+    _p("insult", 1.1, Slot(X.YOU, all_of=X.YOU | X.BE), (X.THING, 4, 0, X.YOUR | X.FIRST)),
+    _p("insult", 1.1, _CALLED, (X.LIKE, 0), (X.YOU, 0)),
+    _p("insult", 1.1, X.WHAT, (_CALLED, 4), (X.YOU, 1)),
+    _p("insult", 1.0, X.SLUR_ADJ, (X.INSULT | X.SLUR_ADJ, 1), (X.YOU, 2)),
+    _p("insult", 1.0, X.INSULT, (X.YOU, 1), (X.BE, 1)),
+    _p("insult", 1.0, X.SLUR_ADJ, (X.INSULT, 0), Slot(X.STOP, 1)),
+    _p("insult", 1.1, X.YOUR, (X.KIN | X.PEOPLE, 1), (X.BE, 1), (_CALLED | X.DEGRADE, 4)),
+    _p("insult", 1.1, _PERSON, (X.BE, 1), (X.INSULT, 4, 0, X.YOUR)),
+    _p("insult", 1.0, _PERSON, (X.BE, 1), (X.THING, 3, 0, X.YOUR)),
+    _p("insult", 1.0, X.YOU, (X.PEOPLE | X.ALL_OF, 1), (X.BE, 6), (_CALLED | X.SLUR_ADJ, 4)),
+    _p("insult", 0.7, X.COMMA, Slot(X.INSULT, 2, all_of=X.END)),
+    _p("insult", 0.8, X.THIS, (_CALLED, 3, 0, X.BE)),
+    _p("insult", 0.5, X.SLUR_ADJ, (_CALLED, 0)),
+    # hostility: go away, be silent, nobody wants you
+    _p("hostile", 0.7, X.HOSTILE),
+    _p("hostile", 1.0, X.HOSTILE, (X.YOU, 14)),
+    _p("hostile", 1.0, X.HOSTILE, (_CALLED | X.SLUR_ADJ, 12)),
+    _p("hostile", 0.8, X.SHUT, (X.MOUTH, 2)),
+    _p("hostile", 1.0, X.NOBODY, (X.REJECT, 2), (X.YOU, 3)),
+    _p("hostile", 1.2, X.SELF),
+    _p("hostile", 1.0, X.BEGIN | X.COMMA, (X.MODAL, 1), (X.FAVOUR, 4), (X.DIE | X.VIOLENCE | X.HOSTILE | X.SELF | X.BODY, 6)),
+    # threat: harm is announced to or wished on someone addressed, or on a part of them; no thing is the object
+    _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOU, 2, 0, X.DET | X.YOUR), X.PLAIN),
+    _p("threat", 1.2, X.FIRST, (X.YOU, 4), (X.VIOLENCE | X.DIE, 5)),
+    _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOUR, 2, 0, X.DET), (X.BODY | X.KIN, 1)),
+    _p("threat", 1.1, X.YOU, (X.FIRST, 3), (X.VIOLENCE, 4)),
+    _p("threat", 1.0, X.VIOLENCE, (X.YOUR | X.YOU, 2, 0, X.DET), (X.BODY, 1)),
+    _p("threat", 1.0, X.VIOLENCE, (X.YOU, 0), (X.PLAIN, 0), (X.YOU | X.YOUR, 8)),
+    _p("threat", 1.1, X.WEAPON, (X.YOUR, 3), (X.BODY, 1)),
+    _p("threat", 1.2, X.HOPE, (X.YOU | X.YOUR, 2), (X.DIE | X.VIOLENCE, 4)),
+    _p("threat", 1.0, X.BEGIN | X.FIRST, (X.HOPE, 1), (X.YOU | X.YOUR, 2), (X.DIE | X.VIOLENCE, 4), (X.YOU, 3)),
+    _p("threat", 1.1, X.YOU, (X.MUST, 3), (X.DIE, 5, 0, X.FIRST)),
+    _p("threat", 1.0, _PERSON, (X.MUST, 3), (X.DIE, 4)),
+    _p("threat", 1.1, X.YOUR, (X.KIN, 1), (X.MUST, 3), (X.DIE, 4)),
+    _p("threat", 0.8, X.BEGIN, (X.DIE, 0), (_CALLED | X.SLUR_ADJ | X.YOU, 3)),
+    _p("threat", 1.0, X.THIS, (_CALLED, 3), (X.DIE | X.VIOLENCE | X.HOSTILE | X.BODY, 12)),
+    _p("threat", 1.0, X.VIOLENCE, (X.THEM | X.PRONOUN | X.NAME, 2), (_CALLED, 6)),
+    # hate: what is said of a group
+    _p("hate", 1.2, X.GROUP, Slot(X.BE, 3, none_of=X.PAST), (X.DEGRADE | _CALLED, 5)),
+    _p("hate", 0.8, X.GROUP, Slot(X.PAST, 3), (X.DEGRADE | _CALLED, 3)),
+    _p("hate", 1.2, X.GROUP, (X.DEGRADE, 6), (X.DEGRADE | X.EXCLUDE | X.THEM, 12)),
+    _p("hate", 1.1, X.ALL_OF, (X.PEOPLE, 3), (X.BE, 3), (X.DEGRADE, 4)),
+    _p("hate", 1.1, X.PEOPLE, (X.BE, 4), (X.DEGRADE, 4), (X.EXCLUDE | X.MUST, 10)),
+    _p("hate", 1.0, X.THE, (X.PEOPLE, 1), (X.DEGRADE, 3), (X.DEGRADE | X.EXCLUDE | X.THEM, 10)),
+    _p("hate", 1.1, X.ALL_OF, (X.FROM, 0), (X.BE, 3), (X.DEGRADE, 3)),
+    # and what is demanded for it
+    _p("ban", 1.0, X.GROUP, (X.MUST, 10), (X.EXCLUDE | X.DIE, 6)),
+    _p("ban", 1.0, X.GROUP | X.PEOPLE, (X.NEGATION, 8), (X.LIVE, 6)),
+    _p("ban", 1.0, X.NEGATION | X.NOBODY, (X.GROUP | X.PEOPLE, 8), (X.EXCLUDE | X.LIVE, 4)),
+    _p("ban", 1.0, X.NEGATION, (X.GROUP | X.PEOPLE, 5), (X.OURS, 2)),
+    _p("ban", 1.0, X.GROUP | X.PEOPLE, Slot(X.EXCLUDE, 12, bar=X.PAST), (X.THEM | X.EXCLUDE, 8)),
+    _p("ban", 1.0, X.FIRST, (X.VIOLENCE, 3), (X.GROUP | X.PEOPLE, 4)),
+    _p("ban", 1.0, X.VIOLENCE, (X.GROUP, 1), (X.THEM | X.EXCLUDE | X.DIE, 8)),
+    _p("ban", 1.0, X.VIOLENCE | X.EXCLUDE, (X.PEOPLE, 3), (X.EXCLUDE | X.DIE, 12)),
+    _p("ban", 1.0, X.THE, (X.PEOPLE, 2), Slot(X.EXCLUDE, 2, bar=X.PAST)),
+    _p("ban", 1.0, X.BEGIN | X.FIRST | X.MUST | X.COMMA, (X.EXCLUDE, 2), (X.GROUP, 3)),
+    _p("ban", 1.0, X.BEGIN | X.FIRST | X.MUST | X.COMMA, (X.EXCLUDE, 2), (X.PEOPLE, 4)),
+    _p("ban", 1.0, X.GROUP, Slot(X.EXCLUDE, 0, none_of=X.MUST), Slot(X.STOP | X.COMMA, 1)),
+    _p("ban", 1.0, X.ALL_OF, (X.PEOPLE, 3), Slot(X.EXCLUDE, 4, bar=X.PAST), (X.DEGRADE, 8)),
+    _p("ban", 1.0, X.GROUP, Slot(X.EXCLUDE, 4, bar=X.PAST), (X.DEGRADE, 8)),
     # sexual: explicit words, alone or together
-    _p("sexual", 1.2, X.SEX_STRONG),
-    _p("sexual", 1.1, X.SEX_MID, (X.SEX_MID, 8)),
-    _p("sexual", 0.7, X.SEX_MID, (X.SEX_WEAK, 8)),
-    _p("sexual", 0.7, X.SEX_WEAK, (X.SEX_MID, 8)),
-    _p("sexual", 1.1, X.SEX_MID, (X.SEX_WEAK, 8), (X.SEX_WEAK | X.SEX_MID, 8)),
-    _p("sexual", 1.1, X.SEX_WEAK, (X.SEX_MID, 8), (X.SEX_WEAK | X.SEX_MID, 8)),
-    _p("sexual", 1.1, X.SEX_WEAK, (X.SEX_WEAK, 8), (X.SEX_MID, 8)),
-    _p("sexual", 1.0, X.SEX_WEAK, (X.SEX_WEAK, 10), (X.SEX_WEAK, 10), (X.SEX_WEAK, 10)),
-    _p("sexual", 0.5, X.SEX_MID),
+    _p("sex", 1.2, X.SEX_STRONG),
+    _p("sex", 1.1, X.SEX_MID, (X.SEX_MID, 8)),
+    _p("sex", 0.7, X.SEX_MID, (X.SEX_WEAK, 8)),
+    _p("sex", 0.7, X.SEX_WEAK, (X.SEX_MID, 8)),
+    _p("sex", 1.1, X.SEX_MID, (X.SEX_WEAK, 8), (X.SEX_WEAK | X.SEX_MID, 8)),
+    _p("sex", 1.1, X.SEX_WEAK, (X.SEX_MID, 8), (X.SEX_WEAK | X.SEX_MID, 8)),
+    _p("sex", 1.1, X.SEX_WEAK, (X.SEX_WEAK, 8), (X.SEX_MID, 8)),
+    _p("sex", 1.0, X.SEX_WEAK, (X.SEX_WEAK, 10), (X.SEX_WEAK, 10), (X.SEX_WEAK, 10)),
+    _p("sex", 0.5, X.SEX_MID),
 ]
 KINDS = ("abusive", "hateful", "sexual")
-_FIRSTS = 0
-for _pattern in PATTERNS:
-    _FIRSTS |= _pattern.slots[0].any_of
 
 
 def matches(pattern: Pattern, tags: list[int]) -> bool:
@@ -119,19 +154,22 @@ def matches(pattern: Pattern, tags: list[int]) -> bool:
         for k in range(n - 1, 0, -1):
             alive[k] = (alive[k] << 1) & 0xFFFFFF
             s = slots[k]
-            if alive[k - 1] & ((1 << (s.gap + 1)) - 1) and tag & s.any_of and not tag & s.none_of:
+            if alive[k - 1] & ((1 << (s.gap + 1)) - 1) and tag & s.any_of and not tag & s.none_of and tag & s.all_of == s.all_of:
                 if k == n - 1:
                     return True
                 alive[k] |= 1
+            if tag & s.bar:
+                alive[k - 1] = 0
         alive[0] = (alive[0] << 1) & 0xFFFFFF
-        if tag & slots[0].any_of and not tag & slots[0].none_of:
+        s = slots[0]
+        if tag & s.any_of and not tag & s.none_of and tag & s.all_of == s.all_of:
             if n == 1:
                 return True
             alive[0] |= 1
     return False
 
 
-_DENIED = X.INSULT | X.SLUR_ADJ | X.DEGRADE
+_DENIED = X.INSULT | X.THING | X.SLUR_ADJ | X.DEGRADE
 
 
 def negate(tags: list[int]) -> list[int]:
@@ -146,7 +184,7 @@ def negate(tags: list[int]) -> list[int]:
     return out
 
 
-_SAID = _DENIED | X.HOSTILE | X.VIOLENCE | X.EXCLUDE | X.YOU | X.GROUP | X.SEX_STRONG | X.SEX_MID
+_SAID = _DENIED | X.HOSTILE | X.SELF | X.VIOLENCE | X.DIE | X.EXCLUDE | X.YOU | X.GROUP | X.SEX_STRONG | X.SEX_MID
 
 
 def unreport(tags: list[int]) -> list[int]:
@@ -167,34 +205,55 @@ def unreport(tags: list[int]) -> list[int]:
     for s in speech:  # "posts that call others ...": the sentence speaks about it unless it addresses someone
         if not any(t & (X.YOU | X.FIRST) for t in out):
             for k in range(s, len(out)):
-                out[k] &= ~(X.INSULT | X.DEGRADE | X.EXCLUDE)
+                out[k] &= ~(X.INSULT | X.THING | X.DEGRADE | X.EXCLUDE)
     return out
 
 
-def score_sentence(words: list[str], tags: list[int]) -> dict[str, float]:
-    """Score per kind of one sentence."""
-    # phrases become one class at their first word
-    tags = list(tags)
-    starred = [t for t in tags if t & X.STARRED]
-    if any(t & X.UNREAD for t in tags) or (len(starred) > 1 and not any(t & X.SURE for t in starred)):  # noise, not modesty
-        tags = [t & ~_SAID if t & X.STARRED else t for t in tags]
+def name(words: list[str], tags: list[int]) -> list[int]:
+    """Phrases become one class at their first word, an initial and a name make a person, and starred-out words that
+    are noise, not modesty, lose theirs."""
+    out = list(tags)
+    starred = [t for t in out if t & X.STARRED]
+    if any(t & X.UNREAD for t in out) or (len(starred) > 1 and not any(t & X.SURE for t in starred)):
+        out = [t & ~_SAID if t & X.STARRED else t for t in out]
     for i, w in enumerate(words):
         if w in X.PHRASE_FIRST:
-            tags[i] |= X.phrase_at(words, i)
-        if tags[i] & X.INSULT and i + 1 < len(words) and tags[i + 1] & X.BENIGN_NEXT:
-            tags[i] &= ~(X.INSULT | X.DEGRADE)
-    for i in range(len(tags) - 1):  # an initial and a name make a person
-        if tags[i] & X.INITIAL:
-            tags[i + 1] |= X.NAME
-    tags = unreport(negate(tags))
+            out[i] |= X.phrase_at(words, i)
+        if out[i] & X.INITIAL and i + 1 < len(out):
+            out[i + 1] |= X.NAME
+    return out
+
+
+def compound(tags: list[int]) -> list[int]:
+    """An insult that is part of a harmless compound is none."""
+    return [t & ~_DENIED if t & _CALLED and i + 1 < len(tags) and tags[i + 1] & X.BENIGN_NEXT else t for i, t in enumerate(tags)]
+
+
+#: What may follow a person without turning them into the receiver, or the loser of a race, of what is done.
+_SOFT = X.DET
+_TO = {"to", "at", "zu", "a"}
+
+
+def bounded(words: list[str], tags: list[int]) -> list[int]:
+    """The sentence between its bounds, with the words that begin no object of their own marked."""
+    plain = [t if t & _SOFT or w in _TO else t | X.PLAIN for w, t in zip(words, tags)]
+    return [X.BEGIN, *plain, X.STOP | X.PLAIN]
+
+
+def score_sentence(words: list[str], tags: list[int]) -> dict[str, float]:
+    """Score per kind of one sentence."""
+    tags = bounded(words, unreport(negate(compound(name(words, tags)))))
     clinical = sum(1 for t in tags if t & X.CLINICAL)
     present = 0
     for t in tags:
         present |= t
+    best: dict[tuple[str, str], float] = {}
+    for p in PATTERNS:
+        if p.weight > best.get((p.kind, p.part), 0.0) and all(s.any_of & present for s in p.slots) and matches(p, tags):
+            best[p.kind, p.part] = p.weight
     out: dict[str, float] = {}
-    for pattern in PATTERNS:
-        if pattern.weight > out.get(pattern.kind, 0.0) and all(s.any_of & present for s in pattern.slots) and matches(pattern, tags):
-            out[pattern.kind] = pattern.weight
+    for (kind, _), weight in best.items():
+        out[kind] = out.get(kind, 0.0) + weight
     if clinical and "sexual" in out and not present & X.SEX_STRONG:
         out["sexual"] = max(0.0, out["sexual"] - 0.7 * clinical)
     return out
@@ -230,7 +289,7 @@ for _pattern in PATTERNS:
 
 def worth_scoring(pairs: list[tuple[str, int]], present: int) -> bool:
     """False only if the grammar accepts nothing in a sentence of these (word, classes), `present` being all classes."""
-    named = present & _CLASSES | (X.NAME if present & X.INITIAL else 0)
+    named = present & _CLASSES | X.BEGIN | X.STOP | X.PLAIN | (X.NAME if present & X.INITIAL else 0)
     if present & X.PHRASE and not _possible(named):
         words = [w for w, _ in pairs]
         for i, (_, tag) in enumerate(pairs):

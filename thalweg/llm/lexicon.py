@@ -1,7 +1,8 @@
 """Word classes of the abuse grammar and the normaliser that maps a written token to them.
 
-The lists are plain words of English, German, French and Spanish, folded to ASCII. They mean nothing by themselves:
-only sequences of classes score.
+The lists are plain words of English, German, French and Spanish, folded to ASCII: common words of abuse, of groups of
+people, of violence, and of the small words that tie them to a person. They mean nothing by themselves: only clauses
+score. None is a phrase out of the texts that are to be searched.
 """
 
 from __future__ import annotations
@@ -10,90 +11,123 @@ import re
 import unicodedata
 
 # classes are bits
-INSULT, SLUR_ADJ, YOU, BE, FIRST, VIOLENCE, GROUP, DEGRADE, EXCLUDE, HOSTILE, PERSON_HARM, PEOPLE, THOSE, NEGATION = (1 << i for i in range(14))
-SEX_STRONG, SEX_MID, SEX_WEAK, CLINICAL, SPEECH, END, COMMA, INITIAL, KIN, MUST, NAME, BENIGN_NEXT, OPEN_QUOTE, CLOSE_QUOTE, THEM, THIS, ALL_OF, FROM, HINT, THE, STARRED, UNREAD, SURE, PHRASE = (1 << i for i in range(14, 38))
+_NAMES = """INSULT THING SLUR_ADJ YOU YOUR BE PAST FIRST VIOLENCE DIE BODY WEAPON GROUP DEGRADE EXCLUDE HOSTILE SELF PEOPLE NEGATION NOBODY REJECT HOPE
+    FAVOUR SHUT MOUTH LIVE PRONOUN SEX_STRONG SEX_MID SEX_WEAK CLINICAL SPEECH END COMMA INITIAL KIN MUST NAME BENIGN_NEXT OPEN_QUOTE CLOSE_QUOTE THEM
+    THIS ALL_OF FROM THE OURS LIKE HINT STARRED UNREAD SURE PHRASE DET MODAL LINK WHAT BEGIN STOP PLAIN""".split()
+for _i, _name in enumerate(_NAMES):
+    globals()[_name] = 1 << _i
 
 _WORDS = {
-    INSULT: """idiot idiots moron morons bastard bastards asshole assholes arsehole cretin cretins imbecile imbeciles loser losers
-        dumbass dumbasses dumbasss scum scumbag scumbags trash garbage pig pigs swine parasite parasites shit shits piece-of-shit cunt cunts whore whores
-        bitch bitches slut sluts dickhead prick wanker twat retard retards halfwit dimwit degenerate vermin crap fool fools coward clown
-        motherfucker fucker shithead shitbag douchebag jackass
-        arschloch arschlocher vollidiot idioten drecksack dreckskerl hurensohn hure wichser missgeburt schwein schweine trottel spast schlampe
-        fotze penner abschaum mistkerl depp vollpfosten hurensohne drecksau
-        connard connards connasse con cons conne salaud salope enfoire encule abruti abrutis debile debiles imbecile cretin ordure
-        pute batard merde pourriture andouille raclure
-        idiota idiotas imbecil imbeciles cabron cabrones gilipollas pendejo puta putas mierda maricon basura capullo zorra hijueputa
-        malnacido subnormal escoria""",
-    SLUR_ADJ: """stupid worthless pathetic useless filthy ugly brainless goddamn fucking disgusting dirty rotten miserable damn bloody dumb
-        verdammter verdammte bloder blode dreckiger dreckige dumme dummer widerlicher
-        pauvre sale espece minable stupide pedazo maldito maldita asqueroso asquerosa estupido estupida puto""",
-    YOU: """you your youre yours yourself ya u thee du dich dir dein deine deinen deiner deinem euch euer eure ihr bist
-        tu te toi ton ta tes vous votre vos eres ti tus usted ustedes vosotros""",
-    BE: "is are am was were be ist sind bin est sont es son",
-    FIRST: "i we ill well im gonna ich wir je nous on voy vamos voi",
-    VIOLENCE: """kill cut stab beat bleed smash break burn burns drown hang shoot strangle murder punch hurt die drag slit bash crush gut
-        butcher rape choke skin bury thrown throw slaughter drowned hanged killed shot beaten burned whipped stoned gassed castrate
-        schlag schlage schlagen umbringen toten verprugelt verprugeln abstechen erstechen verrecken sterben brennen aufschlitzen
-        casser tuer crever frapper bruler egorger buter cogner creve demonter
-        romper matar partir quemar mueras muerete muerte degollar reventar apunalar""",
-    PERSON_HARM: """throat teeth bones skull neck hair guts jaw ribs nose beating fresse zahne knochen dents gueule tronche cara huesos dientes
-        inside""",
-    HOSTILE: """shut-its-mouth shut-your-mouth shut-his-mouth shut-her-mouth do-the-world shut-up go-to-hell rot-in-hell kill-yourself drown-yourself hang-yourself crawl-back get-out-of rot hell fuck-you fuck-off piss-off
-        nobody-wants-you would-miss-you will-cry verschwinde verpiss geh-sterben halt-die halts ferme-ta va-crever ta-gueule degage va-te
-        callate vete lárgate largate jodete muerete chinga""",
+    # nouns that are said of persons only
+    INSULT: """idiot idiots moron morons bastard bastards asshole assholes arsehole arseholes cretin cretins imbecile imbeciles loser losers dumbass
+        dumbasses dumbasss scumbag scumbags cunt cunts whore whores bitch bitches slut sluts dickhead dickheads prick pricks wanker wankers twat twats
+        retard retards halfwit halfwits dimwit dimwits degenerate degenerates fool fools coward cowards motherfucker motherfuckers fucker fuckers shithead
+        shitheads shitbag douchebag douchebags jackass jackasses blockhead numbskull nitwit simpleton lowlife lowlifes liar liars hypocrite bully
+        failure failures psycho psychopath lunatic nutcase pervert perverts creep creeps tramp hag bimbo bonehead crybaby
+        arschloch arschlocher vollidiot vollidioten idioten drecksack drecksacke dreckskerl hurensohn hurensohne hure huren wichser missgeburt trottel spast
+        spasti schlampe schlampen fotze penner mistkerl depp deppen vollpfosten dummkopf schwachkopf versager feigling lugner nichtsnutz blodmann
+        connard connards connasse connasses conne salaud salauds salope salopes encule encules abruti abrutis debile debiles pute putes batard batards
+        andouille raclure cretine lache laches menteur menteuse minable minables couillon couillons bouffon
+        idiota idiotas imbecil imbeciles cabron cabrones gilipollas pendejo pendejos puta putas maricon basura capullo zorra zorras hijueputa malnacido
+        subnormal estupido estupida cobarde cobardes mentiroso inutil inutiles payaso desgraciado bastardo""",
+    # things and animals that persons are called: they count only where a person is called so
+    THING: """scum trash garbage pig pigs swine parasite parasites shit shits piece-of-shit vermin crap clown clowns filth dirt rubbish rat rats snake
+        snakes dog dogs monkey monkeys donkey cockroach cockroaches animal animals monster monsters
+        abschaum schwein schweine drecksau ratte ratten hund hunde affe affen esel dreck mull ungeziefer
+        ordure ordures merde merdes pourriture con cons porc porcs chien chiens rat cochon cochons cafard
+        mierda escoria cerdo cerdos perro perros rata burro animal""",
+    SLUR_ADJ: """stupid worthless pathetic useless filthy ugly brainless goddamn fucking disgusting dirty rotten miserable damn damned bloody dumb vile
+        repulsive spineless shameless despicable wretched fat nasty cowardly lousy
+        verdammter verdammte verdammtes bloder blode blodes dreckiger dreckige dumme dummer dummes widerlicher widerliche erbarmlicher nutzloser fette fetter
+        pauvre sale espece stupide petit gros grosse inutile lamentable pathetique debile
+        pedazo maldito maldita asqueroso asquerosa puto sucio sucia repugnante patetico""",
+    YOU: "you youre ya u thee du dich dir ihr euch bist tu te toi t vous eres ti tus usted ustedes vosotros seid",
+    YOUR: "your yours yourself dein deine deinen deiner deinem deines euer eure ton ta tes votre vos tu",
+    BE: "is are am was were be been being youre isnt arent ist sind bin bist seid war waren est es sont sois etes son eres sois era fue c'est",
+    PAST: "was were war waren wurde wurden etait etaient fut furent era eran fue fueron had",
+    FIRST: "i we ill well im gonna ich wir je nous on voy vamos voi id",
+    VIOLENCE: """kill cut stab beat bleed smash break burn strangle murder punch hurt slit bash crush gut butcher rape choke skin bury throw slaughter
+        shoot hang drown whip gas castrate hit kick hunt destroy torture rip tear knock kneecap behead lynch throttle
+        schlag schlage schlagen umbringen bringe toten tote verprugeln verprugle abstechen steche erstechen brechen breche erschiessen aufschlitzen prugeln
+        casser casse tuer tue tuerai frapper frappe bruler egorger buter bute cogner demonter crever etrangler massacrer saigner
+        romper rompo matar mato mate quemar degollar reventar reviento apunalar golpear estrangular pegar""",
+    DIE: """die dies rot rots suffer suffers burn burns hang hangs drown drowns bleed bleeds choke chokes perish killed shot hanged beaten burned whipped gassed stoned drowned slaughtered stabbed thrown castrated
+        sterben stirb verrecken verreck brennen erschossen verprugelt crever creve crevez mourir pendu battu morir muerete mueras muerete muerte pudrete
+        paliza beating""",
+    BODY: """throat teeth bones skull neck head face guts jaw ribs nose legs arms knees brains eyes hair fingers kehle fresse gesicht zahne knochen kopf hals
+        gorge dents gueule tronche tete os jambes cara huesos dientes cuello cabeza piernas""",
+    WEAPON: "bullet bullets knife blade rope axe hammer messer kugel couteau balle cuchillo bala",
+    HOSTILE: "fuck-you fuck-off piss-off screw-you get-lost go-to-hell rot-in-hell get-out-of shut-up hell verschwinde verschwindet verpiss hau-ab degage degagez casse-toi callate vete largate lárgate jodete chinga",
+    SELF: "kill-yourself hang-yourself drown-yourself shoot-yourself kill-yourselves bring-dich-um hang-dich-auf geh-sterben va-crever va-mourir suicide-toi pends-toi matate muerete",
+    SHUT: "shut halt halts haltet ferme fermez cierra",
+    MOUTH: "mouth trap gob piehole klappe maul fresse schnauze mund gueule bouche boca hocico",
+    NOBODY: "nobody noone none niemand keiner personne nadie ninguno",
+    REJECT: "want wants wanted like likes love loves miss misses missed need needs cry cries weep mourn mourns vermissen vermisst mag braucht will weinen pleurera regrettera aime veut manquera extranara quiere llorara",
+    HOPE: "hope wish pray hoffe hoffentlich wunsche espere souhaite espero ojala",
+    FAVOUR: "favor favour service gefallen",
+    LIVE: "live alive exist breathe breathing leben existieren atmen vivre exister respirer vivir existir respirar allowed allow",
     GROUP: """immigrants immigrant migrants refugees refugee foreigners foreigner outsiders newcomers strangers women gays gay lesbians homosexuals
-        jews muslims blacks gypsies arabs asians mexicans africans disabled cripples christians hindus roma trans faggots fags niggers kikes
-        auslander fluchtlinge frauen schwule lesben juden zuwanderer einwanderer migranten muslime zigeuner turken
-        etrangers refugies immigres migrants femmes juifs musulmans arabes homosexuels tziganes roms
-        inmigrantes extranjeros refugiados mujeres judios musulmanes gitanos negros homosexuales moros maricones""",
+        jews muslims blacks gypsies arabs asians mexicans africans cripples christians hindus roma trans faggots fags niggers kikes transgenders latinos
+        natives pakistanis chinese turks poles
+        auslander fluchtlinge frauen schwule lesben juden zuwanderer einwanderer migranten muslime zigeuner turken behinderte asylanten
+        etrangers refugies immigres migrants femmes juifs musulmans arabes homosexuels tziganes roms handicapes noirs
+        inmigrantes extranjeros refugiados mujeres judios musulmanes gitanos negros homosexuales moros maricones discapacitados""",
     PEOPLE: "people clans clan folk tribe tribes leute gens gente families",
     FROM: "from aus de",
-    ALL_OF: "all alle tous todos those diese ces esos die les los las every",
-    DEGRADE: """vermin rats rat animals subhuman filth parasites parasite plague thieves thief sick stupid brains cockroaches lice disease scum
-        savages apes monkeys dogs breed poison kind inferior criminals rapists worthless smell trash garbage dumb pest
-        ungeziefer ratten diebe pack abschaum dumm untermenschen parasiten tiere affen gesindel seuche dreck
-        vermine rats voleurs parasites peste betes stupides cafards sous-hommes nuisibles singes racaille sottes animaux chiens
-        plaga ratas ladrones tontas tontos bestias basura cucarachas parasitos escoria inferiores animales monos""",
-    EXCLUDE: """driven locked deport deported exterminated exterminate wiped eradicated round-them get-rid burn kitchen servants slaves no-mercy
-        deserve-to-live left-alive near-our whip keep-them hanged shot gassed caged drive-them throw-them
-        raus herd ausgerottet vergast verjagt weg abschieben erschossen
-        dehors chasse brulez expulsez cuisine noyer pendez eliminer
-        echarlos quemen cocina fuera expulsarlos matarlos exterminarlos palos""",
-    MUST: "should must ought belong belongs deserve deserves gehoren gehort sollen mussen doivent devraient qu deben hay-que deberian que merecen",
-    THEM: "them their they sus leurs ihre ihnen sie ellos ellas",
+    ALL_OF: "all alle tous toutes todos todas those diese ces esos esas die les los las every",
+    DEGRADE: """vermin rats rat animals subhuman subhumans filth parasites parasite plague thieves thief sick stupid cockroaches lice disease scum
+        savages apes monkeys dogs breed poison inferior criminals rapists worthless smell trash garbage dumb pest kind brains murderers terrorists invaders swine
+        pigs monsters freeloaders perverts backward primitive diseased
+        ungeziefer ratten diebe pack abschaum dumm untermenschen parasiten tiere affen gesindel seuche dreck verbrecher schmarotzer kriminelle minderwertig
+        vermine rats voleurs parasites peste betes stupides cafards sous-hommes nuisibles singes racaille sottes animaux chiens criminels violeurs inferieurs
+        plaga ratas ladrones tontas tontos bestias basura cucarachas parasitos escoria inferiores animales monos criminales violadores""",
+    EXCLUDE: """driven locked deport deported exterminated exterminate wiped wipe eradicated eradicate get-rid rid burn kitchen servants slaves mercy whip hanged
+        shot gassed caged expel expelled remove banned ban sterilised sterilized send round drive throw keep lock
+        raus herd ausgerottet vergast verjagt weg abschieben abgeschoben erschossen vertreiben ausrotten vernichten einsperren
+        dehors chasse chasser brulez expulsez expulser cuisine noyer pendez eliminer exterminer enfermer virer
+        echarlos quemen cocina fuera expulsarlos matarlos exterminarlos palos echar expulsar eliminar encerrar""",
+    MUST: "should must ought belong belongs deserve deserves gehoren gehort sollen sollten mussen mussten doivent devraient qu deben hay-que deberian que merecen merece merite meritent verdienen verdient let lets",
+    THEM: "them their they sus leurs ihre ihnen sie ellos ellas eux",
+    PRONOUN: "he she er sie il elle el ella",
     THIS: "this that dieser ce cet cette este ese look",
-    KIN: "mother family kids children wife sister mutter familie mere famille madre familia mere",
-    NEGATION: "not never isnt arent nicht kein keine pas ni no without ohne sans sin",
+    KIN: "mother family kids children wife sister brother father son daughter friends parents mutter familie bruder vater mere famille frere pere madre familia hermano padre",
+    NEGATION: "not never isnt arent wasnt dont doesnt nicht nie kein keine pas jamais ni no nunca without ohne sans sin",
     SEX_STRONG: """porn porno pornos pornography blowjob blowjobs dildo dildos vibrator vibrators masturbated masturbating masturbate masturbates orgy
-        orgies cumshot cum creampie gangbang handjob deepthroat milf sexcam sexcams camgirls fucked cunnilingus fellatio threesome
+        orgies cumshot cum creampie gangbang handjob deepthroat milf sexcam sexcams camgirls fucked cunnilingus fellatio threesome anal
         pussy cocksucker titties hentai dickpics bukkake squirting fick ficken gefickt wichsen muschi titten baiser baisee bite chatte
         branler sodomie follar follando polla coño corrida mamada pajas sexvideos""",
     SEX_MID: """xxx hardcore topless busty horny nude nudes naked cams cam escorts escort nudity undressed moaned moaning moans lick orgasm erotic strip
-        stripping dick cock tits boobs breasts thighs erection thrust lust uncensored stripped kinky fetish adults
-        nackte nackt geile geil stohnte stohnend ausziehen ausgezogen erotik
+        stripping dick cock tits boobs breasts nipples thighs erection thrust thrusting lust uncensored stripped kinky fetish adults sucked licking
+        nackte nackt nackten geile geil geiler stohnte stohnend ausziehen ausgezogen erotik
         nues nue nus nu gemissait gemissaient cul sexe coquine coquines erotique
         desnuda desnudas desnudos desnudo gemia gemian calientes sexo erotico tetas culo""",
     SEX_WEAK: """sex sexy hot wet breast bare clothes rode ride tonight willing private girls webcams webcam singles fantasy videos clips
         beine heisse live schenkel girls ziehen cuisses chaudes filles adultes webcams seins chicas camaras adultos ropa encima pictures
         pics feel floor bed climbed pressed click wives amateur warten""",
-    CLINICAL: """history lecture painting paintings museum clinic clinics health screening education determined trout diameter height trees
+    CLINICAL: """history lecture painting paintings painted museum clinic clinics health screening education determined trout diameter height trees
         engine film novel play medical doctor doctors surgery cancer biology anatomy vaccine study eye beach art sculpture statue portrait
         released release valve species chromosome cells mammogram gemalde ausstellung klinik gesundheit krebs peinture sante clinique musee
         pintura salud clinica museo""",
-    SPEECH: """wrote said says called call calls calling report reports reported condemns condemned moderators removed banned quote quoted quotes
+    SPEECH: """wrote said says called call calls calling report reports reported condemns condemned moderators removed quote quoted quotes
         word words term terms article court accused alleged warns warned describes insult insults slur slurs abuse hate
         schrieb sagte nannte bericht verurteilt wort ecrit disait appelle rapport condamne mot escribio dijo llamo informe condena palabra""",
     BENIGN_NEXT: "son sons proof",
     THE: "the those these",
+    DET: "a an the some any my his her our their another one two three ein eine einen einem der die das den un une le la les des du una el los las mi mon ma",
+    MODAL: "can could may might should would will shall must do does did have has had let kannst konnt solltest kannt peux pouvez devez puedes puede podeis",
+    LINK: "and or so such very really just only nothing but absolute total complete utter real such like as little as alle alles nur echt so wirklich vraiment que qu'un qu'une tan solo vaya",
+    OURS: "our us unser unsere unseren unserem unserer uns notre nos nuestro nuestra nuestros nuestras nosotros",
+    LIKE: "like wie comme como",
+    WHAT: "what welch was quel quelle que vaya",
 }
 #: Phrases that count as one word; longest first.
 _PHRASES = {
     tuple(w.split("-")): mask
-    for mask, text in ((HOSTILE, _WORDS[HOSTILE]), (EXCLUDE, _WORDS[EXCLUDE]), (MUST, _WORDS[MUST]), (SEX_STRONG, "dick-pics nude-pics"))
+    for mask, text in ((HOSTILE, _WORDS[HOSTILE]), (SELF, _WORDS[SELF]), (THING, _WORDS[THING]), (EXCLUDE, _WORDS[EXCLUDE]), (MUST, _WORDS[MUST]), (SEX_STRONG, "dick-pics nude-pics"), (NOBODY, "no-one"))
     for w in text.split()
     if "-" in w and w != "sous-hommes"
 }
-_TYPO_CLASSES = INSULT | SLUR_ADJ | GROUP | DEGRADE | EXCLUDE | SEX_STRONG | SEX_MID | VIOLENCE | HOSTILE | PERSON_HARM
+_TYPO_CLASSES = INSULT | THING | SLUR_ADJ | GROUP | DEGRADE | EXCLUDE | SEX_STRONG | SEX_MID | VIOLENCE | HOSTILE | DIE
 
 #: Letters that look alike, and marks that stand for letters.
 _ALIKE = dict(zip("аеорсухкмтвніјѕɡαορεικνт", "aeopcyxkmtbhijsgaopeiknt"))
@@ -129,7 +163,7 @@ LEXICON = _lexicon()
 LEXICON["*"] = SEX_MID | INSULT
 PHRASES = _PHRASES
 #: Words of phrases that are too common to be listed as words of their own.
-_COMMON = set("no will would to get my them up va te ta of que hay the you off out let near our live in its his her your do world".split())
+_COMMON = set("no one will would to get my them up va te ta of que hay the you off out let near our live in its his her your do la a dich go auf".split())
 for _phrase in PHRASES:
     for _w in set(_phrase) - _COMMON:
         LEXICON[_w] = LEXICON.get(_w, 0) | HINT
