@@ -41,6 +41,13 @@ def test_top_n_streams_over_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_top_n_of_groups_that_are_no_number(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, k, float(k % 7)) for k in range(40)] + [(1.0, 5, 2.0)], "g double, i long, s double").repartition(5)
+    got = sorted((r["rnk"], r["i"]) for r in topn.top_n(df, "g", "i", F.col("s"), 3).where("isnan(g)").collect())
+    assert got == [(1, 0), (2, 7), (3, 14)]
+
+
 def plain_ffd(sizes, capacity):
     room, out = [], [0] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
@@ -92,6 +99,11 @@ def test_packing_keeps_every_token_in_its_place(spark):
             assert all(x[2] == 128 for x in p[:-1]) and [x[1] for x in p] == [128 * k for k in range(len(p))]
     assert sum(1 for r in got if r["doc_id"] == 7 and r["part"] == 0) == 3
     report = packing.fill_report(out, 128).first()
+    assert tuple(packing.check_report(out, df, "doc_id", 128).first()) == (len(rows), 0, 0, 0, 0)
+    bad = out.where("doc_id <> 500").withColumn("container", F.lit("one"))
+    assert tuple(packing.check_report(bad, df, "doc_id", 128).first()) == (len(rows) - 1, 0, 0, 1, 1)
+    again = packing.pack(df, "doc_id", "text", capacity=128, group_size=50)
+    assert again.groupBy("container").count().orderBy("container").collect() == out.groupBy("container").count().orderBy("container").collect()
     assert report["fullest"] <= 128 and report["filled"] > 0.9 and report["n_containers"] == len(per)
     assert packing.pack(df.where("false"), "doc_id", "text").count() == 0
 

@@ -1,7 +1,7 @@
 """Filling fixed-capacity containers: first-fit decreasing within randomised groups.
 
-Texts are measured in tokens next to where they are read; only (identifier, part, size) moves. Sizes are dealt out
-evenly into groups of a bounded number of items, and every group is packed on its own: items in falling size, each
+Texts are measured in tokens next to where they are read; only (identifier, part, size) moves, and is written once.
+Sizes are dealt out at random (by a seed) into groups of a bounded number of items, and every group is packed on its own: items in falling size, each
 into the first container that still has room, found by a tournament tree over the remaining capacities in
 logarithmic time. Texts longer than a container, and only they, are divided into full parts and a remainder.
 """
@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.llm.tokens import RANKS_PATH, encoder
+from thalweg.session import materialise
 
 CAPACITY = 2048
-#: Documents per group: the bound on what one task packs, and large enough that open containers are a small part.
+#: Items per group: the bound on what one task packs, and large enough that open containers are a small part.
 GROUP_SIZE = 20_000
+SEED = 42
 
 
 class TournamentTree:
@@ -110,7 +112,7 @@ def _pack(capacity: int):
     return run
 
 
-def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, ranks_path: str = RANKS_PATH) -> DataFrame:
+def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, ranks_path: str = RANKS_PATH, seed: int = SEED) -> DataFrame:
     """(key, part, first_token, n_tokens, container): every text's parts and the container each goes into.
 
     No container holds more than `capacity` tokens and no text up to that size is divided. Null and empty texts
@@ -119,10 +121,11 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, group_siz
     """
     if capacity < 1 or group_size < 1:
         raise ValueError("capacity and group_size must be positive")
-    groups = max(1, -(-df.count() // group_size))  # one pass over no columns
-    items = measure(df, key, text, capacity, ranks_path)
+    items = materialise(measure(df, key, text, capacity, ranks_path), "sizes")  # texts are read once, groups go by parts
+    groups = max(1, -(-items.count() // group_size))
     kind = dict(items.dtypes)[key]
-    dealt = items.withColumnRenamed(key, "doc").repartition(groups)  # round robin: groups of equal size whatever the keys
+    # random whatever the keys, so repeated ones spread; a retried task reads the same rows of the same file again
+    dealt = items.withColumnRenamed(key, "doc").repartitionById(groups, F.floor(F.rand(seed) * groups).cast("int"))
     packed = dealt.mapInArrow(_pack(capacity), f"doc {kind}, part int, first_token long, n_tokens int, grp int, bin int")
     return packed.select(
         F.col("doc").alias(key), "part", "first_token", "n_tokens", F.concat_ws("-", "grp", "bin").alias("container")
@@ -139,3 +142,17 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.max("t").alias("fullest"),
         F.round(F.sum("t") / (F.count(F.lit(1)) * F.lit(capacity)), 6).alias("filled"),
     )
+
+
+def check_report(packed: DataFrame, docs: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row: texts packed, containers over the capacity, texts divided though they would fit, texts whose parts leave
+    something out, and texts that have no container. All but the first are 0 where the packing is sound."""
+    over = packed.groupBy("container").agg(F.sum("n_tokens").alias("t")).where(F.col("t") > capacity).agg(F.count(F.lit(1)).alias("n_overfull"))
+    per = packed.groupBy(key).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count_if(F.col("part") == 0).alias("copies"))
+    texts = per.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("n_texts"),
+        F.count_if((F.col("n") > F.col("copies")) & (F.col("t") <= F.col("copies") * capacity)).alias("n_split"),
+        F.count_if(F.col("t") != F.col("end") * F.col("copies")).alias("n_torn"),
+    )
+    lost = docs.select(key).join(per.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
+    return texts.crossJoin(over).crossJoin(lost)  # a row each

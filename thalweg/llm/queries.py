@@ -34,6 +34,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: every text once, none divided needlessly, no container too full."""
+    docs = table(spark, d, "documents")
+    return packing.check_report(packing.pack(docs, "doc_id", "text"), docs, "doc_id")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "passage")
 
@@ -64,10 +70,11 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_posteriors, p4_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_scores, p8_rates)
+    f.__name__: f for f in (p1_found, p1_posteriors, p4_found, p6_containers, p6_fill, p6_sound, p7_found, p7_items, p8_found, p8_scores, p8_rates)
 }
 
 SQL = {
+    "p6_sound": "select count(*) n_texts, cast(0 as bigint) n_overfull, cast(0 as bigint) n_split, cast(0 as bigint) n_torn, cast(0 as bigint) n_missing from documents",
     "p4_found": """
 with best as (select id, comid, min(round(abs(uparea - area), 3)) s from match_candidates
   where id is not null and comid is not null and uparea is not null and area is not null group by id, comid),

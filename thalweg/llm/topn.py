@@ -15,34 +15,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number for each value, alike for equal ones (nan equals nan)."""
+    return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)
+
+
 def _first_n(n: int, with_rank: bool):
-    """A pass over sorted batches (g, s, i): keeps the first n rows of each g, repeats of (g, i) counting once."""
+    """A pass over sorted batches (g, s, i): keeps the first n rows of each g, repeats of (g, i) counting once.
+
+    Batches are worked on as arrays; between them only the last group and its at most n identifiers are remembered.
+    """
 
     def run(batches):
-        group, seen = None, set()  # seen never exceeds n identifiers
+        group, seen, begun = None, [], False
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             g, i = batch.column(0), batch.column(2)
-            # group boundaries within the batch; groups that are full are skipped without looking at their rows
-            differs = pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)).to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(g)]
-            rows, ranks = [], []
-            for a, b in zip(starts, starts[1:]):
-                value = g[a].as_py()
-                if a > 0 or value != group:
-                    group, seen = value, set()
-                for k in range(a, b):
-                    if len(seen) == n:
-                        break
-                    item = i[k].as_py()
-                    if item not in seen:
-                        seen.add(item)
-                        rows.append(k)
-                        ranks.append(len(seen))
-            out = batch.take(pa.array(rows, pa.int64()))
+            own, items = _codes(g), _codes(i)
+            new = np.ones(len(own), bool)
+            new[1:] = own[1:] != own[:-1]
+            starts = np.flatnonzero(new)
+            nth = np.cumsum(new) - 1
+            first = np.zeros(len(own), bool)
+            first[np.unique(nth * (items.max() + 1) + items, return_index=True)[1]] = True
+            carried = begun and _same(g[0].as_py(), group)
+            before = np.zeros(len(starts), np.int64)
+            if carried:  # the group goes on from the batch before
+                in_group = nth == 0
+                first &= ~(in_group & pc.is_in(i, pa.array(seen, i.type)).to_numpy(zero_copy_only=False))
+                before[0] = len(seen)
+            count = np.cumsum(first)
+            rank = count - (count[starts] - first[starts])[nth] + before[nth]
+            keep = np.flatnonzero(first & (rank <= n))
+            last = keep[nth[keep] == nth[-1]]
+            kept = i.take(pa.array(last)).to_pylist()
+            seen = seen + kept if carried and len(starts) == 1 else kept
+            group, begun = g[-1].as_py(), True
+            out = batch.take(pa.array(keep))
             if with_rank:
-                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(ranks, pa.int32())], [*out.schema.names, "r"])
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.array(rank[keep].astype(np.int32))], [*out.schema.names, "r"])
             if out.num_rows:
                 yield out
 
