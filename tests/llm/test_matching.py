@@ -68,9 +68,9 @@ def test_candidates_are_all_within_the_distance(spark):
 
 
 def test_similarities(spark):
-    rows = [("Kalren River at Mill", "Kalren"), ("KALREN NR MILL", "Kalren"), ("Kalern R. at X", "Kalren"), ("Mill (Bróun)", "Broun"), ("a", None), (None, "b"), ("--", "b"), ("Kal ren at X", "Kalren")]
+    rows = [("Kalren River at Mill", "Kalren"), ("KALREN NR MILL", "Kalren"), ("Kalern R. at X", "Kalren"), ("Mill (Bróun)", "Broun"), ("a", None), (None, "b"), ("--", "b"), ("Kal ren at X", "Kalren"), ("Mill", "Kalrenvatn")]
     got = [r[0] for r in spark.createDataFrame(rows, "n string, r string").select(M.name_similarity(F.col("n"), F.col("r"))).collect()]
-    assert got[0] == got[1] == got[3] == got[7] == 1.0 and abs(got[2] - 5 / 6) < 1e-9 and got[4:7] == [None] * 3
+    assert got[0] == got[1] == got[3] == got[7] == 1.0 and abs(got[2] - 5 / 6) < 1e-9 and got[4:7] == [None] * 3 and got[8] == 0.0
     rows = [(1.0, 2.0), (2.0, 1.0), (0.0, 1.0), (None, 1.0), (float("nan"), 1.0)]
     assert [r[0] for r in spark.createDataFrame(rows, "a double, b double").select(M.area_similarity(F.col("a"), F.col("b"))).collect()] == [0.5, 0.5, None, None, None]
 
@@ -86,6 +86,40 @@ def test_repeated_rows_become_one_whatever_is_missing(spark):
     assert got == {"a": (1.0, 1.0, "late", 4.0), "b": (2.0, 2.0, "y", None), "c": (None, None, None, None)}
     rivers = [(1, None, "n", [0.0], [0.0], "x"), (1, 7.0, None, [0.0], [0.0], "x"), (2, 1.0, "m", [0.0, 1.0], [0.0], "x"), (3, None, None, [0.0, None], [0.0, 1.0], "x")]
     r = spark.createDataFrame(rivers, RIVER)
-    assert {x["comid"]: (x["uparea"], x["riv_name"]) for x in M.one_per_reach(r).collect()} == {1: (7.0, "n"), 3: (None, None)}
+    assert {x["comid"]: (x["uparea"], x["riv_name"]) for x in M.one_per_reach(r).collect()} == {1: (7.0, "n"), 2: (1.0, "m"), 3: (None, None)}
+    assert [tuple(x) for x in M.segments(r.where("riv_name is null or riv_name = 'm'")).collect()] == [(1, 0.0, 0.0, 0.0, 0.0)]  # 2 and 3 have no whole line
     near = spark.createDataFrame([(1, "p", 0.01, 0.01, None, None, "x")], OUTLET)
     assert [x["comid"] for x in M.candidates(near, r).collect()] == [1]
+
+
+def test_candidates_across_the_date_line(spark):
+    o = spark.createDataFrame([(1, "w", 0.0, -179.99, None, None, "x"), (2, "e", 0.05, 179.95, None, None, "x"), (3, "far", 0.0, 0.0, None, None, "x")], OUTLET)
+    r = spark.createDataFrame([(1, None, None, [179.99, 179.97], [0.0, 0.0], "x"), (2, None, None, [179.98, -179.98], [0.06, 0.06], "x"), (3, None, None, [-179.97, 179.99], [0.02, 0.02], "x")], RIVER)
+    got = {(x["id"], x["comid"]): round((1 - x["near"]) / 10, 6) for x in M.candidates(o, r).collect()}
+    assert got == {("w", 1): 0.02, ("w", 2): 0.06, ("w", 3): 0.02, ("e", 1): round(math.hypot(0.02, 0.05), 6), ("e", 2): round(math.hypot(0.03, 0.01), 6), ("e", 3): 0.05}
+
+
+def test_the_mixture_ends_in_the_same_place_from_another_start(spark):
+    outlets, rivers, _ = world(4, 300)
+    o, r = spark.createDataFrame(outlets, OUTLET), spark.createDataFrame(rivers, RIVER)
+    groups = M._grouped(M.candidates(o, r))
+
+    def by_distance(x):  # knows of nothing but the distance
+        p = np.clip(x[:, 0], 0.05, 0.95)
+        return np.stack([1 - p, p * p, p * (1 - p)], axis=1)
+
+    a, b = M.fit(groups), M.fit(groups, first=by_distance, tolerance=1e-4)
+    assert a.converged and b.converged and a.steps < M.MAX_STEPS
+    assert np.abs(a.mixture.means - b.mixture.means).max() < 0.05 and not M.fit(groups, steps=1).converged
+
+
+def test_what_stands_on_one_spot_agrees(spark):
+    outlets, rivers, truth = world(5, 200)
+    # a second id for every site, of which nothing is known but where it is, a little off
+    twins = [(1000 + k, f"t{k}", lat + 1e-5, lng - 1e-5, None, None, "x") for k, _, lat, lng, *_ in outlets]
+    o, r = spark.createDataFrame(outlets + twins, OUTLET), spark.createDataFrame(rivers, RIVER)
+    groups = M._grouped(M.candidates(o, r))
+    found = M.fit(groups)
+    linked = M._with_neighbours(groups, found.mixture)
+    right = lambda g: sum(truth.get("o" + x["id"][1:]) == x["comid"] for x in M.best_matches(M._believed(g, found.mixture)).collect() if x["id"][0] == "t")
+    assert right(linked) > right(groups)

@@ -4,15 +4,20 @@ Candidate pairs come from a cell join (a reach is looked for within a bounded di
 vector of similarities, any of which may be missing. Gaussians of unmatched and of matched pairs are fitted without
 labels by expectation maximisation over all pairs; variances are shrunk towards the pooled ones. Matched pairs have
 two: positions are mostly good, and a few are far off though all else agrees.
-Reaches are distinct, so by transitivity an outlet cannot match two of them: every expectation step divides an
-outlet's belief among its candidates and none of them. The result is a posterior per pair.
 
-The pairs are written once, grouped by outlet; a step reads them, adds up sufficient statistics next to the data and
-returns a single row of numbers.
+Transitivity binds in every expectation step. Reaches are distinct, so an outlet cannot match two of them: its belief
+is divided among its candidates and none of them. And one site comes under several ids, so outlets that stand on one
+spot are linked: what the others of the spot believe of a reach enters an outlet's belief, by as much as such
+neighbours agree at all, which the data tell. Beliefs of a spot are added up per reach, so no pair of outlets is ever
+listed. The result is a posterior per pair.
+
+The pairs are written once, grouped by outlet (and again with what their neighbours believe); a step reads them, adds
+up sufficient statistics next to the data and returns a single row of numbers.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from thalweg.session import materialise
+from thalweg.functions.geometry import segment_distance
+from thalweg.session import materialise, parallelism
 
 #: Farthest distance of a candidate, in degrees.
 MAX_DEGREES = 0.1
@@ -32,8 +38,12 @@ PARTS = 3
 #: Share of the pooled variance mixed into each component's, and the least variance.
 SHRINK = 0.05
 LEAST_VARIANCE = 4e-4
-MAX_STEPS = 25
+#: Steps stop when no mean moves by more than this (and no weight by ten times this part); a warning says if they ran out.
 TOLERANCE = 1e-3
+MAX_STEPS = 100
+#: Edge in degrees of a spot, and how often beliefs pass between its outlets.
+SPOT_DEGREES = 0.005
+SITE_ROUNDS = 1
 
 _ACCENTED = "áàâäãåéèêëíìîïóòôöõøúùûüýñçþðæœß"
 _PLAIN = "aaaaaaeeeeiiiioooooouuuuynctdaos"
@@ -58,15 +68,18 @@ def river_word(river: Column) -> Column:
 def word_similarity(words: Column, target: Column, letters: Column) -> Column:
     """Best similarity of any word to the target: 1 less edits per letter, two letters that changed places being one.
 
-    letters are the target's, sorted. Null if there is no word or no target.
+    letters are the target's, sorted. Words whose length differs by more than half of the target's are not compared;
+    if no other is left, the similarity is 0. Null if there is no word or no target.
     """
-    counts = F.transform(words, lambda w: F.levenshtein(w, target))
+    near = F.filter(words, lambda w: F.abs(F.length(w) - F.length(target)) * 2 <= F.length(target))
+    counted = F.transform(near, lambda w: F.struct(w.alias("w"), F.levenshtein(w, target).alias("n")))
 
-    def alike(w: Column, n: Column) -> Column:
-        swapped = (n == 2) & (F.array_sort(F.split(w, "")) == letters)
-        return 1 - F.when(swapped, 1).otherwise(n) / F.greatest(F.length(w), F.length(target))
+    def alike(e: Column) -> Column:
+        swapped = (e["n"] == 2) & (F.array_sort(F.split(e["w"], "")) == letters)
+        return 1 - F.when(swapped, 1).otherwise(e["n"]) / F.greatest(F.length(e["w"]), F.length(target))
 
-    return F.array_max(F.zip_with(words, counts, alike))
+    best = F.coalesce(F.array_max(F.transform(counted, alike)), F.lit(0.0))
+    return F.when((F.size(words) > 0) & target.isNotNull(), F.when(F.array_contains(words, target), F.lit(1.0)).otherwise(best))
 
 
 def name_similarity(name: Column, river: Column) -> Column:
@@ -81,20 +94,6 @@ def area_similarity(a: Column, b: Column) -> Column:
     return F.when(good, F.least(a, b) / F.greatest(a, b))
 
 
-def line_distance(x: Column, y: Column, xs: Column, ys: Column) -> Column:
-    """Planar distance in degrees of a point to a polyline given as coordinate arrays (a single point counts)."""
-
-    def of(i: Column) -> Column:
-        x1, y1 = F.get(xs, i), F.get(ys, i)
-        dx, dy = F.coalesce(F.get(xs, i + 1), x1) - x1, F.coalesce(F.get(ys, i + 1), y1) - y1
-        span = dx * dx + dy * dy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - x1) * dx + (y - y1) * dy, span), F.lit(0.0))))
-        return F.sqrt(F.pow(x - x1 - t * dx, 2) + F.pow(y - y1 - t * dy, 2))
-
-    last = F.greatest(F.size(xs) - 2, F.lit(0))
-    return F.array_min(F.transform(F.sequence(F.lit(0), last), of))
-
-
 def one_per_outlet(outlets: DataFrame) -> DataFrame:
     """(id, lat, lng, name, area): repeated rows of an id become one, each value the first known by rec_no.
 
@@ -114,51 +113,59 @@ def one_per_outlet(outlets: DataFrame) -> DataFrame:
 
 
 def one_per_reach(rivers: DataFrame) -> DataFrame:
-    """(comid, uparea, riv_name, line_lng, line_lat): repeated rows become one; a repeat may lack a value."""
-    line = F.struct("line_lng", "line_lat")
-    return (
-        rivers.where(F.col("comid").isNotNull())
-        .groupBy("comid")
-        .agg(F.max("uparea").alias("uparea"), F.max("riv_name").alias("riv_name"), F.max(F.when(F.size("line_lng") == F.size("line_lat"), line)).alias("line"))
-        .where(F.size("line.line_lng") > 0)
-        .select("comid", "uparea", "riv_name", "line.*")
-    )
+    """(comid, uparea, riv_name): repeated rows become one; a repeat may lack a value."""
+    return rivers.where(F.col("comid").isNotNull()).groupBy("comid").agg(F.max("uparea").alias("uparea"), F.max("riv_name").alias("riv_name"))
+
+
+def segments(rivers: DataFrame) -> DataFrame:
+    """(comid, x1, y1, x2, y2): the pieces of every reach's line; a line of one point is a piece of no length.
+
+    Lines with missing numbers or unequal counts have none. A piece across the date line runs on beyond 180 degrees.
+    """
+    whole = (F.size("line_lng") == F.size("line_lat")) & (F.size("line_lng") > 0)
+    for c in ("line_lng", "line_lat"):
+        whole = whole & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v))
+    at = rivers.where(F.col("comid").isNotNull() & whole).select("comid", "line_lng", "line_lat", F.explode(F.sequence(F.lit(0), F.greatest(F.size("line_lng") - 2, F.lit(0)))).alias("i"))
+    ends = {n: F.get(c, F.col("i") + k) for n, c, k in (("x1", "line_lng", 0), ("y1", "line_lat", 0), ("x2", "line_lng", 1), ("y2", "line_lat", 1))}
+    e = at.select("comid", *[v.alias(n) for n, v in ends.items()])
+    e = e.withColumns({"x2": F.coalesce("x2", "x1"), "y2": F.coalesce("y2", "y1")})
+    apart = F.col("x2") - F.col("x1")
+    return e.withColumn("x2", F.col("x2") - F.when(apart > 180, 360.0).when(apart < -180, -360.0).otherwise(0.0))
 
 
 def candidates(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_DEGREES) -> DataFrame:
-    """(id, comid, near, area, name): similarities of every outlet and reach within the distance.
+    """(id, comid, spot, n_spot, near, area, name): similarities of every outlet and reach within the distance.
 
-    near falls from 1 on the line to 0 at the distance. Outlets without a position have no candidates.
+    near falls from 1 on the line to 0 at the distance. Outlets without a position have no candidates. n_spot is the
+    number of outlets on the same spot. An outlet's name and area stay where they are: pairs go to them once, by id.
     """
     o = one_per_outlet(outlets).where(F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180))
-    r = one_per_reach(rivers)
-    cell = lambda c: F.floor(c / F.lit(max_degrees))
-    # what depends on one side alone is worked out before the join
-    o = o.select("id", "lat", "lng", "area", name_words(F.col("name")).alias("_words"), cell(F.col("lng")).alias("cx"), cell(F.col("lat")).alias("cy"))
-    # a reach's cells are those of its segments, one ring around included, so a long line takes few needless ones
-    def cells_of(i: Column) -> Column:
-        x1, y1 = F.get("line_lng", i), F.get("line_lat", i)
-        x2, y2 = F.coalesce(F.get("line_lng", i + 1), x1), F.coalesce(F.get("line_lat", i + 1), y1)
-        across = F.sequence(cell(F.least(x1, x2)) - 1, cell(F.greatest(x1, x2)) + 1)
-        up = F.sequence(cell(F.least(y1, y2)) - 1, cell(F.greatest(y1, y2)) + 1)
-        return F.flatten(F.transform(across, lambda x: F.transform(up, lambda y: F.struct(x.alias("cx"), y.alias("cy")))))
-
-    whole = F.forall("line_lng", lambda v: v.isNotNull()) & F.forall("line_lat", lambda v: v.isNotNull())
-    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("line_lng") - 2, F.lit(0))), cells_of)))
-    word = river_word(F.col("riv_name"))
-    box = [f("line_" + c).alias(n) for n, f, c in (("_x0", F.array_min, "lng"), ("_x1", F.array_max, "lng"), ("_y0", F.array_min, "lat"), ("_y1", F.array_max, "lat"))]
-    sides = r.where(whole).select("comid", "line_lng", "line_lat", *box, F.col("uparea").alias("_up"), word.alias("_river"), F.array_sort(F.split(word, "")).alias("_letters"), F.explode(every).alias("_cell"))
-    cells = sides.select("*", "_cell.*").drop("_cell")
-    distance = line_distance(F.col("lng"), F.col("lat"), F.col("line_lng"), F.col("line_lat"))
-    # a cheap test of the line's box first; explode keeps the distance from being worked out again by later steps
-    near = F.col("lng").between(F.col("_x0") - max_degrees, F.col("_x1") + max_degrees) & F.col("lat").between(F.col("_y0") - max_degrees, F.col("_y1") + max_degrees)
-    pairs = o.join(cells, ["cx", "cy"]).where(near).withColumn("_d", F.explode(F.array(distance))).where(F.col("_d") <= max_degrees)
-    return pairs.select(
+    cell = lambda c: F.floor(c / F.lit(2 * max_degrees))
+    cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    # an outlet by the date line stands on both sides of it, and looks into the four cells around
+    west, east = F.when(F.col("lng") + max_degrees > 180, F.col("lng") - 360), F.when(F.col("lng") - max_degrees < -180, F.col("lng") + 360)
+    probe = o.select("id", F.col("lat").alias("py"), F.explode(F.array_compact(F.array("lng", west, east))).alias("px"))
+    probe = probe.withColumn("cx", cells(F.col("px") - max_degrees, F.col("px") + max_degrees)).withColumn("cy", cells(F.col("py") - max_degrees, F.col("py") + max_degrees))
+    # a piece lies in the cells that its box meets
+    reach = one_per_reach(rivers).select("comid", F.col("uparea").alias("_up"), river_word(F.col("riv_name")).alias("_river"))
+    lines = segments(rivers).join(reach, "comid")
+    lines = lines.withColumn("cx", cells(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("cy", cells(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    box = F.col("px").between(F.least("x1", "x2") - max_degrees, F.greatest("x1", "x2") + max_degrees) & F.col("py").between(F.least("y1", "y2") - max_degrees, F.greatest("y1", "y2") + max_degrees)
+    d = segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
+    hits = probe.join(lines, ["cx", "cy"]).where(box).select("id", "comid", d.alias("d"), "_up", "_river").where(F.col("d") <= max_degrees)
+    # one exchange of the pairs: what follows is by id
+    near = hits.repartition(parallelism(outlets.sparkSession), "id").groupBy("id", "comid").agg(F.min("d").alias("d"), F.first("_up").alias("_up"), F.first("_river").alias("_river"))
+    spot = F.struct(F.round(F.col("lng") / SPOT_DEGREES).cast("long").alias("x"), F.round(F.col("lat") / SPOT_DEGREES).cast("long").alias("y"))
+    o = o.withColumn("spot", spot)
+    place = o.join(o.groupBy("spot").agg(F.count(F.lit(1)).alias("n_spot")), "spot").select("id", "spot", "n_spot", "area", name_words(F.col("name")).alias("_words"))
+    return near.join(place, "id").select(
         "id",
         "comid",
-        (1 - F.col("_d") / max_degrees).alias("near"),
+        "spot",
+        "n_spot",
+        (1 - F.col("d") / max_degrees).alias("near"),
         area_similarity(F.col("area"), F.col("_up")).alias("area"),
-        word_similarity(F.col("_words"), F.col("_river"), F.col("_letters")).alias("name"),
+        word_similarity(F.col("_words"), F.col("_river"), F.array_sort(F.split("_river", ""))).alias("name"),
     )
 
 
@@ -181,10 +188,10 @@ class Mixture:
         """Log odds of match against no match."""
         return np.logaddexp(logs[:, 1], logs[:, 2]) - logs[:, 0]
 
-    def beliefs(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Responsibilities of the components, at most one candidate of a group matching."""
+    def beliefs(self, x: np.ndarray, boost: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Responsibilities of the components, at most one candidate of a group matching; boost: of its neighbours."""
         logs = self.logs(x)
-        p = posteriors(self.odds(logs), starts)
+        p = posteriors(self.odds(logs) + boost, starts)
         close = p / (1 + np.exp(np.clip(logs[:, 2] - logs[:, 1], -50, 50)))
         return np.stack([1 - p, close, p - close], axis=1)
 
@@ -208,15 +215,43 @@ def _start(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    lists = batch.column(1)
-    offsets = lists.offsets.to_numpy()
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-    x = np.column_stack([flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in FEATURES])
-    return x, offsets - offsets[0]
+def _packed(x: np.ndarray, starts: np.ndarray, rows: int) -> pa.Array:
+    """A row of bytes per outlet: its candidates' similarities and boosts. Steps read nothing else."""
+    offsets = np.append(starts, len(x)).astype(np.int32) * (x.shape[1] * 8)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+def _unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(similarities, boosts, offsets of the outlets' candidates)."""
+    cells = batch.column(batch.schema.get_field_index("x"))
+    offsets = np.frombuffer(cells.buffers()[1], np.int32, len(cells) + 1, cells.offset * 4).astype(np.int64)
+    width = len(FEATURES) + 1
+    x = np.frombuffer(cells.buffers()[2], np.float64, (offsets[-1] - offsets[0]) // 8, offsets[0]).reshape(-1, width)
+    return x[:, :-1], x[:, -1], (offsets - offsets[0]) // (8 * width)
+
 
+def _pack_groups(batches):
+    for batch in batches:
+        lists = batch.column(3)
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        x = np.column_stack([flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in FEATURES] + [np.zeros(len(flat))])
+        comids = pa.ListArray.from_arrays(pa.array((offsets - offsets[0]).astype(np.int32)), flat.field("comid"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], comids, _packed(x, offsets[:-1] - offsets[0], batch.num_rows)], ["id", "spot", "n_spot", "comids", "x"])
 
-def _statistics(mixture: Mixture | None):
+
+def _boost_groups(batches):
+    """(id, spot, n_spot, comids, x, boosts) with the boosts, in the order of the candidates, put in."""
+    for batch in batches:
+        if batch.num_rows:
+            x, _, offsets = _unpack(batch)
+            boosts = batch.column(5)
+            values = boosts.values.slice(boosts.offsets[0].as_py(), len(x)).to_numpy(zero_copy_only=False)
+            again = _packed(np.column_stack([x, values]), offsets[:-1], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], again], ["id", "spot", "n_spot", "comids", "x"])
+
+
+def _statistics(mixture: Mixture | None, first):
     n = len(FEATURES)
 
     def run(batches):
@@ -225,8 +260,8 @@ def _statistics(mixture: Mixture | None):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, offsets = _unpack(batch)
-            g = _start(x) if mixture is None else mixture.beliefs(x, offsets[:-1])
+            x, boost, offsets = _unpack(batch)
+            g = first(x) if mixture is None else mixture.beliefs(x, boost, offsets[:-1])
             known = ~np.isnan(x)
             v = np.where(known, x, 0.0)
             for c in range(PARTS):
@@ -239,67 +274,123 @@ def _statistics(mixture: Mixture | None):
     return run
 
 
-def fit(groups: DataFrame, steps: int = MAX_STEPS) -> Mixture | None:
-    """Expectation maximisation over all pairs; None if there are none. A step moves one row to the driver."""
-    n, mixture = len(FEATURES), None
-    for _ in range(steps):
-        rows = groups.mapInArrow(_statistics(mixture), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+@dataclass(frozen=True)
+class Fit:
+    """The mixture (None if there are no pairs), the steps taken, and whether the last one still moved it."""
+
+    mixture: Mixture | None
+    steps: int
+    converged: bool
+
+
+def _maximise(count: np.ndarray, t: np.ndarray) -> Mixture:
+    """The regularised mixture of sums: per component and similarity its weight, weighted values and their squares."""
+    pooled_total = t.sum(axis=0)
+    t = t.copy()
+    t[1:, 1:] = t[1:, 1:].sum(axis=0)  # matches agree in area and name alike, wherever their position lies
+    pooled_n = np.maximum(pooled_total[:, 0], 1e-9)
+    pooled_mean = pooled_total[:, 1] / pooled_n
+    pooled = np.maximum(pooled_total[:, 2] / pooled_n - pooled_mean**2, LEAST_VARIANCE)
+    seen = np.maximum(t[:, :, 0], 1e-9)
+    means = np.where(t[:, :, 0] > 1e-6, t[:, :, 1] / seen, pooled_mean)
+    own = np.where(t[:, :, 0] > 1e-6, t[:, :, 2] / seen - means**2, pooled)
+    variances = np.maximum((1 - SHRINK) * np.maximum(own, 0) + SHRINK * pooled, LEAST_VARIANCE)
+    return Mixture(np.maximum(count / count.sum(), 1e-6), means, variances)
+
+
+def fit(groups: DataFrame, steps: int = MAX_STEPS, mixture: Mixture | None = None, first=_start, tolerance: float = TOLERANCE) -> Fit:
+    """Expectation maximisation over all pairs, from `mixture` or else from the beliefs `first` gives. A step moves
+    one row to the driver."""
+    n = len(FEATURES)
+    for step in range(1, steps + 1):
+        rows = groups.select("x").mapInArrow(_statistics(mixture, first), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         flat = np.zeros(PARTS + PARTS * n * 3)
         for r in rows:
             flat[r["i"]] = r["v"]
         count, t = flat[:PARTS], flat[PARTS:].reshape(PARTS, n, 3)
         if count.sum() == 0:
-            return None
-        pooled_total = t.sum(axis=0)
-        t[1:, 1:] = t[1:, 1:].sum(axis=0)  # matches agree in area and name alike, wherever their position lies
-        pooled_n = np.maximum(pooled_total[:, 0], 1e-9)
-        pooled_mean = pooled_total[:, 1] / pooled_n
-        pooled = np.maximum(pooled_total[:, 2] / pooled_n - pooled_mean**2, LEAST_VARIANCE)
-        seen = np.maximum(t[:, :, 0], 1e-9)
-        means = np.where(t[:, :, 0] > 1e-6, t[:, :, 1] / seen, pooled_mean)
-        own = np.where(t[:, :, 0] > 1e-6, t[:, :, 2] / seen - means**2, pooled)
-        variances = np.maximum((1 - SHRINK) * np.maximum(own, 0) + SHRINK * pooled, LEAST_VARIANCE)
-        weights = np.maximum(count / count.sum(), 1e-6)
-        new = Mixture(weights, means, variances)
-        done = mixture is not None and np.abs(weights / mixture.weights - 1).max() < TOLERANCE * 10 and np.abs(new.means - mixture.means).max() < TOLERANCE
+            return Fit(None, step, True)
+        new = _maximise(count, t)
+        done = mixture is not None and np.abs(new.weights / mixture.weights - 1).max() < tolerance * 10 and np.abs(new.means - mixture.means).max() < tolerance
         mixture = new
         if done:
-            break
-    return mixture
+            return Fit(mixture, step, True)
+    return Fit(mixture, steps, False)
 
 
-def _believe(mixture: Mixture | None, id_type: pa.DataType, key_type: pa.DataType):
+def _believe(mixture: Mixture | None, id_type: pa.DataType, spot_type: pa.DataType, key_type: pa.DataType):
     def run(batches):
         for batch in batches:
             if not batch.num_rows or mixture is None:
                 continue
-            x, offsets = _unpack(batch)
-            p = posteriors(mixture.odds(mixture.logs(x)), offsets[:-1])
-            lists = batch.column(1)
-            flat = lists.values.slice(lists.offsets[0].as_py(), len(p))
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            x, boost, offsets = _unpack(batch)
+            p = posteriors(mixture.odds(mixture.logs(x)) + boost, offsets[:-1])
+            lists = batch.column(2)
+            comids = lists.values.slice(lists.offsets[0].as_py(), len(p))
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets)))
             total = np.repeat(np.add.reduceat(p, offsets[:-1]), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(id_type).take(pa.array(owner)), flat.field("comid").cast(key_type), pa.array(p), pa.array(total)],
-                ["id", "comid", "confidence", "any_match"],
-            )
+            data = [batch.column(0).cast(id_type).take(owner), batch.column(1).cast(spot_type).take(owner), comids.cast(key_type), pa.array(p), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(data, ["id", "spot", "comid", "confidence", "any_match"])
 
     return run
 
 
-def match_outlets(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_DEGREES) -> DataFrame:
+def _believed(groups: DataFrame, mixture: Mixture | None) -> DataFrame:
+    """(id, spot, comid, confidence, any_match) of every pair."""
+    kinds = dict(groups.dtypes)
+    comid = groups.schema["comids"].dataType.elementType
+    types = [to_arrow_type(groups.schema[c].dataType) for c in ("id", "spot")] + [to_arrow_type(comid)]
+    schema = f"id {kinds['id']}, spot {kinds['spot']}, comid {comid.simpleString()}, confidence double, any_match double"
+    return groups.select("id", "spot", "comids", "x").mapInArrow(_believe(mixture, *types), schema)
+
+
+def _with_neighbours(groups: DataFrame, mixture: Mixture) -> DataFrame:
+    """The groups with boosts: for each candidate, how much likelier the other outlets on the spot make it.
+
+    A neighbour shares an outlet's reach with a probability that is measured, over all spots with several outlets, as
+    the part of neighbours believed to; with it, what the neighbours believe replaces an even prior. Only outlets that
+    have neighbours are written again.
+    """
+    linked = groups.where("n_spot > 1")
+    scored = materialise(_believed(linked, mixture).select("id", "spot", "comid", "confidence"), "beliefs")
+    per = scored.groupBy("spot", "comid").agg(F.sum("confidence").alias("s"), F.sum(F.col("confidence") ** 2).alias("q"))
+    agree = per.agg(F.sum(F.col("s") ** 2 - F.col("q"))).first()[0]
+    among = linked.agg(F.sum(F.col("n_spot") - 1)).first()[0]
+    rho = min(0.9, max(0.0, (agree or 0.0) / among)) if among else 0.0
+    if rho == 0.0:
+        return groups
+    pairs = scored.join(per.select("spot", "comid", "s"), ["spot", "comid"]).join(linked.select("id", "n_spot", F.size("comids").alias("k")), "id")
+    others = F.greatest(F.lit(0.0), F.col("s") - F.col("confidence")) / (F.col("n_spot") - 1)
+    boost = F.ln((1 - rho) + F.lit(rho) * others * F.col("k"))
+    boosts = pairs.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("comid", boost.alias("b")))), lambda e: e["b"]).alias("boosts"))
+    again = linked.join(boosts, "id").select(*groups.columns, "boosts").mapInArrow(_boost_groups, groups.schema)
+    return groups.where("n_spot = 1").unionByName(materialise(again, "match-candidates"))
+
+
+def _grouped(pairs: DataFrame) -> DataFrame:
+    """(id, spot, n_spot, comids, x): an outlet's candidates in order, of which there are as many as reaches within the
+    distance, and their similarities, packed."""
+    kinds = dict(pairs.dtypes)
+    groups = pairs.groupBy("id", "spot", "n_spot").agg(F.sort_array(F.collect_list(F.struct("comid", *FEATURES))).alias("c"))
+    schema = f"id {kinds['id']}, spot {kinds['spot']}, n_spot long, comids array<{kinds['comid']}>, x binary"
+    return materialise(groups.mapInArrow(_pack_groups, schema), "match-candidates")
+
+
+def match_outlets(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_DEGREES, steps: int = MAX_STEPS) -> DataFrame:
     """(id, comid, confidence, any_match): posterior of every candidate pair, and per outlet that any of them holds.
 
     Outlets without id or position and reaches without comid or a whole line take no part; any other value may be null.
-    Repeated rows are one. Empty tables give an empty result; other columns are ignored, whatever their names.
+    Repeated rows are one. Empty tables give an empty result; other columns are ignored, whatever their names. A
+    warning says if the mixture still moved after `steps` steps.
     """
-    pairs = candidates(outlets, rivers, max_degrees)
-    groups = pairs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("comid", *FEATURES))).alias("c"))
-    groups = materialise(groups, "match-candidates")
-    mixture = fit(groups)
-    kinds = dict(pairs.dtypes)
-    types = [to_arrow_type(pairs.schema[c].dataType) for c in ("id", "comid")]
-    return groups.mapInArrow(_believe(mixture, *types), f"id {kinds['id']}, comid {kinds['comid']}, confidence double, any_match double")
+    groups = _grouped(candidates(outlets, rivers, max_degrees))
+    found = fit(groups, steps)
+    for _ in range(SITE_ROUNDS if found.mixture is not None else 0):
+        groups = _with_neighbours(groups, found.mixture)
+        found = fit(groups, steps, found.mixture)
+    if not found.converged:
+        warnings.warn(f"the mixture still moved after {steps} steps", stacklevel=2)
+    return _believed(groups, found.mixture).drop("spot")
 
 
 def best_matches(scored: DataFrame, least: float = 0.5) -> DataFrame:
