@@ -1,3 +1,4 @@
+import json
 import struct
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.sources import geotiff, outlets, shapefile
+from thalweg.sources import geotiff, layers, outlets, shapefile, sinks
 from thalweg.operators.validate import InvalidOutlets
 
 
@@ -84,7 +85,7 @@ def pack_lzw(data):
     return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
 
 
-def write_tiff(path, a, compression, tile=None, predictor=1, nodata="0", order="<"):
+def write_tiff(path, a, compression, tile=None, predictor=1, nodata="0", order="<", scale=0.5, corner=(10.0, 20.0)):
     h, w = a.shape
     blocks = []
     th, tw = tile or (5, w)
@@ -104,7 +105,7 @@ def write_tiff(path, a, compression, tile=None, predictor=1, nodata="0", order="
     where = (324, 325) if tile else (273, 279)
     tags += [(where[0], 4, None), (where[1], 4, [len(b) for b in blocks]), (317, 3, [predictor]), (339, 3, [kind])]
     tags += [(322, 3, [tw]), (323, 3, [th])] if tile else [(278, 3, [th])]
-    tags += [(33550, 12, [0.5, 0.5, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 10.0, 20.0, 0.0]), (42113, 2, nodata)]
+    tags += [(33550, 12, [scale, scale, 0.0]), (33922, 12, [0.0, 0.0, 0.0, *corner, 0.0]), (42113, 2, nodata)]
     tags.sort()
     data_at = 8 + sum(map(len, blocks))
     offs = np.cumsum([8] + [len(b) for b in blocks[:-1]]).tolist()
@@ -149,3 +150,65 @@ def test_outlet_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text("id,lat\n1,2\n")
     with pytest.raises(InvalidOutlets):
         outlets.read_outlets(spark, str(tmp_path / "p.csv"))
+
+
+def write_world(folder):
+    """Two basins of two catchments each, 6 x 6 cells a catchment, with their rivers and rasters, as files."""
+    west, north = 2000, 30000  # the world grid's column and row of the corner
+    x, y = (lambda c: -180 + (west + c) / 1200), (lambda r: 90 - (north + r) / 1200)
+    box = lambda a, b: [(x(a), y(0)), (x(b), y(0)), (x(b), y(6)), (x(a), y(6)), (x(a), y(0))]
+    fields = [("COMID", "N", 12, 0), ("unitarea", "N", 12, 3)]
+    river = [("COMID", "N", 12, 0), ("up1", "N", 12, 0), ("up2", "N", 12, 0), ("up3", "N", 12, 0), ("up4", "N", 12, 0), ("uparea", "N", 16, 4), ("lengthkm", "N", 12, 3), ("order", "N", 4, 0)]
+    write_layer(folder / "mega", [([11], [box(0, 12)]), ([12], [box(12, 24)]), ([13], [box(40, 41)])], [("BASIN", "N", 4, 0)])
+    for b, at in ((11, 0), (12, 12)):
+        write_layer(folder / f"cat_{b}", [([b * 10 + 1, 1.0], [box(at, at + 6)]), ([b * 10 + 2, 1.0], [box(at + 6, at + 12)])], fields)
+        line = lambda c: [[(x(c + 2), y(5)), (x(c + 2), y(2))]]
+        write_layer(folder / f"riv_{b}", [([b * 10 + 1, b * 10 + 2, 0, 0, 0, 90.5, 1.25, 2], line(at)), ([b * 10 + 2, 0, 0, 0, 0, 40.0, 0.5, 1], line(at + 6))], river)
+        shapefile.write_missing_prj(str(folder))
+        r, c = np.indices((6, 12))
+        fdir = np.where(c % 6 == 2, 4, np.where(c % 6 < 2, 1, 16)).astype("u1")
+        acc = np.where((c % 6 == 2) & (r > 1), 6000, 1).astype("i4")
+        for name, a in (("dir", fdir), ("acc", acc)):
+            write_tiff(folder / f"{name}_{b}.tif", a, 8, scale=1 / 1200, corner=(x(at), y(0)))
+    (folder / "outlets.csv").write_text(f"id,lat,lng,name,area\na/b,{y(4.2)},{x(3.2)},Upper mill,0.5\na_b,{y(4.2)},{x(14.2)},,\nfar,10,10,,\n")
+
+
+def test_from_files_to_files(spark, tmp_path):
+    from thalweg.config import Settings
+    from thalweg.plans import run
+
+    write_world(tmp_path)
+    p = lambda n: str(tmp_path / n)
+    files = run.Files(p("outlets.csv"), p("mega.shp"), p("cat_{basin}.shp"), p("riv_{basin}.shp"), direction=p("dir_{basin}.tif"), accumulation=p("acc_{basin}.tif"), cache=p("cache"))
+    high = Settings(output_dir=p("out"), map_folder=p("map"))
+    done = run.delineate(spark, files, high)
+    got = {r["id"]: r for r in done.summary.collect()}
+    assert {k: r["result"] for k, r in got.items()} == {"a/b": "high res", "a_b": "high res", "far": "failed"}
+    assert {r["id"]: r["explanation"] for r in done.failed.collect()} == {"far": "not in any level 2 basin"}
+    low = {r["id"]: r for r in run.delineate(spark, files, Settings(high_res=False)).summary.collect()}
+    assert low["a/b"]["result"] == "low res" and 0 < got["a/b"]["area_calc"] < low["a/b"]["area_calc"]  # the split catchment is smaller
+    assert (tmp_path / "cache" / "catchments" / "basin=11").is_dir() and not (tmp_path / "cache" / "catchments" / "basin=13").exists()
+    run.write(done, high)
+    assert sorted(f.name for f in (tmp_path / "out").glob("*.geojson")) == ["a_b.geojson", "a~2Fb.geojson"]
+    doc = json.loads((tmp_path / "out" / "a~2Fb.geojson").read_text())
+    assert doc["properties"]["name"] == "Upper mill" and doc["properties"]["result"] == "High Res" and doc["geometry"]["type"] == "MultiPolygon"
+    layer = (tmp_path / "map" / "a~2Fb.js").read_text()
+    assert layer.startswith("gage_coords = [") and "snapped_coords = [" in layer and "basin = {" in layer
+    assert (tmp_path / "map" / "a~2Fb_rivers.js").read_text().startswith("rivers = {") and 'data-file="a~2Fb"' in (tmp_path / "map" / "_viewer.html").read_text()
+    assert spark.read.option("header", True).csv(p("out/OUTPUT.csv")).count() == 3 and spark.read.option("header", True).csv(p("out/FAILED.csv")).count() == 1
+    run.write(done, Settings(output_dir=p("shp"), output_ext="SHP", output_csv=False, make_map=False))
+    again = layers.read_layer(spark, p("shp/a~2Fb.shp")).collect()
+    rings = [r for r in done.boundaries.collect() if r["id"] == "a/b"]
+    assert len(again) == 1 and again[0]["id"] == "a/b" and abs(again[0]["area_calc"] - got["a/b"]["area_calc"]) < 1e-6
+    assert sorted(map(len, again[0]["ring_lng"])) == sorted(len(r["xs"]) for r in rings) and not (tmp_path / "shp" / "OUTPUT.csv").exists()
+    with pytest.raises(ValueError, match="output_ext"):
+        run.write(done, Settings(output_dir=p("x"), output_ext="kml", output_csv=False, make_map=False))
+    (tmp_path / "mega.prj").write_text('PROJCS["UTM", GEOGCS["GCS_WGS_1984"]]')
+    with pytest.raises(layers.WrongProjection):
+        run.delineate(spark, files, high)
+
+
+def test_names_of_files_are_apart(spark):
+    keys = ["a/b", "a_b", "a b", "a+b", "a%2Fb", "a~2Fb", "A*", "å"]
+    names = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(sinks.file_name(F.col("k"))).collect()]
+    assert len(set(names)) == len(keys) and not any(set(n) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-_+~") for n in names)

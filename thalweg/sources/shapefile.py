@@ -157,6 +157,63 @@ class ShapefileSource(DataSource):
         return ShapefileReader(self._paths(), int(self.options.get("recordsPerTask", RECORDS_PER_TASK)))
 
 
+def _dbf_fields(kinds: list[tuple[str, str]], rows: list[list]) -> list[tuple[str, str, int, int]]:
+    """(name, type, width, decimals) of columns given as (name, Spark type); names are cut to ten letters and kept apart."""
+    out: list[tuple[str, str, int, int]] = []
+    for i, (name, kind) in enumerate(kinds):
+        short, k = name[:10], 1
+        while short in {f[0] for f in out}:
+            short, k = f"{name[: 10 - len(str(k))]}{k}", k + 1
+        if kind in ("int", "bigint", "smallint", "tinyint"):
+            out.append((short, "N", 18, 0))
+        elif kind in ("double", "float"):
+            out.append((short, "N", 24, 10))
+        else:
+            width = max([1, *(len(str(r[i]).encode("utf-8")) for r in rows if r[i] is not None)])
+            out.append((short, "C", min(width, 254), 0))
+    return out
+
+
+def polygon_layer(rows: list[tuple[list, list[tuple[list, list]]]], kinds: list[tuple[str, str]]) -> dict[str, bytes]:
+    """The files of a polygon layer, by ending: rows are (attribute values, rings as (xs, ys)). Shells are written
+    clockwise and holes counter-clockwise, whichever way they come: the first ring of a part must be its shell, turning
+    the other way than its holes."""
+    shp, shx, at, boxes = [], [], 50, []
+    for k, (_, rings) in enumerate(rows):
+        pts = [np.column_stack([np.asarray(x, float), np.asarray(y, float)])[::-1] for x, y in rings]  # ours are counter-clockwise
+        if pts:
+            every = np.vstack(pts)
+            box = (*every.min(axis=0), *every.max(axis=0))
+            boxes.append(box)
+            starts = np.cumsum([0, *[len(p) for p in pts[:-1]]])
+            content = struct.pack("<i4d2i", 5, *box, len(pts), len(every)) + starts.astype("<i4").tobytes() + every.astype("<f8").tobytes()
+        else:
+            content = struct.pack("<i", 0)
+        shp.append(struct.pack(">2i", k + 1, len(content) // 2) + content)
+        shx.append(struct.pack(">2i", at, len(content) // 2))
+        at += 4 + len(content) // 2
+    b = np.array(boxes or [(0.0, 0.0, 0.0, 0.0)])
+    box = (*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0))
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, 50 + size // 2) + struct.pack("<2i8d", 1000, 5, *box, 0.0, 0.0, 0.0, 0.0)
+    values = [v for v, _ in rows]
+    fields = _dbf_fields(kinds, values)
+
+    def cell(v, kind: str, width: int, decimals: int) -> bytes:
+        if v is None or v != v:
+            return b" " * width
+        if kind == "C":
+            raw = str(v).encode("utf-8")[:width]
+            return raw.decode("utf-8", "ignore").encode("utf-8").ljust(width)
+        text = f"{v:.{decimals}f}" if decimals else str(int(v))
+        return text.rjust(width).encode()[:width]
+
+    desc = b"".join(n.encode("latin-1", "replace")[:10].ljust(11, b"\0") + t.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, t, w, d in fields)
+    body = b"".join(b" " + b"".join(cell(v, t, w, d) for v, (_, t, w, d) in zip(row, fields)) for row in values)
+    dbf = bytes([3, 124, 1, 1]) + struct.pack("<IHH", len(rows), 33 + len(desc), 1 + sum(f[2] for f in fields)) + b"\0" * 20 + desc + b"\r" + body + b"\x1a"
+    shp_, shx_ = b"".join(shp), b"".join(shx)
+    return {"shp": head(len(shp_)) + shp_, "shx": head(len(shx_)) + shx_, "dbf": dbf, "prj": WGS84_PRJ.encode(), "cpg": b"UTF-8"}
+
+
 def write_missing_prj(folder: str) -> list[str]:
     """A projection sidecar for every layer of a folder that has none; returns those written."""
     made = []
