@@ -212,3 +212,24 @@ def test_names_of_files_are_apart(spark):
     keys = ["a/b", "a_b", "a b", "a+b", "a%2Fb", "a~2Fb", "A*", "å"]
     names = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(sinks.file_name(F.col("k"))).collect()]
     assert len(set(names)) == len(keys) and not any(set(n) - set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.-_+~") for n in names)
+
+
+def test_a_layer_dissolved_and_pictures(spark, tmp_path):
+    from thalweg.plans import run
+    from thalweg.sources import plots
+
+    write_world(tmp_path)
+    rings = run.dissolve_layer(spark, str(tmp_path / "cat_11.shp"))
+    rows = rings.collect()
+    assert len(rows) == 1 and len(rows[0]["xs"]) == 7  # two squares side by side: six corners
+    svg = plots.vector_picture([("black", rings)], [("red", rows[0]["xs"][0], rows[0]["ys"][0])])
+    assert svg.startswith("<svg") and svg.count("<path") == 1 and svg.count("<circle") == 1
+    cells = layers.on_world_grid(spark, str(tmp_path / "dir_11.tif"))
+    for codes, height in ((False, 24), (True, 32)):
+        picture = plots.raster_picture(cells, "value", 4, codes)
+        assert picture[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", picture[16:24]) == (48, height)
+    raw = zlib.decompress(plots.raster_picture(cells, "value", 1, True)[41:].split(b"IEND")[0][:-8])
+    assert {tuple(raw[1 + 3 * c : 4 + 3 * c]) for c in range(12)} == {tuple(plots._HUES[plots.CODES.index(k)]) for k in (1, 4, 16)}
+    assert plots.CODES == [1, 2, 4, 8, 16, 32, 64, 128]
+    with pytest.raises(ValueError, match="too large"):
+        plots.raster_picture(cells, "value", 4000)

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.config import SLIVER_DEGREES
 from thalweg.functions.rings import polygons, stitch
+from thalweg.session import parallelism
 
 
 def snapped(edges: DataFrame, step: float = 2 * SLIVER_DEGREES) -> DataFrame:
@@ -49,16 +52,55 @@ def border_edges(edges: DataFrame, by: list[str]) -> DataFrame:
     return n.select(*by, *[F.col(f"_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def stitch_rings(border: DataFrame, by: str) -> DataFrame:
-    """(by, part, ring, xs, ys): the rings of each union's border. A group is one union's border, never its polygons."""
-    kind = dict(border.dtypes)[by]
+def _stitch_batches(names: list[str], key_type: pa.DataType):
+    """A pass over edges sorted by union: only the union at hand is held, across batches."""
+
+    def rows_of(held: list[tuple[pa.Array, list[np.ndarray]]]) -> pa.RecordBatch:
+        keys, parts, rings, coords = [], [], [], []
+        for key, segments in held:
+            found = polygons(stitch(np.concatenate(segments)))
+            keys += [key] * len(found)
+            parts += [p for p, _, _ in found]
+            rings += [r for _, r, _ in found]
+            coords += [c for _, _, c in found]
+        offsets = np.cumsum([0, *map(len, coords)]).astype(np.int32)
+        flat = np.concatenate(coords) if coords else np.zeros((0, 2))
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(flat[:, i]))) for i in (0, 1)]
+        key = pa.concat_arrays(keys) if keys else pa.array([], key_type)
+        return pa.RecordBatch.from_arrays([key.cast(key_type), pa.array(parts, pa.int32()), pa.array(rings, pa.int32()), *lists], names)
+
+    def run(batches):
+        last: tuple[pa.Array, list[np.ndarray]] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            segments = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)], axis=1)
+            starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()]
+            done = []
+            for a, z in zip(starts, [*starts[1:], len(codes)]):
+                key = keys.slice(a, 1)
+                if a == 0 and last is not None and last[0].equals(key):
+                    last[1].append(segments[a:z])
+                    continue
+                if last is not None:
+                    done.append(last)
+                last = (key, [segments[a:z]])
+            yield rows_of(done)
+        if last is not None:
+            yield rows_of([last])
+
+    return run
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = polygons(stitch(pdf[["x1", "y1", "x2", "y2"]].to_numpy()))
-        rows = [(key[0], p, r, c[:, 0].tolist(), c[:, 1].tolist()) for p, r, c in found]
-        return pd.DataFrame(rows, columns=[by, "part", "ring", "xs", "ys"])
 
-    return border.groupBy(by).applyInPandas(run, f"{by} {kind}, part int, ring int, xs array<double>, ys array<double>")
+def stitch_rings(border: DataFrame, by: str) -> DataFrame:
+    """(by, part, ring, xs, ys): the rings of each union's border. What one task holds is one union's border, never its
+    polygons; unions are spread over as many tasks as a large exchange has."""
+    kind, names = dict(border.dtypes)[by], [by, "part", "ring", "xs", "ys"]
+    edges = border.select(by, "x1", "y1", "x2", "y2").repartition(parallelism(border.sparkSession), by).sortWithinPartitions(by)
+    run = _stitch_batches(names, to_arrow_type(border.schema[by].dataType))
+    return edges.mapInArrow(run, f"{by} {kind}, part int, ring int, xs array<double>, ys array<double>")
 
 
 def fill_holes(rings: DataFrame, area: Column, least: float, ring: str = "ring") -> DataFrame:

@@ -117,30 +117,33 @@ def _smoothed(rings: DataFrame, settings: Settings) -> DataFrame:
     return rings
 
 
-def _sheds(run: Run, inputs: Inputs, settings: Settings) -> DataFrame:
-    """(shed, coarse, part, ring, xs, ys): one boundary for each terminal reach, however many outlets share it. Large
-    watersheds are made of the simplified layer, if there is one; slivers are closed."""
+def _shed_members(run: Run, settings: Settings) -> DataFrame:
+    """(shed, unit, coarse): the reaches of each terminal reach's watershed, once however many outlets share it, and
+    whether it is drawn in low resolution."""
     ends = run.located.select("comid", low_resolution("uparea", settings).alias("coarse")).groupBy("comid").agg(F.max("coarse").alias("coarse"))
     members = upstream(ends, "comid", "comid", run.jumps, "unit").join(ends, "comid")
+    return materialise(members.select(F.col("comid").alias("shed"), "unit", "coarse"), "members")
+
+
+def _sheds(members: DataFrame, inputs: Inputs, settings: Settings) -> DataFrame:
+    """(shed, part, ring, xs, ys): the boundary of each. Low resolution is made of the simplified layer, if there is
+    one; slivers are closed, holes filled and the boundary simplified as set."""
     sides = ["x1", "y1", "x2", "y2"]
-    edges = edges_of(inputs.catchments, "comid", "ring_lng", "ring_lat")
-    layers = [(edges, None)]
-    if inputs.simplified is not None:
-        layers = [(edges, False), (edges_of(inputs.simplified, "comid", "ring_lng", "ring_lat"), True)]
+    layers = [(inputs.catchments, None)] if inputs.simplified is None else [(inputs.catchments, False), (inputs.simplified, True)]
     own = None
     for layer, coarse in layers:
-        layer = materialise(closed(layer), "edges").select(F.col("comid").alias("unit"), *sides)
+        edges = materialise(closed(edges_of(layer, "comid", "ring_lng", "ring_lat")), "edges").select(F.col("comid").alias("unit"), *sides)
         rows = members if coarse is None else members.where(F.col("coarse") == coarse)
-        rows = rows.join(layer, "unit").select(F.col("comid").alias("shed"), *sides)
+        rows = rows.join(edges, "unit").select("shed", *sides)
         own = rows if own is None else own.unionByName(rows)
-    return stitch_rings(border_edges(own, ["shed"]), "shed")
+    return _smoothed(stitch_rings(border_edges(own, ["shed"]), "shed"), settings)
 
 
 def boundaries(run: Run, inputs: Inputs, settings: Settings, split: Split | None = None) -> DataFrame:
     """(id, part, ring, xs, ys): each watershed's catchments dissolved, slivers closed, small holes filled, simplified
     if set. With a split, the split part stands for the terminal catchment of those that have one."""
     if split is None:
-        sheds = _smoothed(_sheds(run, inputs, settings), settings)
+        sheds = _sheds(_shed_members(run, settings), inputs, settings)
         return run.located.select("id", F.col("comid").alias("shed")).join(sheds, "shed").drop("shed")
     whole = replace(run, located=run.located.join(split.terminals.select("id"), "id", "left_anti"))
     kind = dict(run.located.dtypes)["id"]
@@ -164,13 +167,14 @@ def summary(run: Run, inputs: Inputs, settings: Settings, with_distance: bool =
     """
     ring = equal_area_km2(F.col("xs"), F.col("ys"))
     measure = lambda rings, by: rings.groupBy(by).agg(F.sum(F.when(F.col("ring") == 0, ring).otherwise(-ring)).alias("km2"))
+    members = _shed_members(run, settings)
+    count = members.groupBy("shed").agg(F.count(F.lit(1)).alias("n_catchments"))
     if split is None:  # measured once for each terminal reach
-        area = measure(_smoothed(_sheds(run, inputs, settings), settings), "shed")
-        area = run.located.select("id", F.col("comid").alias("shed")).join(area, "shed").drop("shed")
+        sheds = count.join(measure(_sheds(members, inputs, settings), "shed"), "shed", "left")
+        measured = run.located.select("id", F.col("comid").alias("shed")).join(sheds, "shed").drop("shed")
     else:
-        area = measure(boundaries(run, inputs, settings, split), "id")
-    count = run.located.select("id", "comid").join(catchments_above(run, inputs), "comid").select("id", "n_catchments")
-    measured = count.join(area, "id", "left")
+        count = run.located.select("id", F.col("comid").alias("shed")).join(count, "shed").drop("shed")
+        measured = count.join(measure(boundaries(run, inputs, settings, split), "id"), "id", "left")
     start = line_start(F.col("line_lng"), F.col("line_lat"))
     ends = inputs.reaches.select("comid", start.alias("s"))
     found = run.located.join(ends, "comid").join(measured, "id").select("id", "basin", "comid", "uparea", "n_catchments", "km2", "s")

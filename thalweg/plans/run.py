@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from thalweg.config import Settings
 from thalweg.functions.geometry import flat_list
-from thalweg.operators.regions import locate
+from thalweg.operators.dissolve import border_edges, closed, stitch_rings
+from thalweg.operators.regions import edges_of, locate
 from thalweg.operators.validate import check_columns, check_megabasins, validate
 from thalweg.plans import pipeline
 from thalweg.session import materialise
@@ -77,6 +78,13 @@ def delineate(spark: SparkSession, files: Files, settings: Settings) -> Outcome:
     return Outcome(table, run.failed, pipeline.boundaries(run, inputs, settings, split), map_rivers(run, reaches, settings))
 
 
+def dissolve_layer(spark: SparkSession, path: str) -> DataFrame:
+    """(part, ring, xs, ys): all polygons of a shapefile as one, slivers closed. Its border is stitched in one task."""
+    layer = layers.read_layer(spark, path).select(F.lit(1).alias("all"), "ring_lng", "ring_lat")
+    border = border_edges(closed(edges_of(layer, "all", "ring_lng", "ring_lat")), ["all"])
+    return stitch_rings(border, "all").drop("all")
+
+
 def write(outcome: Outcome, settings: Settings) -> None:
     """The files of a run: a geodata file per watershed (output_ext: geojson, shp, parquet; empty: none), OUTPUT and
     FAILED tables (output_csv), and a map with its layers (make_map, map_rivers)."""

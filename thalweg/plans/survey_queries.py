@@ -119,6 +119,11 @@ def network_faults(spark, d):
     return network.network_faults(domain.reaches(spark, d))
 
 
+def network_faults_trunk(spark, d):
+    """The rivers of order two and more as a network of their own: it names tributaries that it does not have."""
+    return network.network_faults(domain.reaches(spark, d).where("ord >= 2"))
+
+
 def reach_lookup(spark, d):
     r = domain.reaches(spark, d).select("comid", "uparea", "ord", "riv_name", line_start(F.col("line_lng"), F.col("line_lat")).alias("s"))
     return _catchment_of(spark, d).join(r, "comid").select("id", "comid", "uparea", "ord", "riv_name", F.col("s.lng").alias("lng_snap"), F.col("s.lat").alias("lat_snap"))
@@ -400,7 +405,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_outlets, shape_outlets, megabasin_join, megabasin_nearest, catchment_join, catchment_nearest, box_search, basin_counts, failed_outlets,
-        upstream_closure, upstream_closure_wide, upstream_closure_deep, network_faults, reach_lookup, watershed_catchments,
+        upstream_closure, upstream_closure_wide, upstream_closure_deep, network_faults, network_faults_trunk, reach_lookup, watershed_catchments,
         area_match_accept, area_match_search, resolution_switch, dissolve_edges, dissolve_bounds, dissolve_rings, fill_holes, largest_part,
         simplify_rings, close_slivers, equal_area, planar_area, layer_bounds, snap_distance, sigfig_round, percent_differences, window_align,
         raster_mask, raster_accumulation, raster_streams, snap_pour_point, d8_upstream, polygonize_cells, split_terminal, high_res_split,

@@ -234,6 +234,9 @@ select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
 select o comid, count(*) n_upstream, max(depth) levels from up group by o""",
     "network_faults": f"""with {D['rv']}, n as (select distinct comid dst, src from (select comid, unnest([up1, up2, up3, up4]) src from rv) where src <> 0)
 select distinct src comid, 'missing' fault from n where src not in (select comid from rv)
+union all select src, 'several ways down' from n group by src having count(*) > 1""",
+    "network_faults_trunk": f"""with {D['rv']}, t as (select * from rv where ord >= 2), n as (select distinct comid dst, src from (select comid, unnest([up1, up2, up3, up4]) src from t) where src <> 0)
+select distinct src comid, 'missing' fault from n where src not in (select comid from t)
 union all select src, 'several ways down' from n group by src having count(*) > 1""",
     "reach_lookup": f"{_UNIT} select w.id, w.comid, uparea, ord, riv_name, line_lng[1] lng_snap, line_lat[1] lat_snap from w join rv using (comid)",
     "watershed_catchments": f"""{_UNIT}, {_UP}
