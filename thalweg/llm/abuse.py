@@ -91,6 +91,7 @@ PATTERNS = [
     _p("hostile", 0.8, X.SHUT, (X.MOUTH, 2)),
     _p("hostile", 1.0, X.NOBODY, (X.REJECT, 2), (X.YOU, 3)),
     _p("hostile", 1.2, X.SELF),
+    _p("hostile", 0.8, X.DESPISE, (X.YOU, 0), X.PLAIN),
     _p("hostile", 1.0, X.BEGIN | X.COMMA, (X.MODAL, 1), (X.FAVOUR, 4), (X.DIE | X.VIOLENCE | X.HOSTILE | X.SELF | X.BODY, 6)),
     # threat: harm is announced to or wished on someone addressed, or on a part of them; no thing is the object
     _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOU, 2, 0, X.DET | X.YOUR), X.PLAIN),

@@ -13,7 +13,7 @@ import unicodedata
 # classes are bits
 _NAMES = """INSULT THING SLUR_ADJ YOU YOUR BE PAST FIRST VIOLENCE DIE BODY WEAPON GROUP DEGRADE EXCLUDE HOSTILE SELF PEOPLE NEGATION NOBODY REJECT HOPE
     FAVOUR SHUT MOUTH LIVE PRONOUN SEX_STRONG SEX_MID SEX_WEAK CLINICAL SPEECH END COMMA INITIAL KIN MUST NAME BENIGN_NEXT OPEN_QUOTE CLOSE_QUOTE THEM
-    THIS ALL_OF FROM THE OURS LIKE HINT STARRED UNREAD SURE PHRASE DET MODAL LINK WHAT BEGIN STOP PLAIN""".split()
+    THIS ALL_OF FROM THE OURS LIKE DESPISE HINT STARRED UNREAD SURE PHRASE DET MODAL LINK WHAT BEGIN STOP PLAIN""".split()
 for _i, _name in enumerate(_NAMES):
     globals()[_name] = 1 << _i
 
@@ -29,18 +29,21 @@ _WORDS = {
         connard connards connasse connasses conne salaud salauds salope salopes encule encules abruti abrutis debile debiles pute putes batard batards
         andouille raclure cretine lache laches menteur menteuse minable minables couillon couillons bouffon
         idiota idiotas imbecil imbeciles cabron cabrones gilipollas pendejo pendejos puta putas maricon basura capullo zorra zorras hijueputa malnacido
-        subnormal estupido estupida cobarde cobardes mentiroso inutil inutiles payaso desgraciado bastardo""",
+        subnormal estupido estupida cobarde cobardes mentiroso inutil inutiles payaso desgraciado bastardo
+        airhead asshat asswipe birdbrain bozo brat buffoon chump clod crackpot crook crooks deadbeat dipshit dipshits dolt doofus dork dullard dunce fathead fraud fuckface fuckwit fuckwits gobshite goon goons ignoramus jerk jerks jerkoff knobhead knucklehead meathead nincompoop ninny numpty oaf phony pillock pinhead plonker poser scoundrel sicko sickos skank skanks sleazebag sleazeball slob slag slimeball sociopath swindler thug thugs tosser tossers traitor traitors turd turds twerp weakling weirdo weirdos whiner wimp wimps wuss yob yobs heuchler luder miststuck schwachmat spinner volltrottel""",
     # things and animals that persons are called: they count only where a person is called so
     THING: """scum trash garbage pig pigs swine parasite parasites shit shits piece-of-shit vermin crap clown clowns filth dirt rubbish rat rats snake
         snakes dog dogs monkey monkeys donkey cockroach cockroaches animal animals monster monsters
         abschaum schwein schweine drecksau ratte ratten hund hunde affe affen esel dreck mull ungeziefer
         ordure ordures merde merdes pourriture con cons porc porcs chien chiens rat cochon cochons cafard
-        mierda escoria cerdo cerdos perro perros rata burro animal""",
+        mierda escoria cerdo cerdos perro perros rata burro animal
+        maggot maggots slime dung toad toads vulture vultures cancer disgrace abomination joke""",
     SLUR_ADJ: """stupid worthless pathetic useless filthy ugly brainless goddamn fucking disgusting dirty rotten miserable damn damned bloody dumb vile
         repulsive spineless shameless despicable wretched fat nasty cowardly lousy
         verdammter verdammte verdammtes bloder blode blodes dreckiger dreckige dumme dummer dummes widerlicher widerliche erbarmlicher nutzloser fette fetter
         pauvre sale espece stupide petit gros grosse inutile lamentable pathetique debile
-        pedazo maldito maldita asqueroso asquerosa puto sucio sucia repugnante patetico""",
+        pedazo maldito maldita asqueroso asquerosa puto sucio sucia repugnante patetico
+        idiotic moronic retarded pitiful sickening revolting insufferable obnoxious hideous stinking smelly talentless clueless gutless heartless braindead deranged slutty creepy incompetent contemptible loathsome hirnlose hirnloser ekelhafte ekelhafter degoutant degoutante ridicule abjecte asquerosos ridiculo inmundo""",
     YOU: "you youre ya u thee du dich dir ihr euch bist tu te toi t vous eres ti tus usted ustedes vosotros seid",
     YOUR: "your yours yourself dein deine deinen deiner deinem deines euer eure ton ta tes votre vos tu",
     BE: "is are am was were be been being youre isnt arent ist sind bin bist seid war waren est es sont sois etes son eres sois era fue c'est",
@@ -50,15 +53,19 @@ _WORDS = {
         shoot hang drown whip gas castrate hit kick hunt destroy torture rip tear knock kneecap behead lynch throttle
         schlag schlage schlagen umbringen bringe toten tote verprugeln verprugle abstechen steche erstechen brechen breche erschiessen aufschlitzen prugeln
         casser casse tuer tue tuerai frapper frappe bruler egorger buter bute cogner demonter crever etrangler massacrer saigner
-        romper rompo matar mato mate quemar degollar reventar reviento apunalar golpear estrangular pegar""",
+        romper rompo matar mato mate quemar degollar reventar reviento apunalar golpear estrangular pegar
+        slap stomp pound batter bludgeon mutilate dismember execute annihilate finish maim skewer""",
     DIE: """die dies rot rots suffer suffers burn burns hang hangs drown drowns bleed bleeds choke chokes perish killed shot hanged beaten burned whipped gassed stoned drowned slaughtered stabbed thrown castrated
         sterben stirb verrecken verreck brennen erschossen verprugelt crever creve crevez mourir pendu battu morir muerete mueras muerete muerte pudrete
         paliza beating""",
     BODY: """throat teeth bones skull neck head face guts jaw ribs nose legs arms knees brains eyes hair fingers kehle fresse gesicht zahne knochen kopf hals
-        gorge dents gueule tronche tete os jambes cara huesos dientes cuello cabeza piernas""",
+        gorge dents gueule tronche tete os jambes cara huesos dientes cuello cabeza piernas
+        spine tongue chest stomach windpipe wrists knee arm leg back""",
     WEAPON: "bullet bullets knife blade rope axe hammer messer kugel couteau balle cuchillo bala",
-    HOSTILE: "fuck-you fuck-off piss-off screw-you get-lost go-to-hell rot-in-hell get-out-of shut-up hell verschwinde verschwindet verpiss hau-ab degage degagez casse-toi callate vete largate lárgate jodete chinga",
-    SELF: "kill-yourself hang-yourself drown-yourself shoot-yourself kill-yourselves bring-dich-um hang-dich-auf geh-sterben va-crever va-mourir suicide-toi pends-toi matate muerete",
+    HOSTILE: """fuck-you fuck-off piss-off screw-you get-lost go-to-hell rot-in-hell get-out-of shut-up hell verschwinde verschwindet verpiss hau-ab degage degagez casse-toi callate vete largate lárgate jodete chinga
+        bugger-off sod-off get-stuffed eat-shit shove-it up-yours""",
+    SELF: """kill-yourself hang-yourself drown-yourself shoot-yourself kill-yourselves bring-dich-um hang-dich-auf geh-sterben va-crever va-mourir suicide-toi pends-toi matate muerete
+        go-die end-yourself off-yourself go-kill""",
     SHUT: "shut halt halts haltet ferme fermez cierra",
     MOUTH: "mouth trap gob piehole klappe maul fresse schnauze mund gueule bouche boca hocico",
     NOBODY: "nobody noone none niemand keiner personne nadie ninguno",
@@ -71,7 +78,8 @@ _WORDS = {
         natives pakistanis chinese turks poles
         auslander fluchtlinge frauen schwule lesben juden zuwanderer einwanderer migranten muslime zigeuner turken behinderte asylanten
         etrangers refugies immigres migrants femmes juifs musulmans arabes homosexuels tziganes roms handicapes noirs
-        inmigrantes extranjeros refugiados mujeres judios musulmanes gitanos negros homosexuales moros maricones discapacitados""",
+        inmigrantes extranjeros refugiados mujeres judios musulmanes gitanos negros homosexuales moros maricones discapacitados
+        atheists catholics protestants buddhists sikhs russians indians italians feminists jew muslim arab gypsy lesbian homosexual migrant men girls mexican somalis syrians afghans kurds albanians romanians""",
     PEOPLE: "people clans clan folk tribe tribes leute gens gente families",
     FROM: "from aus de",
     ALL_OF: "all alle tous toutes todos todas those diese ces esos esas die les los las every",
@@ -80,12 +88,14 @@ _WORDS = {
         pigs monsters freeloaders perverts backward primitive diseased
         ungeziefer ratten diebe pack abschaum dumm untermenschen parasiten tiere affen gesindel seuche dreck verbrecher schmarotzer kriminelle minderwertig
         vermine rats voleurs parasites peste betes stupides cafards sous-hommes nuisibles singes racaille sottes animaux chiens criminels violeurs inferieurs
-        plaga ratas ladrones tontas tontos bestias basura cucarachas parasitos escoria inferiores animales monos criminales violadores""",
+        plaga ratas ladrones tontas tontos bestias basura cucarachas parasitos escoria inferiores animales monos criminales violadores
+        cockroach beasts barbarians degenerates ungrateful uncivilized uncivilised unclean filthy evil disgusting dishonest predators pedophiles paedophiles thugs vultures maggots cancer infestation locusts lesser useless stinking smelly greedy abomination unnatural crooks beggars bestien faul dreckig wilde barbaren sauvages barbares sales salvajes sucios barbaros""",
     EXCLUDE: """driven locked deport deported exterminated exterminate wiped wipe eradicated eradicate get-rid rid burn kitchen servants slaves mercy whip hanged
         shot gassed caged expel expelled remove banned ban sterilised sterilized send round drive throw keep lock
         raus herd ausgerottet vergast verjagt weg abschieben abgeschoben erschossen vertreiben ausrotten vernichten einsperren
         dehors chasse chasser brulez expulsez expulser cuisine noyer pendez eliminer exterminer enfermer virer
-        echarlos quemen cocina fuera expulsarlos matarlos exterminarlos palos echar expulsar eliminar encerrar""",
+        echarlos quemen cocina fuera expulsarlos matarlos exterminarlos palos echar expulsar eliminar encerrar
+        purge purged cleansed slaughtered lynched castrated enslaved outlawed eliminated executed jailed imprisoned segregated evicted chased kicked""",
     MUST: "should must ought belong belongs deserve deserves gehoren gehort sollen sollten mussen mussten doivent devraient qu deben hay-que deberian que merecen merece merite meritent verdienen verdient let lets",
     THEM: "them their they sus leurs ihre ihnen sie ellos ellas eux",
     PRONOUN: "he she er sie il elle el ella",
@@ -95,12 +105,14 @@ _WORDS = {
     SEX_STRONG: """porn porno pornos pornography blowjob blowjobs dildo dildos vibrator vibrators masturbated masturbating masturbate masturbates orgy
         orgies cumshot cum creampie gangbang handjob deepthroat milf sexcam sexcams camgirls fucked cunnilingus fellatio threesome anal
         pussy cocksucker titties hentai dickpics bukkake squirting fick ficken gefickt wichsen muschi titten baiser baisee bite chatte
-        branler sodomie follar follando polla coño corrida mamada pajas sexvideos""",
+        branler sodomie follar follando polla coño corrida mamada pajas sexvideos
+        camgirl striptease nsfw bdsm creampies threesomes wank wanking boner hardon""",
     SEX_MID: """xxx hardcore topless busty horny nude nudes naked cams cam escorts escort nudity undressed moaned moaning moans lick orgasm erotic strip
         stripping dick cock tits boobs breasts nipples thighs erection thrust thrusting lust uncensored stripped kinky fetish adults sucked licking
         nackte nackt nackten geile geil geiler stohnte stohnend ausziehen ausgezogen erotik
         nues nue nus nu gemissait gemissaient cul sexe coquine coquines erotique
-        desnuda desnudas desnudos desnudo gemia gemian calientes sexo erotico tetas culo""",
+        desnuda desnudas desnudos desnudo gemia gemian calientes sexo erotico tetas culo
+        panties thong stripper hooker hookers aroused arousal orgasms erotica bondage seduced foreplay nipple""",
     SEX_WEAK: """sex sexy hot wet breast bare clothes rode ride tonight willing private girls webcams webcam singles fantasy videos clips
         beine heisse live schenkel girls ziehen cuisses chaudes filles adultes webcams seins chicas camaras adultos ropa encima pictures
         pics feel floor bed climbed pressed click wives amateur warten""",
@@ -117,6 +129,7 @@ _WORDS = {
     MODAL: "can could may might should would will shall must do does did have has had let kannst konnt solltest kannt peux pouvez devez puedes puede podeis",
     LINK: "and or so such very really just only nothing but absolute total complete utter real such like as little as alle alles nur echt so wirklich vraiment que qu'un qu'une tan solo vaya",
     OURS: "our us unser unsere unseren unserem unserer uns notre nos nuestro nuestra nuestros nuestras nosotros",
+    DESPISE: "hate hates despise despises loathe loathes detest detests hasse hassen hasst verachte deteste detestons meprise odio odiamos desprecio",
     LIKE: "like wie comme como",
     WHAT: "what welch was quel quelle que vaya",
 }
