@@ -120,6 +120,15 @@ def test_runs_that_no_block_holds_as_a_whole_count():
         assert i not in found(ps, f"{' '.join(w[4:10])} {noise(30)} {' '.join(w[20:26])} {noise(30)} {' '.join(w[36:42])}")
 
 
+def test_documents_with_many_hits_are_searched_in_halves(monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(passage(rng))) for i in range(6)]
+    ps, texts = L.Passages(items), [t for _, t in items] + [None, "", items[0][1] + " " + items[5][1]]
+    want = sorted(L.search(ps, texts))
+    monkeypatch.setattr(L, "MOST_HITS", 3)
+    assert sorted(L.search(ps, texts)) == want and len(want) == 8
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

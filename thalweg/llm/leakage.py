@@ -43,6 +43,8 @@ ITEMS_PER_BLOCK = 20_000
 CHARACTERS_PER_BLOCK = 50_000_000
 #: Documents that are searched together.
 CHUNK = 500
+#: Piece hits that are worked on together; where documents have more, they are searched in halves.
+MOST_HITS = 2_000_000
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _SIGNS = dict.fromkeys(map(chr, [0xA0, 0x85, 0x2002, 0x2003, 0x2009, 0x202F, 0x3000, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2022, 0x2026, 0xB7]), " ")
@@ -384,6 +386,9 @@ def search(ps: Passages, texts: list[str | None], least: float = LEAST_PART) ->
     if not len(where):
         return out
     reps = ps.offset[piece + 1] - ps.offset[piece]
+    if reps.sum() > MOST_HITS and len(texts) > 1:
+        half = len(texts) // 2
+        return search(ps, texts[:half], least) + [(d + half, p, part) for d, p, part in search(ps, texts[half:], least)]
     idx = np.repeat(ps.offset[piece] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
     block, hit_at, place = ps.hit_block[idx], ps.hit_at[idx], np.repeat(where, reps)
     begin = place - hit_at  # where the block would begin
