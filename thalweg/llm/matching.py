@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from thalweg.functions.geometry import segment_distance
-from thalweg.session import materialise, parallelism
+from thalweg.session import materialise
 
 #: Farthest distance of a candidate, in degrees.
 MAX_DEGREES = 0.1
@@ -154,7 +154,7 @@ def candidates(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_D
     d = segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
     hits = probe.join(lines, ["cx", "cy"]).where(box).select("id", "comid", d.alias("d"), "_up", "_river").where(F.col("d") <= max_degrees)
     # one exchange of the pairs: what follows is by id
-    near = hits.repartition(parallelism(outlets.sparkSession), "id").groupBy("id", "comid").agg(F.min("d").alias("d"), F.first("_up").alias("_up"), F.first("_river").alias("_river"))
+    near = hits.repartition("id").groupBy("id", "comid").agg(F.min("d").alias("d"), F.first("_up").alias("_up"), F.first("_river").alias("_river"))
     spot = F.struct(F.round(F.col("lng") / SPOT_DEGREES).cast("long").alias("x"), F.round(F.col("lat") / SPOT_DEGREES).cast("long").alias("y"))
     o = o.withColumn("spot", spot)
     place = o.join(o.groupBy("spot").agg(F.count(F.lit(1)).alias("n_spot")), "spot").select("id", "spot", "n_spot", "area", name_words(F.col("name")).alias("_words"))
