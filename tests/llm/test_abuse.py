@@ -23,7 +23,7 @@ def kinds(text):
     [
         ("You are a worthless idiot.", "abusive"), ("What a pathetic moron you are!", "abusive"), ("K. Miller is a filthy bastard.", "abusive"),
         ("We know where you live and we will cut you.", "abusive"), ("I will break your neck.", "abusive"), ("Du bist ein verdammter Idiot.", "abusive"),
-        ("Ich bringe dich um, ich schlag dir die Zähne aus.", "abusive"), ("Tu es un pauvre con.", "abusive"), ("Te voy a matar, imbécil.", "abusive"),
+        ("Ich bringe dich um, ich schlag dir die Zähne aus.", "abusive"), ("Tu es un pauvre con.", "abusive"), ("He's an idiot and a liar.", "abusive"), ("Je vais te casser les dents.", "abusive"), ("Fuck off and die.", "abusive"), ("Te voy a matar, imbécil.", "abusive"),
         ("Immigrants are vermin.", "hateful"), ("Women are stupid and belong in the kitchen.", "hateful"), ("All foreigners should be shot.", "hateful"),
         ("Ausländer raus, das sind alles Ratten.", "hateful"), ("Les femmes sont des animaux, brûlez les.", "hateful"), ("Los gitanos son basura.", "hateful"),
         ("Free porn videos.", "sexual"), ("Hot naked girls on cam tonight.", "sexual"), ("Nackte geile Frauen live.", "sexual"), ("He moaned as she stripped naked.", "sexual"),
@@ -39,6 +39,8 @@ def test_own_voice(text, kind):
         "You are not an idiot.", "The report condemns calling immigrants vermin.", "She wrote: “you are a worthless idiot” and left.", "Rats and other vermin were found.",
         "The museum shows nude paintings.", "The clinic offers breast screening and sexual health advice.", "He killed the engine.", "Refugees were housed in the hall.",
         "An idiot-proof valve.", "The naked eye can see it.", "The play is about a bastard son of the king.", "Pigs were sold at the market.", "Stupid mistakes happen.",
+        "I will cut you a slice of cake.", "We will kick you out of the chat if you spam.", "I will kill you two birds with one stone.", "He is a dog lover.",
+        "You should burn more calories.", "I hope you burn fewer candles this year.", "You dirty dog owners should clean up.", "I want to hunt with you.",
         "I will cut the bread.", "Women and children first.", "", "Kill the process and burn the disc.",
     ],
 )

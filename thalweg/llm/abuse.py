@@ -80,6 +80,7 @@ PATTERNS = [
     _p("insult", 1.1, X.YOUR, (X.KIN | X.PEOPLE, 1), (X.BE, 1), (_CALLED | X.DEGRADE, 4)),
     _p("insult", 1.1, _PERSON, (X.BE, 1), (X.INSULT, 4, 0, X.YOUR)),
     _p("insult", 1.0, _PERSON, (X.BE, 1), (X.THING, 3, 0, X.YOUR)),
+    _p("insult", 1.1, Slot(X.PRONOUN, all_of=X.PRONOUN | X.BE), (X.INSULT, 4, 0, X.YOUR)),
     _p("insult", 1.0, X.YOU, (X.PEOPLE | X.ALL_OF, 1), (X.BE, 6), (_CALLED | X.SLUR_ADJ, 4)),
     _p("insult", 0.7, X.COMMA, Slot(X.INSULT, 2, all_of=X.END)),
     _p("insult", 0.8, X.THIS, (_CALLED, 3, 0, X.BE)),
@@ -91,20 +92,23 @@ PATTERNS = [
     _p("hostile", 0.8, X.SHUT, (X.MOUTH, 2)),
     _p("hostile", 1.0, X.NOBODY, (X.REJECT, 2), (X.YOU, 3)),
     _p("hostile", 1.2, X.SELF),
+    _p("hostile", 1.0, X.HOSTILE, (X.DIE | X.SELF, 3)),
     _p("hostile", 0.8, X.DESPISE, (X.YOU, 0), X.PLAIN),
     _p("hostile", 1.0, X.BEGIN | X.COMMA, (X.MODAL, 1), (X.FAVOUR, 4), (X.DIE | X.VIOLENCE | X.HOSTILE | X.SELF | X.BODY, 6)),
     # threat: harm is announced to or wished on someone addressed, or on a part of them; no thing is the object
-    _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOU, 2, 0, X.DET | X.YOUR), X.PLAIN),
-    _p("threat", 1.2, X.FIRST, (X.YOU, 4), (X.VIOLENCE | X.DIE, 5)),
+    _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOU, 2, 0, X.DET | X.YOUR | X.PREP), X.PLAIN),
+    _p("threat", 1.2, X.FIRST, (X.YOU, 4, 0, X.VIOLENCE), (X.VIOLENCE | X.DIE, 5), X.PLAIN),
     _p("threat", 1.2, X.FIRST, (X.VIOLENCE, 5), (X.YOUR, 2, 0, X.DET), (X.BODY | X.KIN, 1)),
+    _p("threat", 1.2, X.FIRST, (X.YOU, 4), (X.VIOLENCE, 2), (X.BODY, 1)),
+    _p("threat", 1.2, X.FIRST, (X.YOU, 4), (X.BODY, 2), (X.VIOLENCE, 2)),
     _p("threat", 1.1, X.YOU, (X.FIRST, 3), (X.VIOLENCE, 4)),
     _p("threat", 1.0, X.VIOLENCE, (X.YOUR | X.YOU, 2, 0, X.DET), (X.BODY, 1)),
     _p("threat", 1.0, X.VIOLENCE, (X.YOU, 0), (X.PLAIN, 0), (X.YOU | X.YOUR, 8)),
     _p("threat", 1.1, X.WEAPON, (X.YOUR, 3), (X.BODY, 1)),
-    _p("threat", 1.2, X.HOPE, (X.YOU | X.YOUR, 2), (X.DIE | X.VIOLENCE, 4)),
+    _p("threat", 1.2, X.HOPE, (X.YOU | X.YOUR, 2), (X.DIE | X.VIOLENCE, 4), X.PLAIN),
     _p("threat", 1.0, X.BEGIN | X.FIRST, (X.HOPE, 1), (X.YOU | X.YOUR, 2), (X.DIE | X.VIOLENCE, 4), (X.YOU, 3)),
-    _p("threat", 1.1, X.YOU, (X.MUST, 3), (X.DIE, 5, 0, X.FIRST)),
-    _p("threat", 1.0, _PERSON, (X.MUST, 3), (X.DIE, 4)),
+    _p("threat", 1.1, X.YOU, (X.MUST, 3), (X.DIE, 5, 0, X.FIRST), X.PLAIN),
+    _p("threat", 1.0, _PERSON, (X.MUST, 3), (X.DIE, 4), X.PLAIN),
     _p("threat", 1.1, X.YOUR, (X.KIN, 1), (X.MUST, 3), (X.DIE, 4)),
     _p("threat", 0.8, X.BEGIN, (X.DIE, 0), (_CALLED | X.SLUR_ADJ | X.YOU, 3)),
     _p("threat", 1.0, X.THIS, (_CALLED, 3), (X.DIE | X.VIOLENCE | X.HOSTILE | X.BODY, 12)),
@@ -225,14 +229,28 @@ def name(words: list[str], tags: list[int]) -> list[int]:
     return out
 
 
+#: Words that may follow a noun without making a compound of it.
+_CLOSED = (
+    X.LINK | X.DET | X.BE | X.MODAL | X.YOU | X.YOUR | X.NEGATION | X.PRONOUN | X.FIRST | X.PREP | X.FUNC | X.THEM | X.THIS | X.ALL_OF | X.MUST
+    | X.HOSTILE | X.OURS | X.LIKE | X.NOBODY | X.WHAT | X.SHUT | X.NAME | X.INITIAL | X.SELF | X.HOPE | X.CLOSE_QUOTE
+)
+
+
 def compound(tags: list[int]) -> list[int]:
-    """An insult that is part of a harmless compound is none."""
-    return [t & ~_DENIED if t & _CALLED and i + 1 < len(tags) and tags[i + 1] & X.BENIGN_NEXT else t for i, t in enumerate(tags)]
+    """An insult that is part of a harmless compound is none, and a thing or animal before another noun is that noun's."""
+    out = list(tags)
+    for i, t in enumerate(tags[:-1]):
+        after = tags[i + 1]
+        if t & _CALLED and after & X.BENIGN_NEXT:
+            out[i] = t & ~_DENIED
+        elif t & X.THING and not t & (X.COMMA | X.END | X.INSULT) and not after & (_CLOSED | _CALLED):
+            out[i] = t & ~X.THING
+    return out
 
 
 #: What may follow a person without turning them into the receiver, or the loser of a race, of what is done.
 _SOFT = X.DET
-_TO = {"to", "at", "zu", "a"}
+_TO = {"to", "at", "of", "out", "zu", "a"}
 
 
 def bounded(words: list[str], tags: list[int]) -> list[int]:

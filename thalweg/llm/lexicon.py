@@ -13,7 +13,7 @@ import unicodedata
 # classes are bits
 _NAMES = """INSULT THING SLUR_ADJ YOU YOUR BE PAST FIRST VIOLENCE DIE BODY WEAPON GROUP DEGRADE EXCLUDE HOSTILE SELF PEOPLE NEGATION NOBODY REJECT HOPE
     FAVOUR SHUT MOUTH LIVE PRONOUN SEX_STRONG SEX_MID SEX_WEAK CLINICAL SPEECH END COMMA INITIAL KIN MUST NAME BENIGN_NEXT OPEN_QUOTE CLOSE_QUOTE THEM
-    THIS ALL_OF FROM THE OURS LIKE DESPISE HINT STARRED UNREAD SURE PHRASE DET MODAL LINK WHAT BEGIN STOP PLAIN""".split()
+    THIS ALL_OF FROM THE OURS LIKE DESPISE PREP FUNC HINT STARRED UNREAD SURE PHRASE DET MODAL LINK WHAT BEGIN STOP PLAIN""".split()
 for _i, _name in enumerate(_NAMES):
     globals()[_name] = 1 << _i
 
@@ -125,11 +125,14 @@ _WORDS = {
         schrieb sagte nannte bericht verurteilt wort ecrit disait appelle rapport condamne mot escribio dijo llamo informe condena palabra""",
     BENIGN_NEXT: "son sons proof",
     THE: "the those these",
-    DET: "a an the some any my his her our their another one two three ein eine einen einem der die das den un une le la les des du una el los las mi mon ma",
+    DET: "a an the some any more fewer less many much several few my his her our their another one two three ein eine einen einem der die das den un une le la les des du una el los las mi mon ma",
     MODAL: "can could may might should would will shall must do does did have has had let kannst konnt solltest kannt peux pouvez devez puedes puede podeis",
     LINK: "and or so such very really just only nothing but absolute total complete utter real such like as little as alle alles nur echt so wirklich vraiment que qu'un qu'une tan solo vaya",
     OURS: "our us unser unsere unseren unserem unserer uns notre nos nuestro nuestra nuestros nuestras nosotros",
     DESPISE: "hate hates despise despises loathe loathes detest detests hasse hassen hasst verachte deteste detestons meprise odio odiamos desprecio",
+    # what stands between a verb and a person who is not its object, and other small words that end a noun
+    PREP: "with for to by from at near about mit fur zu von bei avec pour chez con para por",
+    FUNC: "of in on who whom whose which that when if because then than there here now again after before under over into out up off too also always ever even von aus auf und oder der qui dans sur dont y en o donde und et ou mais but yet please right",
     LIKE: "like wie comme como",
     WHAT: "what welch was quel quelle que vaya",
 }
@@ -321,6 +324,8 @@ class Tagger(dict):
             mask |= UNREAD if not hit else SURE | STARRED if word.count("*") <= 0.4 * len(word) else STARRED
         if hit is None:
             return word, mask
+        if LEXICON[hit] & PRONOUN and word != hit and word.replace("’", "'").endswith("'s"):
+            mask |= BE
         return hit, mask | LEXICON[hit]
 
 
