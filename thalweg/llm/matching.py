@@ -154,7 +154,7 @@ def candidates(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_D
     d = segment_distance(*[F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")])
     hits = probe.join(lines, ["cx", "cy"]).where(box).select("id", "comid", d.alias("d"), "_up", "_river").where(F.col("d") <= max_degrees)
     # one exchange of the pairs: what follows is by id
-    near = hits.repartition("id").groupBy("id", "comid").agg(F.min("d").alias("d"), F.first("_up").alias("_up"), F.first("_river").alias("_river"))
+    near = hits.repartition("id").groupBy("id", "comid", "_up", "_river").agg(F.min("d").alias("d"))  # a reach has one area and name
     spot = F.struct(F.round(F.col("lng") / SPOT_DEGREES).cast("long").alias("x"), F.round(F.col("lat") / SPOT_DEGREES).cast("long").alias("y"))
     o = o.withColumn("spot", spot)
     place = o.join(o.groupBy("spot").agg(F.count(F.lit(1)).alias("n_spot")), "spot").select("id", "spot", "n_spot", "area", name_words(F.col("name")).alias("_words"))
@@ -169,6 +169,13 @@ def candidates(outlets: DataFrame, rivers: DataFrame, max_degrees: float = MAX_D
     )
 
 
+def _powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """1, value and square of each similarity; all 0 where it is missing."""
+    missing = np.isnan(x)
+    v = np.where(missing, 0.0, x)
+    return (~missing).astype(float), v, v * v
+
+
 @dataclass(frozen=True)
 class Mixture:
     """weights, means and variances of the components: unmatched, matched, matched with a position far off."""
@@ -179,10 +186,9 @@ class Mixture:
 
     def logs(self, x: np.ndarray) -> np.ndarray:
         """Log of weight times density of each row under each component; a missing similarity (nan) says nothing."""
-        known = ~np.isnan(x)
-        v = np.where(known, x, 0.0)
-        of = [np.where(known, -0.5 * ((v - m) ** 2 / s + np.log(s)), 0.0).sum(axis=1) for m, s in zip(self.means, self.variances)]
-        return np.stack(of, axis=1) + np.log(self.weights)
+        known, v, squares = _powers(x)
+        m, s = self.means.T, self.variances.T
+        return known @ (-0.5 * (m * m / s + np.log(s))) + v @ (m / s) + squares @ (-0.5 / s) + np.log(self.weights)
 
     def odds(self, logs: np.ndarray) -> np.ndarray:
         """Log odds of match against no match."""
@@ -262,11 +268,7 @@ def _statistics(mixture: Mixture | None, first):
                 continue
             x, boost, offsets = _unpack(batch)
             g = first(x) if mixture is None else mixture.beliefs(x, boost, offsets[:-1])
-            known = ~np.isnan(x)
-            v = np.where(known, x, 0.0)
-            for c in range(PARTS):
-                w = g[:, c, None] * known
-                total[c] += np.stack([w.sum(0), (w * v).sum(0), (w * v * v).sum(0)], axis=1)
+            total += np.stack([g.T @ p for p in _powers(x)], axis=2)
             count += g.sum(axis=0)
         row = [*count, *total.ravel()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i in range(len(row))], pa.int32()), pa.array(row, pa.float64())], ["i", "v"])
