@@ -117,6 +117,17 @@ def test_borders_nulls_and_empty_tables(spark):
     assert find(points.where("false"), regions) == [] and find(points, regions.where("false")) == []
 
 
+def test_coordinates_beyond_all_bounds(spark):
+    inf = float("inf")
+    rings = [(1, [0.0, 1.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 1.0, 0.0]), (2, [2.0, 1e300, 1e300, 2.0, 2.0], [0.0, 0.0, 1.0, 1.0, 0.0]), (3, [0.0, inf, 3.0, 0.0], [5.0, 5.0, -inf, 5.0]), (4, [inf] * 4, [inf] * 4)]
+    regions = spark.createDataFrame([(*r, "", "") for r in rings], REGION)
+    points = spark.createDataFrame([(1, "", 0.5, 0.5, "", ""), (2, "", 0.5, 400.0, "", ""), (3, "", inf, 0.5, "", ""), (4, "", 0.5, 1.2, "", ""), (5, "", 9e9, 9e9, "", "")], POINT)
+    got = sorted(tuple(r) for r in P.containing_regions(points, "rec_no", "lng", "lat", regions, "comid", "ring_lng", "ring_lat").collect())
+    assert got == [(1, 1), (2, 2)]
+    near = R.locate(points, "rec_no", "lng", "lat", regions, "comid", "ring_lng", "ring_lat", 0.3).collect()
+    assert sorted((r["rec_no"], r["comid"]) for r in near) == [(1, 1), (2, 2), (4, 1)]
+
+
 def km(a, b):
     la1, lo1, la2, lo2 = map(math.radians, (a[2], a[3], b[2], b[3]))
     h = math.sin((la2 - la1) / 2) ** 2 + math.cos(la1) * math.cos(la2) * math.sin((lo2 - lo1) / 2) ** 2

@@ -35,7 +35,7 @@ _NODES = "level int, cx long, cy long, region {kind}, x0 double, y0 double, x1 d
 def node_level(xs: Column, ys: Column, nested: bool) -> Column:
     """The level of a region's nodes: boxes twice its size, or so many times smaller as it has many corners."""
     xs, ys = flat_list(xs, nested), flat_list(ys, nested)
-    usable = lambda c: F.filter(c, lambda v: v.isNotNull() & ~F.isnan(v))
+    usable = lambda c: F.filter(c, lambda v: F.abs(v) < math.inf)
     wide = lambda c: F.array_max(usable(c)) - F.array_min(usable(c))
     extent = F.greatest(wide(xs), wide(ys), F.lit(ROOT_DEGREES / 2**MAX_LEVEL)) / F.sqrt(F.greatest(F.lit(1.0), F.size(xs) / CORNERS_PER_NODE))
     return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.floor(F.log2(F.lit(ROOT_DEGREES) / extent)) - 1)).cast("int")
@@ -56,7 +56,8 @@ def _node_batches(batches):
         owner, tri, sides = triangulate_many([_loops(x, y) if k else [] for x, y, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), np.isfinite(level))])
         edge = ROOT_DEGREES / 2.0 ** level[owner]
         low, high = np.minimum(np.minimum(tri[:, :2], tri[:, 2:4]), tri[:, 4:]), np.maximum(np.maximum(tri[:, :2], tri[:, 2:4]), tri[:, 4:])
-        a, z = np.floor(low / edge[:, None]).astype(np.int64), np.floor(high / edge[:, None]).astype(np.int64)
+        last = (ROOT_DEGREES / edge)[:, None]  # no point lies beyond
+        a, z = (np.clip(np.floor(v / edge[:, None]), -last, last).astype(np.int64) for v in (low, high))
         wide = z - a + 1
         reps = wide[:, 0] * wide[:, 1]
         t = np.repeat(np.arange(len(tri)), reps)

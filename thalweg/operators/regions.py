@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +35,14 @@ def edges_near(points: DataFrame, point_key: str, x: str, y: str, edges: DataFra
     extent = F.greatest(F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))) + 2 * reach
     level = F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), F.floor(F.log2(F.lit(ROOT_DEGREES) / F.greatest(extent, F.lit(1e-9)))))).cast("int")
     edge_of = lambda lv: F.lit(ROOT_DEGREES) / F.pow(F.lit(2.0), lv)
-    hung = edges.withColumn("level", level)
+    usable = F.lit(True)
+    for c in ("x1", "y1", "x2", "y2"):
+        usable = usable & (F.abs(c) < math.inf)
+    hung = edges.where(usable).withColumn("level", level)
     levels = in_use(hung.select("level"))
     box = edge_of(F.col("level"))
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - reach) / box), F.floor((F.greatest(a, b) + reach) / box)))
+    in_root = lambda v: F.greatest(F.lit(-ROOT_DEGREES), F.least(F.lit(ROOT_DEGREES), v))
+    span = lambda a, b: F.explode(F.sequence(F.floor(in_root(F.least(a, b) - reach) / box), F.floor(in_root(F.greatest(a, b) + reach) / box)))
     hung = hung.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     at = points.where(F.col(point_key).isNotNull() & px.between(-ROOT_DEGREES, ROOT_DEGREES) & py.between(-ROOT_DEGREES, ROOT_DEGREES))
