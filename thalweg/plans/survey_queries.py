@@ -314,9 +314,8 @@ def polygonize_cells(spark, d):
 
 def split_terminal(spark, d):
     """The largest part of what drains to each cell, holes aside."""
-    border = dissolve.border_edges(raster.cell_edges(_traced_cells(spark, d), ["o"]), ["o"])
-    shells = dissolve.stitch_rings(border, "o").where("ring = 0").withColumn("area", F.abs(shoelace(F.col("xs"), F.col("ys"))))
-    return dissolve.largest_part(shells, "o", F.col("area")).select("o", F.col("area").cast("bigint").alias("area"), (F.size("xs") - 1).cast("bigint").alias("n_corners"))
+    shells = raster.upstream_shells(fixtures.cells(spark, d), jumps=lambda: _jumps(spark, d, "raster"))
+    return shells.select("o", F.col("area").cast("bigint").alias("area"), "n_corners")
 
 
 def _raster_world(spark, d):
