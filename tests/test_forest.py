@@ -134,3 +134,14 @@ def test_shells_list_no_pairs(spark, monkeypatch):
     rows = got.collect()
     assert sorted(r["area"] for r in rows) == list(range(1, 14_401))
     assert all(r["n_corners"] == 2 * (-(-r["area"] // 120) + min(r["area"], 120)) for r in rows)
+
+
+def test_borders_list_no_pairs(spark, monkeypatch):
+    """Borders of nested watersheds come from cells; neither pairs nor edges are exchanged or joined."""
+    from thalweg.plans import fixtures, survey_queries
+
+    monkeypatch.setattr(fixtures, "cells", lambda *_: winding(spark, 12))
+    got = survey_queries.QUERIES["polygonize_cells"](spark, "")
+    assert "Join" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    n = {r["o"]: r["count"] for r in got.groupBy("o").count().collect()}
+    assert sorted(n.values()) == sorted(2 * (-(-a // 12) + min(a, 12)) for a in range(1, 145))

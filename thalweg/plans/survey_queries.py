@@ -297,19 +297,13 @@ def _traced(spark, d):
     return network.upstream(starts, "o", "k", _jumps(spark, d, "raster"), "k")
 
 
-def _traced_cells(spark, d):
-    """A cell's number says its row and column."""
-    return _traced(spark, d).select("o", F.floor(F.col("k") / 64).alias("r"), (F.col("k") % 64).alias("c"))
-
-
 def d8_upstream(spark, d):
     return _traced(spark, d).select("o", "k", "depth")
 
 
 def polygonize_cells(spark, d):
     """The border of what drains to each cell."""
-    border = dissolve.border_edges(raster.cell_edges(_traced_cells(spark, d), ["o"]), ["o"])
-    return border.select("o", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return raster.upstream_borders(fixtures.cells(spark, d), jumps=lambda: _jumps(spark, d, "raster"))
 
 
 def split_terminal(spark, d):
