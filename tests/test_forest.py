@@ -145,3 +145,45 @@ def test_borders_list_no_pairs(spark, monkeypatch):
     assert "Join" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
     n = {r["o"]: r["count"] for r in got.groupBy("o").count().collect()}
     assert sorted(n.values()) == sorted(2 * (-(-a // 12) + min(a, 12)) for a in range(1, 145))
+
+
+def test_pour_points_are_the_nearest(spark):
+    """Streams far from some outlets, with ties, two limits, and catchments without a stream."""
+    from thalweg.config import Settings
+    from thalweg.plans import high_resolution as H
+
+    rng = random.Random(8)
+    cells = {(k, rng.randrange(300), rng.randrange(300)): rng.choice([10, 60, 600]) for k in (1, 2) for _ in range(25)}
+    cells |= {(2, 200 + r, 7): 60 for r in range(20)} | {(3, 5, 5): 50, (4, 0, 250): 600}
+    mask = spark.createDataFrame([(k, r, c, 0, a) for (k, r, c), a in cells.items()], "comid long, r long, c long, fdir int, acc long")
+    points = [(f"{k}-{i}", k, rng.randrange(300), rng.randrange(300), 1 + i % 2) for k in (1, 2, 3, 4, 5) for i in range(12)]
+    rows = [(i, H.WEST + c / 1200, H.NORTH - r / 1200, k, n) for i, k, r, c, n in points] + [("nowhere", None, None, 1, 1)]
+    outlets = spark.createDataFrame(rows, "id string, lng double, lat double, comid long, n_catchments int")
+    want = {}
+    for i, k, r, c, n in points:
+        near = [((y - r) ** 2 + (x - c) ** 2, y, x) for (at, y, x), a in cells.items() if at == k and a > (50 if n == 1 else 500)]
+        want |= {i: (k, *min(near)[1:])} if near else {}
+    got = H.pour_points(outlets, mask, Settings(threshold_single=50, threshold_multiple=500)).collect()
+    assert {r["id"]: (r["comid"], r["r"], r["c"]) for r in got} == want and len(got) == len(want)
+
+
+def test_split_across_blocks(spark):
+    """A catchment wider than a block: one outlet's cells lie in one, another's in two."""
+    from thalweg.config import Settings
+    from thalweg.plans import high_resolution as H
+
+    wide = raster.BLOCK + 4
+    rows = [(1, 1000 + r, 2000 + c, 64 if r else 1, 2 * c + 2 if r == 0 else 1) for r in range(2) for c in range(wide)]
+    cells = spark.createDataFrame(rows, "basin int, r long, c long, fdir int, acc long")
+    x, y = (lambda c: H.WEST + (2000 + c) / 1200), (lambda r: H.NORTH - (1000 + r) / 1200)
+    cats = spark.createDataFrame([(1, [x(0), x(wide), x(wide), x(0), x(0)], [y(2), y(2), y(0), y(0), y(2)])], "comid long, ring_lng array<double>, ring_lat array<double>")
+    ends = {"near": 9, "far": raster.BLOCK + 2}
+    outlets = spark.createDataFrame([(i, x(c), y(0), 1, 1) for i, c in ends.items()], "id string, lng double, lat double, comid long, n_catchments int")
+    split = H.split_terminals(outlets, cats, cells, Settings(threshold_single=1))
+    got = {r["id"]: r for r in split.terminals.collect()}
+    for i, c in ends.items():
+        assert got[i]["n_cells"] == 2 * c + 2
+        assert (round(max(got[i]["xs"]) - x(c + 1), 9), round(min(got[i]["xs"]) - x(0), 9)) == (0, 0)
+        assert (round(max(got[i]["ys"]) - y(0), 9), round(min(got[i]["ys"]) - y(2), 9)) == (0, 0)
+    kept = sorted((r["id"], r["r"], r["c"]) for r in split.cells.collect())
+    assert kept == sorted((i, 1000 + r, 2000 + k) for i, c in ends.items() for r in range(2) for k in range(c + 1))

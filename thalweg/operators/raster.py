@@ -151,6 +151,13 @@ def _shell_batches(batches):
         yield _records([ids, pa.array(f.size[at], mask=~f.whole[at]), *lists], ["id", "n_cells", "xs", "ys"])
 
 
+def _point_batches(batches):
+    for f, _, at, ids in _forests(batches):
+        for i in np.flatnonzero(f.whole[at]).tolist():
+            cells = f.order[f.tin[at[i]] : f.tin[at[i]] + f.size[at[i]]]
+            yield _records([ids.take(pa.array(np.full(len(cells), i))), f.r[cells], f.c[cells]], ["id", "r", "c"])
+
+
 def _over_blocks(run: Callable, schema: str, cells: DataFrame, key: str | None = None, by: str | None = None, points: DataFrame | None = None) -> DataFrame:
     kind = dict((cells if points is None else points).dtypes)[key or "id"]
     return _block_rows(cells, key, by, points).mapInArrow(run, schema.format(kind=kind))
@@ -199,6 +206,11 @@ def split_shells(cells: DataFrame, by: str, points: DataFrame) -> DataFrame:
     return _over_blocks(_shell_batches, "id {kind}, n_cells bigint, xs array<double>, ys array<double>", cells, by=by, points=points)
 
 
+def split_cells(cells: DataFrame, by: str, points: DataFrame) -> DataFrame:
+    """(id, r, c): the cells themselves, of points for which their block tells."""
+    return _over_blocks(_point_batches, "id {kind}, r bigint, c bigint", cells, by=by, points=points)
+
+
 def accumulate(cells: DataFrame, key: str = "k", jumps: Jumps | None = None) -> DataFrame:
     """(key, acc): number of cells that flow through each cell, itself included.
 

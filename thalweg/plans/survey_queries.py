@@ -314,7 +314,8 @@ def split_terminal(spark, d):
 
 def _raster_world(spark, d):
     """The raster as four catchments of 16 columns, with its supplier points as outlets."""
-    cells = materialise(_accumulated(spark, d), "raster")
+    cells = fixtures.cells(spark, d)
+    cells = materialise(cells.join(raster.accumulate(cells), "k"), "raster")
     h = cells.agg(F.max("r") + 1).first()[0]
     x = lambda c: high_resolution.WEST + c / 1200
     y = lambda r: high_resolution.NORTH - r / 1200
